@@ -116,9 +116,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all texts; no word crosses texts."""
-    solid = ~IS_SPACE[data]
+def word_bounds(data: np.ndarray, off: np.ndarray, letters: np.ndarray = ~IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts; no word crosses texts. letters: which bytes words are made of."""
+    solid = letters[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[off] = True
     starts, ends = solid.copy(), solid.copy()
