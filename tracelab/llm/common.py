@@ -36,7 +36,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size, for choosing how many buckets to deal it into."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -216,6 +216,20 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     return rows.mapInArrow(run, "doc_id long, score double, evidence string")
 
 
+def keep_under(docs: DataFrame, model: Model | None, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of docs that score under the threshold."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            p, _ = shared.value.score(b.column(b.schema.get_field_index(text)))
+            yield b.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
