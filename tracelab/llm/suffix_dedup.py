@@ -41,6 +41,8 @@ from .common import mix64, planned_bytes, prefix_hash, release_shuffles, settle,
 from .common import _power as power
 
 GRAM = 24
+CHUNK = 1_500_000  # bytes of text taken at once
+PLACES = 250_000  # places of one suffix array, more only where one anchor has more
 RUN = np.dtype([("h", "<u4"), ("r1", "<u4"), ("r2", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1")])
 CUT = np.dtype([("doc", "<i8"), ("at", "<u4"), ("to", "<u4")])
 PIECE = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "u1"), ("h", "<u4"), ("b", "<u4"), ("hot", "u1")])
@@ -178,11 +180,11 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
         return got
 
     def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=3_000_000):
+        for b in slices(batches, most=CHUNK):
             b = b.filter(b.column(0).is_valid())
             data, off = text_column(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for s, e in pieces(off, 8_000_000):  # a very long text alone may be larger
+            for s, e in pieces(off, CHUNK):  # a very long text alone may be larger
                 yield from deal(data[off[s] : off[e]], off[s : e + 1] - off[s], ids[s:e])
 
     def pieces(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -193,7 +195,7 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
             at = to
 
     def deal(data: np.ndarray, off: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        chunk, lap = 8_000_000, least - 1
+        chunk, lap = CHUNK, least - 1
         if len(data) <= chunk:
             yield from deal_chunk(data, off, ids, np.zeros(len(ids), np.int64))
             return
@@ -282,16 +284,16 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
             gone = cuts(piece["doc"][each][later], place[later], place[later] + least)
             found += [(p % buckets, 1, p.to_bytes(4, "little") + pack(own)) for p, own in grouped(gone, part_of(gone["doc"]))]
             each, s, key, place = each[~later], s[~later], key[~later], place[~later]
-            found += bundle(data, piece["doc"][each], place, np.ones(len(s), np.int64), s, (key % np.uint64(buckets)).astype(np.int64))
+            found += bundle(data, piece["doc"][each], place, np.ones(len(s), np.int64), s, (key % np.uint64(buckets)).astype(np.int64), (key >> np.uint64(32)).astype(np.uint32))
         cold = np.flatnonzero(piece["hot"] == 0)
-        found += bundle(data, piece["doc"][cold], piece["at"][cold], n[cold], start[cold], (piece["b"][cold].astype(np.int64) * 31 + piece["h"][cold]) % buckets)
+        found += bundle(data, piece["doc"][cold], piece["at"][cold], n[cold], start[cold], (piece["b"][cold].astype(np.int64) * 31 + piece["h"][cold]) % buckets, piece["h"][cold])
         return pa.Table.from_batches([out(found, names)])
 
-    def bundle(data: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, start: np.ndarray, bucket: np.ndarray) -> list[tuple[int, int, bytes]]:
+    def bundle(data: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, start: np.ndarray, bucket: np.ndarray, group: np.ndarray) -> list[tuple[int, int, bytes]]:
         found = []
         for p, own in grouped(np.arange(len(doc)), bucket):
             head = np.zeros(len(own), PIECE)
-            head["doc"], head["at"], head["n"] = doc[own], at[own], n[own]
+            head["doc"], head["at"], head["n"], head["h"] = doc[own], at[own], n[own], group[own]
             size = n[own] + least - 1
             to = np.cumsum(size)
             body = data[np.repeat(start[own] - (to - size), size) + np.arange(to[-1])]
@@ -312,13 +314,21 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
             data = np.frombuffer(b"".join(bodies), np.uint8)
             n = head["n"].astype(np.int64)
             first = np.cumsum(n + least - 1) - (n + least - 1)
-            owner = np.repeat(np.arange(len(head)), n)
-            inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            match = lpf(data, first[owner] + inside, head["doc"][owner], least, least)
-            hit = np.flatnonzero(match >= least)
-            place = head["at"][owner[hit]].astype(np.int64) + inside[hit]
-            gone = cuts(head["doc"][owner[hit]], place, place + least)
-            found += [(p, 1, pack(own)) for p, own in grouped(gone, part_of(gone["doc"]))]
+            # equal windows have equal anchors, so anchors may go into suffix arrays of their own
+            order = np.argsort(head["h"], kind="stable")
+            group = np.flatnonzero(np.diff(head["h"][order], prepend=head["h"][order[:1]] + np.uint32(1)))
+            load = np.add.reduceat(n[order], group)
+            lot = np.cumsum(load) // PLACES
+            edge = [*group[np.flatnonzero(np.diff(lot, prepend=-1))].tolist(), len(order)]
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                own = order[s:e]
+                owner = np.repeat(own, n[own])
+                inside = np.arange(len(owner)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+                match = lpf(data, first[owner] + inside, head["doc"][owner], least, least)
+                hit = np.flatnonzero(match >= least)
+                place = head["at"][owner[hit]].astype(np.int64) + inside[hit]
+                gone = cuts(head["doc"][owner[hit]], place, place + least)
+                found += [(p, 1, pack(own)) for p, own in grouped(gone, part_of(gone["doc"]))]
         return pa.Table.from_batches([out(found)])
 
     spark = docs.sparkSession
@@ -338,10 +348,10 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
     return dealt, flags.where("kind = 1").select("part", "payload").union(more.select("part", "payload")), parts
 
 
-def dedup(docs: DataFrame, least: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row. kept_text is the remaining bytes as
     UTF-8; characters cut apart show as U+FFFD."""
-    dealt, removed, _ = repeated(docs, least, key=key, text=text)
+    dealt, removed, _ = repeated(docs, least, hot, key=key, text=text)
 
     def cut(d: pa.Table, f: pa.Table) -> pa.Table:
         gone = unpack(f.column("payload").to_pylist(), CUT)
