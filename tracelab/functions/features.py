@@ -8,6 +8,7 @@ import re
 import tokenize
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AVERAGES = {"sma": "SMA", "simplemovingaverage": "SMA", "ema": "EMA", "exponentialmovingaverage": "EMA", "wma": "WMA", "weightedmovingaverage": "WMA"}
@@ -86,6 +87,10 @@ def extract(text: str | None) -> tuple[str, str | None, float | None, str | None
     return ("ok" if len(kinds) <= 1 and len(periods) <= 1 and len(tests) <= 1 else "unresolved"), one(kinds), one(periods), one(ops) or ("mixed" if ops else None), one({v for _, v in tests})
 
 
-@F.pandas_udf("status string, kind string, period double, comparator string, threshold double")
-def features(programs: pd.Series) -> pd.DataFrame:
+def _rows(programs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract(p) for p in programs], columns=["status", "kind", "period", "comparator", "threshold"])
+
+
+def features(program: str | Column) -> Column:
+    """A struct of status, kind, period, comparator and threshold."""
+    return F.pandas_udf(_rows, "status string, kind string, period double, comparator string, threshold double")(program)

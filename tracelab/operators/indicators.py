@@ -12,16 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 6
-ORDER = Window.partitionBy("symbol").orderBy("d")
+def by_day() -> "Window":
+    return Window.partitionBy("symbol").orderBy("d")
 
 
 def last(n: int) -> "Window":
-    return ORDER.rowsBetween(-(n - 1), 0)
+    return by_day().rowsBetween(-(n - 1), 0)
 
 
 def ready(value: Column, n: int) -> Column:
     """value once n bars are there, else null."""
-    return F.when(F.row_number().over(ORDER) >= n, value)
+    return F.when(F.row_number().over(by_day()) >= n, value)
 
 
 def sma(n: int, close: str = "close") -> Column:
@@ -30,7 +31,7 @@ def sma(n: int, close: str = "close") -> Column:
 
 def wma(n: int, close: str = "close") -> Column:
     """Weights 1 (oldest) to n."""
-    terms = [F.lag(close, n - i).over(ORDER) * i for i in range(1, n + 1)]
+    terms = [F.lag(close, n - i).over(by_day()) * i for i in range(1, n + 1)]
     return ready(F.round(sum(terms[1:], terms[0]) / (n * (n + 1) / 2), SCALE), n)
 
 
@@ -51,11 +52,11 @@ def rsi_simple(n: int) -> Column:
 
 
 def changes(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("ch", F.col("close") - F.lag("close").over(ORDER))
+    return bars.withColumn("ch", F.col("close") - F.lag("close").over(by_day()))
 
 
 def readiness(n: int) -> Column:
-    return F.row_number().over(ORDER) >= n
+    return F.row_number().over(by_day()) >= n
 
 
 # ---------------------------------------------------------------- folds

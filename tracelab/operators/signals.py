@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import ORDER, changes, sma
+from .indicators import by_day, changes, sma
 
 
 def crossed(x_before: Column, x_now: Column, y_before: Column, y_now: Column, direction: str) -> Column:
@@ -16,7 +16,7 @@ def crossed(x_before: Column, x_now: Column, y_before: Column, y_now: Column, di
 
 
 def before(c: str | Column) -> Column:
-    return F.lag(c).over(ORDER)
+    return F.lag(c).over(by_day())
 
 
 def price_cross(bars: DataFrame, n: int = 5, today_ma: bool = False) -> DataFrame:
@@ -37,9 +37,9 @@ def red(kind: str) -> Column:
 
 def red_streak(bars: DataFrame, kind: str) -> DataFrame:
     """Consecutive red bars that end here; a symbol's first bar never counts."""
-    b = bars.withColumn("n", F.row_number().over(ORDER))
+    b = bars.withColumn("n", F.row_number().over(by_day()))
     b = b.withColumn("red", F.coalesce(red(kind), F.lit(False)) & (F.col("n") > 1))
-    calm = F.max(F.when(~F.col("red"), F.col("n"))).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    calm = F.max(F.when(~F.col("red"), F.col("n"))).over(by_day().rowsBetween(Window.unboundedPreceding, 0))
     return b.withColumn("streak", F.col("n") - F.coalesce(calm, F.lit(0)))
 
 
@@ -52,9 +52,9 @@ def rsi_exit(rsi: str, threshold: float, kind: str) -> Column:
 def alternating(bars: DataFrame, buy: Column, sell: Column) -> DataFrame:
     """Fills at the next bar's open of signals that change the side; the first one is a buy, a last bar's signal has no
     fill. symbol, fill_d, side, price."""
-    s = bars.withColumns({"side": F.when(buy, "B").when(sell, "S"), "price": F.lead("open").over(ORDER), "fill_d": F.lead("d").over(ORDER)})
+    s = bars.withColumns({"side": F.when(buy, "B").when(sell, "S"), "price": F.lead("open").over(by_day()), "fill_d": F.lead("d").over(by_day())})
     s = s.where("side is not null and price is not null")
-    was = F.lag("side").over(ORDER)
+    was = F.lag("side").over(by_day())
     s = s.withColumn("was", was).where("(was is null and side = 'B') or was <> side")
     # a leading sell goes, and what follows it compares with it: a buy, which stays
     return s.select("symbol", "fill_d", "side", "price")
