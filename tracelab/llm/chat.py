@@ -4,10 +4,11 @@ Calls and results are hash-joined by (conversation, call identifier); calls are
 dependencies; arguments are validated against the schema of the tool they name; each call becomes one canonical JSON
 record (sorted keys, no spaces, UTF-8, code points unescaped but for control characters).
 
-Order: a call's level is one more than the highest level among the calls it names in `after`, 0 without such; levels
-are peeled off round by round with joins (rounds = longest dependency chain), and position counts calls of a
-conversation by (level, turn, idx). Calls on a cycle, or that depend on one or on an unknown call, get level -1 and
-come last.
+Order: position counts the calls of a conversation in a topological order of what they name in `after`. Where every
+dependency stands earlier in the log, the log order (turn, idx) is one, and all levels are 0: no iteration, however
+long the conversation. In the other conversations levels are peeled off round by round with joins (rounds = longest
+dependency chain there): 0 without dependency, else one more than the highest level among those, and the order is
+(level, turn, idx). Calls on a cycle, or that depend on one or on an unknown call, get level -1 and come last.
 
 Edge cases: an identifier that several calls of a conversation share belongs to the earliest of them, the others are
 "duplicate"; a result whose identifier no call has is an "orphan" record; a call without result is "unanswered";
@@ -116,23 +117,27 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls (conv_id, call_id, after); -1 for what no order reaches."""
-    needs = settle(calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("dep")), "needs")
-    done = settle(calls.where(F.size("after") == 0).select("conv_id", "call_id", F.lit(0).alias("level")), "levels")
-    layers = [done]
-    while True:
+    """(conv_id, call_id, level) of the calls of conversations whose log order isn't topological; -1 for what no order
+    reaches. calls: conv_id, call_id, turn, idx, after."""
+    place = F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "idx")
+    needs = calls.select("conv_id", "call_id", place.alias("at"), F.explode(F.array_distinct("after")).alias("dep"))
+    known = calls.select(F.col("conv_id").alias("dep_conv"), F.col("call_id").alias("dep"), place.alias("dep_at"))
+    placed = needs.join(known, [needs.conv_id.eqNullSafe(known.dep_conv), needs.dep == known.dep], "left").select("conv_id", "call_id", "at", needs.dep, "dep_at")
+    odd = settle(placed.where("dep_at is null or dep_at >= at").select("conv_id").distinct(), "odd")
+    mine = calls.join(odd, calls.conv_id.eqNullSafe(odd.conv_id), "left_semi")
+    open_needs = settle(mine.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("dep")), "needs")
+    layer = settle(mine.where(F.size("after") == 0).select("conv_id", "call_id", F.lit(0).alias("level")), "levels")
+    done, rounds = layer, 0
+    while not layer.isEmpty():
+        rounds += 1
         known = done.select(F.col("conv_id").alias("dep_conv"), F.col("call_id").alias("dep"), F.col("level").alias("dep_level"))
-        open_needs = needs.join(done.select("conv_id", "call_id"), [needs.conv_id.eqNullSafe(done.conv_id), needs.call_id == done.call_id], "left_anti")
-        met = open_needs.join(known, [open_needs.conv_id.eqNullSafe(known.dep_conv), open_needs.dep == known.dep], "left")
-        ready = settle(met.groupBy("conv_id", "call_id").agg(F.count_if(F.col("dep_level").isNull()).alias("open"), (F.max("dep_level") + 1).alias("level")).where("open = 0").select("conv_id", "call_id", "level"), "levels")
-        if ready.isEmpty():
-            break
-        layers.append(ready)
-        done = done.unionByName(ready)
-        if len(layers) % 16 == 0:
-            done = settle(done, "levels")
-    reached = done.select("conv_id", "call_id", "level")
-    return calls.select("conv_id", "call_id").join(reached, [calls.conv_id.eqNullSafe(reached.conv_id), calls.call_id == reached.call_id], "left").select(calls.conv_id, calls.call_id, F.coalesce("level", F.lit(-1)).alias("level"))
+        met = open_needs.join(known, [open_needs.conv_id.eqNullSafe(known.dep_conv), open_needs.dep == known.dep], "left").select("conv_id", "call_id", open_needs.dep, "dep_level")
+        layer = settle(met.groupBy("conv_id", "call_id").agg(F.count_if(F.col("dep_level").isNull()).alias("open"), (F.max("dep_level") + 1).alias("level")).where("open = 0").select("conv_id", "call_id", "level"), "levels")
+        left = layer.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
+        open_needs = settle(open_needs.join(left, [open_needs.conv_id.eqNullSafe(left.c), open_needs.call_id == left.i], "left_anti"), "needs")
+        done = settle(done.unionByName(layer), "levels")
+    got = mine.alias("x").join(done.alias("d"), [F.col("x.conv_id").eqNullSafe(F.col("d.conv_id")), F.col("x.call_id") == F.col("d.call_id")], "left")
+    return got.select("x.conv_id", "x.call_id", F.coalesce("d.level", F.lit(-1)).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -147,7 +152,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     joined = joined.join(lv, [F.col("m.conv_id").eqNullSafe(F.col("l.conv_id")), F.col("m.call_id") == F.col("l.call_id")], "left")
     rows = joined.select(
         F.when(F.col("m.call_id").isNotNull(), F.col("m.conv_id")).otherwise(F.col("g.conv_id")).alias("conv_id"), F.coalesce("m.call_id", "g.call_id").alias("call_id"), F.when(F.col("m.call_id").isNotNull(), F.col("m.turn")).otherwise(F.col("g.result_turn")).alias("turn"), F.coalesce("m.idx", F.lit(0)).alias("idx"),
-        F.when(F.col("m.call_id").isNull(), "orphan").when(F.col("g.call_id").isNull(), "unanswered").otherwise("answered").alias("status"), F.coalesce("l.level", F.lit(-1)).alias("level"), "m.name", "m.arguments", F.coalesce("m.after", F.array().cast("array<string>")).alias("after"), F.transform(F.coalesce("g.results", F.array().cast("array<struct<turn:long,idx:int,content:string>>")), lambda r: r["content"]).alias("contents"),
+        F.when(F.col("m.call_id").isNull(), "orphan").when(F.col("g.call_id").isNull(), "unanswered").otherwise("answered").alias("status"), F.coalesce("l.level", F.when(F.col("m.call_id").isNull(), -1).otherwise(0)).alias("level"), "m.name", "m.arguments", F.coalesce("m.after", F.array().cast("array<string>")).alias("after"), F.transform(F.coalesce("g.results", F.array().cast("array<struct<turn:long,idx:int,content:string>>")), lambda r: r["content"]).alias("contents"),
     )
     doubles = ranked.where("nth > 1").select("conv_id", "call_id", "turn", "idx", F.lit("duplicate").alias("status"), F.lit(-1).alias("level"), "name", "arguments", "after", F.array().cast("array<string>").alias("contents"))
     place = Window.partitionBy("conv_id").orderBy(F.col("level") < 0, "level", "turn", "idx", "call_id", "status")
@@ -193,7 +198,7 @@ named AS (
   FROM rows),
 calls AS (SELECT conv_id, turn, own AS call_id, text, prev, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM named WHERE role = 'user'),
 results AS (SELECT conv_id, own AS call_id, count(*) AS n, string_agg(CAST(to_json(text) AS VARCHAR), ',' ORDER BY turn, text) AS texts FROM named WHERE role = 'assistant' AND own IS NOT NULL GROUP BY ALL)
-SELECT c.conv_id, c.call_id, c.turn, CASE WHEN n IS NULL THEN 'unanswered' ELSE 'answered' END AS status, CAST(position AS INTEGER) AS level, CAST(position AS INTEGER) AS position,
+SELECT c.conv_id, c.call_id, c.turn, CASE WHEN n IS NULL THEN 'unanswered' ELSE 'answered' END AS status, 0 AS level, CAST(position AS INTEGER) AS position,
   CAST(coalesce(n, 0) AS INTEGER) AS n_results, length(text) > 0 AS valid, CASE WHEN length(text) > 0 THEN '' ELSE '$.prompt: length 0' END AS errors,
   '{"after":[' || coalesce('"' || prev || '"', '') || '],"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || '},"id":"' || c.call_id || '","name":"reply","results":[' || coalesce(texts, '') || ']}' AS json
 FROM calls c LEFT JOIN results r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.call_id = r.call_id
