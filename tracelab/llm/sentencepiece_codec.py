@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import slices
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
+HEAD = np.uint64(44)  # the filter before the search sees the first 20 bits of a key
 CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CACHE = 200_000
 
@@ -62,7 +64,7 @@ def key_of(codes: np.ndarray) -> np.ndarray:
     h = np.zeros(codes.shape[0], np.uint64)
     for i in range(codes.shape[1]):
         h = h * BASE + codes[:, i].astype(np.uint64) + np.uint64(1)
-    return mix64(h + np.uint64(codes.shape[1]))
+    return h * SPREAD
 
 
 class Codec:
@@ -93,8 +95,10 @@ class Codec:
         order = np.argsort(keys)
         self.keys, self.ids, self.scores = keys[order], ids[order], np.array(scores)[ids[order]]
         self.single = {self.pieces[i] for i in plain if len(self.pieces[i]) == 1} - {SPACE}
-        self.head = np.zeros(1 << 16, bool)
-        self.head[(self.keys >> np.uint64(48)).astype(np.int64)] = True
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces share a key")
+        self.head = np.zeros(1 << 20, bool)
+        self.head[(self.keys >> HEAD).astype(np.int64)] = True
         self.surface = [b"" for _ in self.pieces]
         for i in plain:
             self.surface[i] = self.pieces[i].replace(SPACE, " ").encode()
@@ -108,14 +112,14 @@ class Codec:
     def probe(self, key: np.ndarray) -> np.ndarray:
         """Place of each key among the sorted ones, or -1."""
         out = np.full(len(key), -1)
-        maybe = np.flatnonzero(self.head[(key >> np.uint64(48)).astype(np.int64)])
+        maybe = np.flatnonzero(self.head[(key >> HEAD).view(np.int64)])
         at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
         hit = self.keys[at] == key[maybe]
         out[maybe[hit]] = at[hit]
         return out
 
-    def viterbi(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length."""
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of one length."""
         n, size = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size).astype(np.uint64)
         prefix = np.zeros((size + 1, n), np.uint64)  # hash of the first i characters
@@ -125,28 +129,37 @@ class Codec:
         best = np.full((size + 1, n), -np.inf)
         best[0] = 0
         start, place = np.zeros((size + 1, n), np.int32), np.full((size + 1, n), -1, np.int32)
+        rows = np.arange(n)
         for end in range(1, size + 1):
             begins = np.arange(max(0, end - self.longest), end)
-            step = end - begins
-            key = mix64(prefix[end] - prefix[begins] * power[step][:, None] + step.astype(np.uint64)[:, None])
+            key = (prefix[end] - prefix[begins] * power[end - begins][:, None]) * SPREAD
             at = self.probe(key.ravel()).reshape(key.shape)
             gain = np.where(at >= 0, self.scores[at], -np.inf)
-            gain[-1] = np.where(at[-1] >= 0, gain[-1], self.unknown)
+            gain[-1][at[-1] < 0] = self.unknown
             total = best[begins] + gain
             top = total.argmax(axis=0)
-            rows = np.arange(n)
             best[end], start[end], place[end] = total[top, rows], begins[top], at[top, rows]
-        out = []
-        start, place = start.T, place.T
-        for w, s, p in zip(words, start.tolist(), place.tolist(), strict=True):
-            ids, end = [], size
-            while end:
-                if p[end] >= 0:
-                    ids.append(int(self.ids[p[end]]))
-                else:
-                    ids += self.fallback(w[s[end] : end])[::-1]
-                end = s[end]
-            out.append(ids[::-1])
+        end, count, strange = np.full(n, size), np.zeros(n, np.int64), np.zeros(n, bool)
+        back = np.zeros((n, size), np.int32)
+        live = rows
+        while len(live):
+            p = place[end[live], live]
+            strange[live] |= p < 0
+            back[live, count[live]] = self.ids[p]
+            count[live] += 1
+            end[live] = start[end[live], live]
+            live = live[end[live] > 0]
+        turn = count[:, None] - 1 - np.arange(int(count.max()))
+        flat = np.take_along_axis(back, np.maximum(turn, 0), 1)[turn >= 0].astype("<i4").tobytes()
+        cut = (np.cumsum(count) * 4).tolist()
+        out = [flat[s:e] for s, e in zip([0, *cut[:-1]], cut, strict=True)]
+        for i in np.flatnonzero(strange).tolist():
+            ids, e = [], size
+            while e:
+                s, p = int(start[e, i]), int(place[e, i])
+                ids += [int(self.ids[p])] if p >= 0 else self.fallback(words[i][s:e])[::-1]
+                e = s
+            out[i] = np.array(ids[::-1], "<i4").tobytes()
         return out
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
@@ -154,27 +167,30 @@ class Codec:
         groups: dict[int, list[str]] = {}
         whole: dict[str, list[str]] = {}
         for w in words:
-            parts = [w]
-            if len(w) > 64:  # no piece spans an unknown character, so the word may be cut there
-                parts, run = [], []
-                for c in w:
-                    if c in self.single or c == SPACE:
-                        run.append(c)
-                    else:
-                        parts += ["".join(run)] * bool(run) + [c]
-                        run = []
-                parts += ["".join(run)] * bool(run)
+            if len(w) <= 64:
+                groups.setdefault(len(w), []).append(w)
+                continue
+            parts, run = [], []  # no piece spans an unknown character, so the word may be cut there
+            for c in w:
+                if c in self.single or c == SPACE:
+                    run.append(c)
+                else:
+                    parts += ["".join(run)] * bool(run) + [c]
+                    run = []
+            parts += ["".join(run)] * bool(run)
             whole[w] = parts
             for p in parts:
                 groups.setdefault(len(p), []).append(p)
         packed: dict[str, bytes] = {}
         for size, group in groups.items():
-            distinct = list(dict.fromkeys(group))
-            for at in range(0, len(distinct), max(1, 400_000 // (size * self.longest))):
-                part = distinct[at : at + max(1, 400_000 // (size * self.longest))]
-                for p, ids in zip(part, self.viterbi(part), strict=True):
-                    packed[p] = np.array(ids, "<i4").tobytes()
-        return {w: b"".join([packed[p] for p in parts]) for w, parts in whole.items()}
+            if whole:
+                group = list(dict.fromkeys(group))
+            step = max(1, 400_000 // (size * min(size, self.longest)))
+            for at in range(0, len(group), step):
+                packed.update(zip(group[at : at + step], self.viterbi(group[at : at + step]), strict=True))
+        for w, parts in whole.items():
+            packed[w] = b"".join([packed[p] for p in parts])
+        return packed
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
@@ -191,7 +207,7 @@ class Codec:
                 cut.append(CUT.findall((" " + t).replace(" ", SPACE)) if t else [])
         if len(self.seen) > CACHE:
             self.seen = {}
-        new = {w for words in cut for w in words if type(w) is str and w not in self.seen}
+        new = {w for w in set().union(*cut) if type(w) is str and w not in self.seen}
         now = self.learn(new) if new else {}
         if len(self.seen) + len(now) <= 2 * CACHE:
             self.seen |= now
