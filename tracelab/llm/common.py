@@ -35,8 +35,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, for choosing how many buckets to deal it into."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's estimate of df's size, for choosing how many buckets to deal it into; measured where the
+    optimizer knows nothing, as for rows from Python."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 55:
+        return size
+    text = [c for c, kind in df.dtypes if kind == "string"]
+    return df.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(16)).cast("long")), F.lit(0))).first()[0]
 
 
 def release_shuffles(spark: SparkSession) -> None:
