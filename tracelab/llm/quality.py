@@ -114,13 +114,27 @@ class Block:
         _, first = np.unique(key, return_index=True)
         return self.n_lines - np.bincount(text[first], minlength=len(self))
 
+    @cached_property
+    def word_hash(self) -> np.ndarray:
+        return span_hash(self.prefix, *self.words)
+
+    @cached_property
+    def word_text(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self)), self.n_words)
+
+    @cached_property
+    def n_stutters(self) -> np.ndarray:
+        """Words equal to the word before them."""
+        h, owner = self.word_hash, self.word_text
+        again = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
+        return np.bincount(owner[1:][again], minlength=len(self))
+
     @cached_property
     def n_repeat_words(self) -> np.ndarray:
-        starts, ends = self.words
-        if len(starts) < 8:
+        h, owner = self.word_hash, self.word_text
+        if len(h) < 8:
             return np.zeros(len(self), np.int64)
-        h = span_hash(self.prefix, starts, ends)
-        owner = np.repeat(np.arange(len(self)), self.n_words)
         n = len(h) - 7
         window = np.zeros(n, np.uint64)
         for j in range(8):
@@ -159,7 +173,12 @@ def _symbols(b: Block) -> np.ndarray:
 
 
 def _dup_lines(b: Block) -> np.ndarray:
-    return 10 * b.n_dup_lines > 3 * np.maximum(b.n_lines, 1)
+    """More than half the lines: a title said twice in a short text is no reason."""
+    return (2 * b.n_dup_lines > b.n_lines) & (b.n_lines >= 4)
+
+
+def _stutters(b: Block) -> np.ndarray:
+    return 5 * b.n_stutters > b.n_words
 
 
 def _shouting(b: Block) -> np.ndarray:
@@ -176,7 +195,7 @@ def _word_length(b: Block) -> np.ndarray:
 
 BASE = (Rule("few_words", _few_words), Rule("repeats", _repeats))
 RULES = (
-    *BASE, Rule("symbols", _symbols), Rule("dup_lines", _dup_lines), Rule("shouting", _shouting), Rule("marks", _marks), Rule("word_length", _word_length),
+    *BASE, Rule("symbols", _symbols), Rule("dup_lines", _dup_lines), Rule("stutters", _stutters), Rule("shouting", _shouting), Rule("marks", _marks), Rule("word_length", _word_length),
 )
 
 
