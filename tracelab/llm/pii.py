@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -319,7 +320,9 @@ class Crf:
         return tag
 
 
+@cache
 def train() -> Crf:
+    """The trained field; the table and the rule are fixed, so once for a process is enough."""
     return Crf().train(labelled()).prepare()
 
 
