@@ -41,7 +41,7 @@ from .common import mix64, planned_bytes, prefix_hash, release_shuffles, settle,
 from .common import _power as power
 
 GRAM = 24
-CHUNK = 1_500_000  # bytes of text taken at once
+CHUNK = 1_000_000  # bytes of text taken at once
 PLACES = 250_000  # places of one suffix array, more only where one anchor has more
 RUN = np.dtype([("h", "<u4"), ("r1", "<u4"), ("r2", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1")])
 CUT = np.dtype([("doc", "<i8"), ("at", "<u4"), ("to", "<u4")])
