@@ -199,6 +199,33 @@ def test_very_long_text_is_cut_in_chunks(spark, monkeypatch):
     assert runs[2].sum() == len(t) - 49 and (np.diff(runs[1]) == runs[2][:-1]).all()
 
 
+def test_known_runs_cross_chunks_and_may_be_forgotten():
+    u = lambda *x: np.array(x, np.uint64)
+    i = lambda *x: np.array(x, np.int64)
+    known = suffix_dedup.Known(2)
+    assert known.smallest(u(5, 9), i(7, 7)).tolist() == [7, 7]
+    known.add(u(5, 9), i(4, 6))
+    assert known.smallest(u(5, 8, 9), i(7, 7, 2)).tolist() == [4, 7, 2]
+    known.add(u(5, 11), i(3, 1))  # 9 is the oldest
+    assert known.smallest(u(5, 9, 11), i(7, 7, 7)).tolist() == [3, 7, 1]
+
+
+@pytest.mark.parametrize("known", [400_000, 3])
+def test_hot_passage_over_many_chunks(spark, monkeypatch, known):
+    """Falling ids, so that each chunk holds a smaller document than the ones before it."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 600)
+    monkeypatch.setattr(suffix_dedup, "KNOWN", known)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    hot, rows = word(130), []
+    for n in range(60):
+        doc = int(rng.permutation(200)[0]) + 200 * (n % 3 == 0) + n * 1000 * (-1) ** n
+        rows.append((doc, word(40) + hot + (hot if n % 5 == 0 else "") + word(int(rng.integers(0, 90)))))
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = repeats(rows)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
 # ---------------------------------------------------------------- 4
 
 

@@ -10,6 +10,9 @@ goes into suffix arrays:
 A. Every `least`-byte window has an anchor, its k-gram of smallest hash (a minimizer, leftmost on ties), which depends
    on the window's bytes alone; equal windows have equal anchors. The windows of one anchor are a run, about 13 of
    them. Runs are dealt by anchor hash as packed planes, about 15 bytes each after compression.
+   Copies that a task sees again end here: within a chunk of text by sorting, across chunks by a table of the runs that
+   were found twice in a chunk. What a full table forgets is merely dealt, so a passage that stands in a third of all
+   documents reaches step B about once a task, not once a chunk.
 B. Runs whose anchor occurs in one document only hold no match and end here. Runs of identical bytes form one class: a
    copy in a larger document is its representative's text again, so its bytes go; the representative (smallest id)
    stands for the class.
@@ -43,6 +46,7 @@ from .common import _power as power
 GRAM = 24
 CHUNK = 1_000_000  # bytes of text taken at once
 PLACES = 250_000  # places of one suffix array, more only where one anchor has more
+KNOWN = 400_000  # frequent runs that a task remembers, 16 bytes each
 RUN = np.dtype([("h", "<u4"), ("r1", "<u4"), ("r2", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1")])
 CUT = np.dtype([("doc", "<i8"), ("at", "<u4"), ("to", "<u4")])
 PIECE = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "u1"), ("h", "<u4"), ("b", "<u4"), ("hot", "u1")])
@@ -120,6 +124,39 @@ def lpf(data: np.ndarray, at: np.ndarray, doc: np.ndarray, depth: int, least: in
     return out
 
 
+class Known:
+    """Runs that were found twice in a chunk, with the smallest document that held them so far: at most `most` of
+    them, the least recently added ones go first. A forgotten run costs time, never a match."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.run, self.doc, self.age = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.round = 0
+
+    def smallest(self, run: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """For each run the smallest document known to hold it, its own one if none is smaller."""
+        if not len(self.run):
+            return doc
+        at = np.minimum(np.searchsorted(self.run, run), len(self.run) - 1)
+        return np.where(self.run[at] == run, np.minimum(doc, self.doc[at]), doc)
+
+    def add(self, run: np.ndarray, doc: np.ndarray) -> None:
+        """Remember runs (unique here) with the smallest document of their chunk."""
+        if not len(run):
+            return
+        self.round += 1
+        run, doc = np.concatenate((self.run, run)), np.concatenate((self.doc, doc))
+        age = np.concatenate((self.age, np.full(len(run) - len(self.age), self.round)))
+        order = np.lexsort((doc, run))
+        run, doc, age = run[order], doc[order], age[order]
+        head = np.flatnonzero(np.diff(run, prepend=run[:1] + np.uint64(1)))
+        run, doc, age = run[head], doc[head], np.maximum.reduceat(age, head)
+        if len(run) > self.most:
+            keep = np.sort(np.argsort(-age, kind="stable")[: self.most])
+            run, doc, age = run[keep], doc[keep], age[keep]
+        self.run, self.doc, self.age = run, doc, age
+
+
 # ---------------------------------------------------------------- runs of windows
 
 
@@ -180,12 +217,13 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
         return got
 
     def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(KNOWN)
         for b in slices(batches, most=CHUNK):
             b = b.filter(b.column(0).is_valid())
             data, off = text_column(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for s, e in pieces(off, CHUNK):  # a very long text alone may be larger
-                yield from deal(data[off[s] : off[e]], off[s : e + 1] - off[s], ids[s:e])
+                yield from deal(data[off[s] : off[e]], off[s : e + 1] - off[s], ids[s:e], known)
 
     def pieces(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = 0
@@ -194,16 +232,16 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
             yield at, to
             at = to
 
-    def deal(data: np.ndarray, off: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def deal(data: np.ndarray, off: np.ndarray, ids: np.ndarray, known: Known) -> Iterator[pa.RecordBatch]:
         chunk, lap = CHUNK, least - 1
         if len(data) <= chunk:
-            yield from deal_chunk(data, off, ids, np.zeros(len(ids), np.int64))
+            yield from deal_chunk(data, off, ids, np.zeros(len(ids), np.int64), known)
             return
         for at in range(0, len(data) - lap, chunk):  # one text: chunks overlap by a window less one byte
             part = data[at : at + chunk + lap]
-            yield from deal_chunk(part, np.array([0, len(part)]), ids, np.array([at]))
+            yield from deal_chunk(part, np.array([0, len(part)]), ids, np.array([at]), known)
 
-    def deal_chunk(data: np.ndarray, off: np.ndarray, ids: np.ndarray, shift: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def deal_chunk(data: np.ndarray, off: np.ndarray, ids: np.ndarray, shift: np.ndarray, known: Known) -> Iterator[pa.RecordBatch]:
         row, first, count, h, content = runs(data, off, least)
         if not len(row):
             return
@@ -211,9 +249,13 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
         order = np.lexsort((doc, content))
         head = np.ones(len(order), bool)
         head[1:] = content[order][1:] != content[order][:-1]
-        least_doc = doc[order][head][np.cumsum(head) - 1]
+        kind = np.flatnonzero(head)
+        run = content[order[kind]]
+        least_doc = known.smallest(run, doc[order[kind]])
         copy = np.zeros(len(order), bool)
-        copy[order] = doc[order] > least_doc  # a copy of a run of a smaller document right here
+        copy[order] = doc[order] > least_doc[np.cumsum(head) - 1]  # a copy of a run of a smaller document of this task
+        often = np.diff(np.append(kind, len(order))) > 1
+        known.add(run[often], least_doc[often])
         found = []
         gone = cuts(doc[copy], at[copy], at[copy] + count[copy] + least - 1)
         for p, own in grouped(gone, part_of(gone["doc"])):
