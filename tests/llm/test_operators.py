@@ -438,6 +438,18 @@ def test_tool_calls(spark):
     assert got[None, "n", "answered"]["valid"]
 
 
+def test_stretches_change_nothing(spark, monkeypatch):
+    """One long conversation with odd turns, in stretches of any length."""
+    rng = np.random.default_rng(9)
+    rows = [(int(c) if c else None, None if t > 57 else int(t) - 5, str(rng.choice(["user", "assistant", "tool", "system"])), f"say {t % 7}") for c in (0, 1, 2) for t in rng.integers(0, 60, 90)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = []
+    for n in (1_000_000, 4, 1):
+        monkeypatch.setattr(chat, "TURNS", n)
+        got.append(sorted(map(str, chat.format_conversations(df).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 50
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(spark, sf, name):
     c = duckdb.connect()

@@ -10,6 +10,9 @@ long the conversation. In the other conversations levels are peeled off round by
 dependency chain there): 0 without dependency, else one more than the highest level among those, and the order is
 (level, turn, idx). Calls on a cycle, or that depend on one or on an unknown call, get level -1 and come last.
 
+No task orders a whole conversation: turns are cut into stretches of `TURNS` and each stretch is ordered by itself;
+what goes before it (the last call of a user, the number of records) comes from one summary row per stretch.
+
 Edge cases: an identifier that several calls of a conversation share belongs to the earliest of them, the others are
 "duplicate"; a result whose identifier no call has is an "orphan" record; a call without result is "unanswered";
 null texts are empty; null conversations form one conversation; arguments that aren't a JSON object are invalid;
@@ -27,6 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
+#: Turns of a conversation that one task orders.
+TURNS = 4096
+
 KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
@@ -104,10 +110,15 @@ def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain conversations in the same shape: each user turn calls "reply" with its text and, after the first, names
     the call before it; each later message of an assistant, up to the next user turn, is a result of it."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     name = F.when(F.col("role") == "user", F.concat(F.lit("turn-"), F.coalesce(F.col("turn").cast("string"), F.lit("none"))))
+    rows = rows.withColumn("part", F.floor(F.col("turn") / TURNS))
+    order = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
     rows = rows.withColumns({"own": F.last(name, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "last": F.last(name, True).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    ends = rows.groupBy("conv_id", "part").agg(F.max(F.when(name.isNotNull(), F.struct("turn", name.alias("name"))))["name"].alias("end"))
+    ahead = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.last("end", True).over(ahead).alias("before"))
+    rows = rows.join(ends, [rows.conv_id.eqNullSafe(ends.c), rows.part.eqNullSafe(ends.p)]).withColumns({"own": F.coalesce("own", "before"), "last": F.coalesce("last", "before")})
     calls = rows.where("role = 'user'").select(
         "conv_id", "turn", F.lit(0).alias("idx"), F.col("own").alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"))).alias("arguments"),
         F.when(F.col("last").isNotNull() & (F.col("last") != F.col("own")), F.array("last")).otherwise(F.array().cast("array<string>")).alias("after"),
@@ -155,8 +166,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         F.when(F.col("m.call_id").isNull(), "orphan").when(F.col("g.call_id").isNull(), "unanswered").otherwise("answered").alias("status"), F.coalesce("l.level", F.when(F.col("m.call_id").isNull(), -1).otherwise(0)).alias("level"), "m.name", "m.arguments", F.coalesce("m.after", F.array().cast("array<string>")).alias("after"), F.transform(F.coalesce("g.results", F.array().cast("array<struct<turn:long,idx:int,content:string>>")), lambda r: r["content"]).alias("contents"),
     )
     doubles = ranked.where("nth > 1").select("conv_id", "call_id", "turn", "idx", F.lit("duplicate").alias("status"), F.lit(-1).alias("level"), "name", "arguments", "after", F.array().cast("array<string>").alias("contents"))
-    place = Window.partitionBy("conv_id").orderBy(F.col("level") < 0, "level", "turn", "idx", "call_id", "status")
-    placed = rows.unionByName(doubles).withColumn("position", F.row_number().over(place) - 1)
+    ready = settle(rows.unionByName(doubles).withColumns({"late": F.col("level") < 0, "part": F.floor(F.col("turn") / TURNS)}), "records")
+    counts = ready.groupBy("conv_id", "late", "level", "part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("conv_id").orderBy("late", "level", "part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("conv_id").alias("c"), F.col("level").alias("l"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("conv_id", "level", "part").orderBy("turn", "idx", "call_id", "status", "arguments")
+    numbered = ready.withColumn("nth", F.row_number().over(inside))
+    placed = numbered.join(counts, [numbered.conv_id.eqNullSafe(counts.c), numbered.level == counts.l, numbered.part.eqNullSafe(counts.p)]).withColumn("position", F.col("before") + F.col("nth") - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
