@@ -238,6 +238,14 @@ def test_toxicity_holds_out_and_finds(spark, sf):
     assert sum(bad) >= 0.6 * len(bad) and sum(good) <= 0.05 * len(good)
 
 
+def test_fit_is_bounded_by_ids(spark):
+    """Rows that share an id count as one example."""
+    rows = [(1, "you vile rotten fool"), (3, "you vile rotten fool")] * 40 + [(4, "a calm walk in the park")] * 40 + [(i, f"vile rotten {i}" if i % 2 else f"calm walk {i}") for i in range(5, 60)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int"))
+    ids = {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert model.n.sum() == len(ids) and model.bad.sum() == sum(i % 2 for i in ids)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     rows = (rng.random((300, 21)) < 0.2) * rng.integers(1, 5, (300, 21)).astype(np.float32)

@@ -1,6 +1,7 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Fit. Up to `examples` labelled rows (lowest key hash first; the bound is the parameter) are the examples. Terms are
+Fit. Up to `examples` labelled rows (lowest key hash first; the bound is the parameter) are the examples, an id's
+smallest text standing for all its rows. Terms are
 lower-cased words and their byte prefixes; the `terms` ones with the largest chi-square against the label, counted on
 the executors, form the vocabulary. A length term with tf = words / 25 stands in every text, so that cosine compares
 densities and one marker in a long text weighs little. Weights are tf * (ln((1 + N) / (1 + df)) + 1), L2-normalised.
@@ -153,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 6000, terms: int = 3
     known = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull() & ~held_out(key)).groupBy(key).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit(seed), key), key).limit(examples)
     # at most `examples` rows of two numbers: safe to broadcast
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen.select(F.col(key).cast("long").alias("id"), F.col("toxic").cast("long"))), "id").select("id", "text", "toxic")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen.select(F.col(key).cast("long").alias("id"), F.col("toxic").cast("long"))), "id")
+    # one text for each id: an id that many rows share must not outgrow the bound
+    rows = rows.groupBy("id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("id", "text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
