@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, slices, span_hash, text_column, word_bounds
+from .common import prefix_hash, settle, slices, span_hash, text_column, word_bounds
 
 LETTER = np.zeros(256, bool)
 LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -155,8 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 6000, terms: int = 3
     chosen = known.orderBy(F.xxhash64(F.lit(seed), key), key).limit(examples)
     # at most `examples` rows of two numbers: safe to broadcast
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen.select(F.col(key).cast("long").alias("id"), F.col("toxic").cast("long"))), "id")
-    # one text for each id: an id that many rows share must not outgrow the bound
-    rows = rows.groupBy("id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("id", "text", "toxic")
+    # one text for each id: an id that many rows share must not outgrow the bound; settled, since it is read three times
+    rows = settle(rows.groupBy("id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("id", "text", "toxic"), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
