@@ -110,7 +110,7 @@ def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain conversations in the same shape: each user turn calls "reply" with its text and, after the first, names
     the call before it; each later message of an assistant, up to the next user turn, is a result of it."""
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    rows = settle(conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct(), "turns")
     name = F.when(F.col("role") == "user", F.concat(F.lit("turn-"), F.coalesce(F.col("turn").cast("string"), F.lit("none"))))
     rows = rows.withColumn("part", F.floor(F.col("turn") / TURNS))
     order = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
@@ -118,7 +118,7 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = rows.groupBy("conv_id", "part").agg(F.max(F.when(name.isNotNull(), F.struct("turn", name.alias("name"))))["name"].alias("end"))
     ahead = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.last("end", True).over(ahead).alias("before"))
-    rows = rows.join(ends, [rows.conv_id.eqNullSafe(ends.c), rows.part.eqNullSafe(ends.p)]).withColumns({"own": F.coalesce("own", "before"), "last": F.coalesce("last", "before")})
+    rows = settle(rows.join(ends, [rows.conv_id.eqNullSafe(ends.c), rows.part.eqNullSafe(ends.p)]).withColumns({"own": F.coalesce("own", "before"), "last": F.coalesce("last", "before")}), "named")
     calls = rows.where("role = 'user'").select(
         "conv_id", "turn", F.lit(0).alias("idx"), F.col("own").alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"))).alias("arguments"),
         F.when(F.col("last").isNotNull() & (F.col("last") != F.col("own")), F.array("last")).otherwise(F.array().cast("array<string>")).alias("after"),
