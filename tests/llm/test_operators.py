@@ -239,24 +239,83 @@ def test_toxicity_holds_out_and_finds(spark, sf):
 
 
 def test_fit_is_bounded_by_ids(spark):
-    """Rows that share an id count as one example."""
+    """Rows that share an id count as one example; texts beyond the bound of bytes are none."""
     rows = [(1, "you vile rotten fool"), (3, "you vile rotten fool")] * 40 + [(4, "a calm walk in the park")] * 40 + [(i, f"vile rotten {i}" if i % 2 else f"calm walk {i}") for i in range(5, 60)]
-    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int"))
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
     ids = {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
-    assert model.n.sum() == len(ids) and model.bad.sum() == sum(i % 2 for i in ids)
-
-
-def test_block_max_search_is_exact():
+    assert sorted(model.ids.tolist()) == sorted(ids) and model.toxic.sum() == sum(i % 2 for i in ids)
+    assert 0 < len(toxicity.fit(df, labels, example_bytes=300).ids) < 40
+    assert len(toxicity.fit(df, labels, examples=9).ids) <= 9
+
+
+def plain_vectors(examples, texts):
+    """Unit TF-IDF vectors of examples {id: (text, toxic)} and of texts, by dictionaries."""
+
+    def counts(t):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").lower().encode())
+        return Counter([*((w, 0) for w in words), *((w[:n], n and 0) for w in words for n in toxicity.PREFIXES if len(w) > n)]), len(words)
+
+    n, share = len(examples), sum(y for _, y in examples.values()) / len(examples)
+    made = {i: counts(t) for i, (t, _) in examples.items()}
+    df, bad = Counter(w for c, _ in made.values() for w in c), Counter(w for i, (c, _) in made.items() for w in c if examples[i][1])
+    weight = {}
+    for w, d in df.items():
+        p = (bad[w] + 20 * share) / (d + 20)
+        lift = math.log(p / (1 - p)) - math.log(share / (1 - share))
+        weight[w] = (math.log((1 + n) / (1 + d)) + 1) * (0.005 + max(lift, 0) ** 2)
+
+    def unit(made):
+        c, words = made
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in c.items() if w in weight} | {None: max(words, 1) / 12.5}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    return {i: unit(c) for i, c in made.items()}, [unit(counts(t)) for t in texts]
+
+
+def test_neighbours_as_by_brute_force(spark, docs, sf, texts):
+    """The whole query: every text against every example, without an index."""
+    labels = common.table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels)
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    assert sorted(model.ids.tolist()) == sorted(toxic)
+    asked = [*texts.values(), "", None, "zzz qqq", "idiot", "the idiot of the " * 30]
+    examples, vectors = plain_vectors({i: (texts[i], y) for i, y in toxic.items()}, asked)
+    best, which = model.search(*model.vectors(pa.array(asked)))
+    ids = sorted(examples)
+    for v, cs, ws in zip(vectors, best, which, strict=True):
+        cos = {i: sum(x * examples[i].get(w, 0.0) for w, x in v.items()) for i in ids}
+        want = sorted(ids, key=lambda i: (-cos[i], i))[: model.k]
+        assert np.allclose(cs, [cos[i] for i in want], atol=1e-6)
+        got = model.ids[ws].tolist()
+        assert len(set(got)) == model.k and all(abs(cos[a] - cos[b]) < 1e-6 for a, b in zip(got, want, strict=True))
+    score = {r["doc_id"]: r["score"] for r in queries.op4_toxicity(spark, sf).collect()}
+    p, _ = model.score(pa.array(list(texts.values())))
+    assert np.allclose([score[i] for i in texts], p)
+
+
+@pytest.mark.parametrize("n", [3, 40, 700])
+def test_block_max_search_is_exact(n):
+    """Random vectors, with many equal ones; ties to the smaller id."""
     rng = np.random.default_rng(3)
-    rows = (rng.random((300, 21)) < 0.2) * rng.integers(1, 5, (300, 21)).astype(np.float32)
-    rows[:, -1] = 1
-    m = toxicity.Model(np.sort(rng.integers(0, 1 << 60, 20).astype(np.uint64)), np.ones(21, np.float32), rows, (rows[:, 0] > 0).astype(float), np.arange(300))
-    q = m.weigh((rng.random((50, 21)) < 0.2).astype(np.float32) + 0.01)
-    best, which = m.search(q)
-    cos = np.round(q @ m.kinds.T, 5)
-    for i in range(50):
-        order = np.lexsort((np.arange(len(m.kinds)), -cos[i]))[: m.k]
-        assert np.allclose(best[i], cos[i][order], atol=2e-5)
+    v = 50
+    rows = [(np.sort(rng.choice(v, rng.integers(0, 9), replace=False)), None) for _ in range(n)]
+    rows = [(t, np.ones(len(t))) for t, _ in rows]
+    toxic = np.array([int(bool(len(t)) and t[0] < 5) for t, _ in rows])
+    toxic[:2] = 0, 1
+    m = toxicity.Model(np.sort(rng.integers(0, 1 << 60, v).astype(np.uint64)), rows, rng.integers(1, 9, n), toxic, rng.permutation(n))
+    dense = np.zeros((n, v + 1))
+    term = np.repeat(np.arange(v + 1), m.begin[m.lists[1:]] - m.begin[m.lists[:-1]])
+    dense[m.doc, term] = m.x
+    for side in range(0, n, max(1, n // 20)):
+        q = dense[side]
+        at = np.flatnonzero(q)
+        best, which = m.search(at, q[at], np.array([0, len(at)]))
+        cos = np.round(dense @ q, 9)
+        want = np.lexsort((m.ids, -cos))[: m.k]
+        assert np.allclose(best[0, : len(want)], cos[want], atol=2e-9) and (best[0, len(want) :] == -1).all()
+        assert all(abs(cos[a] - cos[b]) < 3e-9 for a, b in zip(which[0], want, strict=False))
 
 
 # ---------------------------------------------------------------- 5
@@ -281,6 +340,35 @@ def test_mix(spark, sf, docs, edge):
     assert sizes == {r[0]: len(WORD.findall(r[1] or "")) for r in ROWS}
 
 
+def test_flow_against_brute_force():
+    """Random small networks: the most words, and the least cost for them."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        names = ["a", "b", "c"][: rng.integers(1, 4)]
+        kinds = [k for n in range(1, len(names) + 1) for k in __import__("itertools").combinations(names, n)]
+        patterns = {kinds[i]: int(rng.integers(0, 4)) for i in rng.choice(len(kinds), min(3, len(kinds)), replace=False)}
+        quotas, costs = {s: int(rng.integers(0, 6)) for s in names}, [0, 1, 4]
+        arcs = [(p, s) for p in patterns for s in p]
+        best = None
+        for given in __import__("itertools").product(*(range(min(3 * patterns[p], quotas[s]) + 1) for p, s in arcs)):
+            of = {p: sum(x for x, (q, _) in zip(given, arcs, strict=True) if q == p) for p in patterns}
+            if any(of[p] > 3 * n for p, n in patterns.items()) or any(sum(x for x, (_, t) in zip(given, arcs, strict=True) if t == s) > q for s, q in quotas.items()):
+                continue
+            cost = sum(costs[k] * max(0, min(n, of[p] - k * n)) for p, n in patterns.items() for k in range(3))
+            best = min(best or (0, 1 << 30), (-sum(given), cost))
+        flow = mixing.route(patterns, quotas, costs, 1000)
+        of = {p: sum(flow[p].values()) for p in patterns}
+        got = -sum(of.values()), sum(costs[k] * max(0, min(n, of[p] - k * n)) for p, n in patterns.items() for k in range(3))
+        assert got == best
+
+
+def test_many_sources_need_no_search(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as source", "'one two' as text")
+    assert mixing.mix_documents(df).agg(F.sum("taken")).first()[0] == pytest.approx(6000, rel=0.2)
+    with pytest.raises(ValueError, match="one network"):
+        mixing.route({(str(i), str(i + 1)): 1 for i in range(20)}, {str(i): 1 for i in range(21)}, [0, 1, 4], 10)
+
+
 def test_flow_is_cheapest():
     flow = mixing.min_cost_flow({("a",): 10, ("b",): 10, ("a", "b"): 10}, {"a": 25, "b": 5}, [0, 1, 4])
     assert sum(f.get("a", 0) for f in flow.values()) == 25 and sum(f.get("b", 0) for f in flow.values()) == 5
@@ -351,6 +439,31 @@ def test_simhash_links_lose_nothing(spark, list_rows):
     assert len(simhash.TRIPLES) == 20 and all(any(set(t) <= set(q) for t in simhash.TRIPLES) for q in __import__("itertools").combinations(range(8), 4))
 
 
+def test_simhash_without_ids_and_with_repeated_ids(spark):
+    """Null ids, and one id for different texts; ids too long for a double."""
+    words = " ".join(f"word{i}" for i in range(400))
+    big = (1 << 60) + 1
+    rows = [(None, words), (None, words + " end"), (None, "all alone here"), (big, words + " fin"), (big + 2, words), (5, "a b c d e f"), (5, "g h i j k l"), (3, "a b c d e f"), (None, None)]
+    prints = [slow_print(t) for _, t in rows]
+    of = components(dict(enumerate(prints)))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = []
+    for n, (i, _) in enumerate(rows):
+        ids = [rows[m][0] for m in of if of[m] == of[n] and rows[m][0] is not None]
+        want.append((i, f"{prints[n]:016x}", min(ids) if ids else None))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
+def test_components_of_a_long_chain(spark):
+    """However many rounds it takes."""
+    n = 3000
+    at = np.random.default_rng(7).permutation(n).tolist()
+    edges = spark.createDataFrame([(at[i], at[i + 1]) for i in range(n - 1) if i != n // 2], "a long, b long")
+    got = {r["node"]: r["component"] for r in simhash.components(edges).collect()}
+    left, right = min(at[: n // 2 + 1]), min(at[n // 2 + 1 :])
+    assert got | {left: left, right: right} == {x: left for x in at[: n // 2 + 1]} | {x: right for x in at[n // 2 + 1 :]}
+
+
 # ---------------------------------------------------------------- 7
 
 

@@ -1,16 +1,21 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
 1. Documents are aggregated by membership pattern (the sorted set of sources they belong to).
-2. On the driver a small network routes words from patterns to source quotas: each pattern offers its words once at
+2. On the driver small networks route words from patterns to source quotas: each pattern offers its words once at
    cost 0, a second time at a higher cost and so on (convex repetition costs), so no document is repeated before all
-   documents that could serve the same quota have been used once. Patterns are aggregates, not documents; their number
-   is bounded by the subsets of sources in use, and `max_patterns` guards it with an error.
+   documents that could serve the same quota have been used once. Sources that no pattern joins, directly or by way of
+   others, are networks of their own; a source alone needs no search, its flow is the lesser of quota and laps. Patterns
+   are aggregates, not documents: up to `max_patterns` rows reach the driver, and up to `max_joined` patterns are routed
+   in one network (about 5 s of the driver at 800); more raise an error.
 3. Documents of a pattern are laid on a line in seeded order, one lap per repetition; a source takes an interval of
    that line. A document's share is the overlap of its laps with the interval, found from prefix sums that are
    computed per hash bucket (no task ever orders a whole pattern).
 
-Edge cases: null text has size 0; a null source is a source of its own, last in order; repeated rows are separate
-documents of equal place; an empty table gives an empty result; sources without words get target 0.
+Edge cases: null text has size 0; a null source is a source of its own, last in order; rows without id, and rows of one
+id with different texts, are documents of their own; repeated rows are separate documents, one behind the other; a very
+long text is one document, of which a mix may take a part; an empty table gives an empty result; sources without words
+get target 0. Only the columns named are read; with `carry` the
+others travel in a struct, so no name can clash.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, word_count
+from .common import planned_bytes, settle, word_count
 
 
 def code_point_order(sources: set) -> list:
@@ -100,13 +105,47 @@ def min_cost_flow(patterns: dict[tuple, int], quotas: dict, costs: list[int]) ->
     return flow
 
 
+def route(patterns: dict[tuple, int], quotas: dict, costs: list[int], max_joined: int) -> dict[tuple, dict]:
+    """min_cost_flow of all patterns, network by network."""
+    up = {s: s for s in quotas}
+
+    def root(s):
+        while up[s] != s:
+            up[s] = up[up[s]]
+            s = up[s]
+        return s
+
+    for pattern in patterns:
+        for s in pattern[1:]:
+            up[root(s)] = root(pattern[0])
+    networks: dict = {}
+    for pattern, words in patterns.items():
+        networks.setdefault(root(pattern[0]) if pattern else (), {})[pattern] = words
+    flow: dict[tuple, dict] = {}
+    for own in networks.values():
+        if len(own) > max_joined:
+            raise ValueError(f"more than {max_joined} patterns in one network")
+        if len(own) == 1 and len(next(iter(own))) == 1:
+            ((pattern, words),) = own.items()
+            flow[pattern] = {pattern[0]: min(words * len(costs), quotas[pattern[0]])}
+        else:
+            flow |= min_cost_flow(own, {s: quotas[s] for s in sorted({s for p in own for s in p}, key=lambda s: (s is None, s or ""))}, costs)
+    return flow
+
+
 def mix(
     docs: DataFrame, sources: Column, size: Column, weights: Callable[[list], dict], key: str = "doc_id", passes: int = 3,
-    costs: list[int] | None = None, seed: int = 17, max_patterns: int = 100_000,
+    costs: list[int] | None = None, seed: int = 17, max_patterns: int = 1_000_000, max_joined: int = 1_000, carry: bool = False,
 ) -> DataFrame:
-    """One row per document: key, sources, size, taken (words of all laps), copies (whole laps, the last one rounded),
-    taken_by (words by source), source_sizes and targets (maps by source as JSON text, null as "null")."""
-    base = settle(docs.select(F.col(key), F.to_json(F.array_sort(F.array_distinct(sources))).alias("_pattern"), size.alias("size")), "mix-base")
+    """One row per document: key, size, taken (words of all laps), copies (whole laps, the last one rounded) and taken_by
+    (by source: words, the source's size and target). With carry, row (a struct of the columns of docs) and copies."""
+    names = [f"_mix_c{i}" for i in range(len(docs.columns))] if carry else []
+    kept = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=False)]
+    measured = docs.select(F.col(f"`{key}`").alias("_key"), F.to_json(F.array_sort(F.array_distinct(sources))).alias("_pattern"), size.alias("size"), *kept)
+    h = F.xxhash64(F.lit(seed), F.col("_key"))
+    # about 30,000 documents a bucket and pattern at most, from the planned size
+    bits = min(24, max(12, (planned_bytes(docs) >> 25).bit_length()))
+    base = settle(measured.select("_key", "_pattern", "size"), "mix-base")
     stats = base.groupBy("_pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(stats) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -117,7 +156,7 @@ def mix(
             sizes[s] = sizes.get(s, 0) + words
     order = code_point_order(set(sizes))
     target = water_fill(sizes, weights(order), sum(patterns.values()), passes)
-    flow = min_cost_flow(patterns, {s: round(target[s]) for s in order}, costs or [k * k for k in range(passes)])
+    flow = route(patterns, {s: round(target[s]) for s in order}, costs or [k * k for k in range(passes)], max_joined)
     shares = []
     for r in stats:
         pattern, at, parts = tuple(json.loads(r["_pattern"])), 0, []
@@ -127,24 +166,28 @@ def mix(
         shares.append((r["_pattern"], r["words"], parts))
     kind = "_pattern string, _words long, _parts array<struct<source:string,lo:long,hi:long,source_size:long,target:double>>"
     plan = base.sparkSession.createDataFrame(shares, kind)
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    placed = base.withColumns({"_h": h, "_bucket": F.shiftrightunsigned(h, 52)})
-    buckets = placed.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("_in"))
+    place = {"_h": h, "_bucket": F.shiftrightunsigned(h, 64 - bits)}
+    buckets = base.withColumns(place).groupBy("_pattern", "_bucket").agg(F.sum("size").alias("_in"))
     ahead = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("_pattern", "_bucket", F.coalesce(F.sum("_in").over(ahead), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_pattern", "_bucket").orderBy("_h", key, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tie = [F.xxhash64(*names)] if carry else []
+    inside = Window.partitionBy("_pattern", "_bucket").orderBy("_h", "_key", "size", *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (measured if carry else base).withColumns(place)
     lined = placed.withColumn("_in", F.sum("size").over(inside) - F.col("size")).join(buckets, ["_pattern", "_bucket"])
-    # the plan has a row per membership pattern, at most max_patterns: safe to broadcast
-    lined = lined.withColumn("_at", F.col("_before") + F.col("_in")).join(F.broadcast(plan), "_pattern")
+    # the plan has a row per membership pattern: broadcast where there are few
+    lined = lined.withColumn("_at", F.col("_before") + F.col("_in")).join(F.broadcast(plan) if len(shares) <= 10_000 else plan, "_pattern")
 
     def overlap(part: Column) -> Column:
         laps = [F.greatest(F.lit(0), F.least(F.col("_at") + j * F.col("_words") + F.col("size"), part["hi"]) - F.greatest(F.col("_at") + j * F.col("_words"), part["lo"])) for j in range(passes)]
         return sum(laps[1:], laps[0]).cast("long")
 
     taken_by = F.transform("_parts", lambda p: F.struct(p["source"].alias("source"), overlap(p).alias("words"), p["source_size"].alias("source_size"), p["target"].alias("target")))
-    out = lined.withColumn("taken_by", taken_by)
     taken = F.aggregate("taken_by", F.lit(0).cast("long"), lambda a, p: a + p["words"])
-    return out.withColumn("taken", taken).select(key, "size", "taken", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("copies"), "taken_by")
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    out = lined.withColumn("taken_by", taken_by).withColumn("taken", taken)
+    if carry:
+        return out.select(F.struct(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True))).alias("row"), copies.alias("copies"))
+    return out.select(F.col("_key").alias(key), "size", "taken", copies.alias("copies"), "taken_by")
 
 
 def cycle_weights(order: list) -> dict:
@@ -156,3 +199,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     mixed = mix(docs, F.array("source"), word_count(F.col("text")), cycle_weights)
     own = F.element_at("taken_by", 1)
     return mixed.select("doc_id", "size", own["source_size"].alias("source_size"), own["target"].alias("target"), "taken", "copies")
+
+
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as the mix of mix_documents takes it, the last lap rounded."""
+    mixed = mix(docs, F.array("source"), word_count(F.col("text")), cycle_weights, carry=True)
+    again = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>")))
+    return mixed.select("row", again.alias("lap")).select("row.*")

@@ -8,14 +8,21 @@ one in the next) such that any 4 of the 8 positions contain one of them; so ever
 a list the shared positional bytes of each pair are tallied over all eight positions, pairs under the minimum are
 dropped, and the rest are verified by their differing bits.
 
-Copies collapse before all that: one posting set per distinct fingerprint, carried by its smallest doc_id. A list with
+Copies collapse before all that: one posting set per distinct fingerprint, and fingerprints are the nodes of all links,
+so ids may be null or repeated. A list with
 more than `list_rows` entries is split into chunk pairs, one task unit for each pair of chunks, so no task holds a
 whole hot list and no pair is lost. Tasks emit a spanning forest of the links that they verified, not all pairs.
 Components follow from alternating large-star and small-star steps on those edges, settled in the shared folder after
-each round.
+each round, until a round changes nothing.
+
+Texts that are near by word shingles rather than by 64 bits are found by the same kind of index over larger
+fingerprints: see near_copies.
 
 Edge cases: null or blank text has fingerprint zero and links like any other; fewer words than a shingle give one
-shingle of the whole sequence; repeated rows share their component; an empty table gives an empty result.
+shingle of the whole sequence; rows without id link like any other, and a component that has no id at all has a null
+component_id; rows of one id with different texts are rows of their own; repeated rows share their component; a very
+long text is hashed in parts of 4,096 shingles; only id and text are read, so other columns can't clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -179,12 +186,12 @@ def links(classes: DataFrame, distance: int = 4, list_rows: int = 2048) -> DataF
     return spread.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, by large-star and small-star steps. Nodes without edges are
     left out. Each round's edges are settled in the shared folder; nothing but counts reaches the driver."""
     now = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.where("m < u").select("m", "u")).distinct()
@@ -202,7 +209,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     fps = settle(fingerprints(docs, shingle, key, text), "fingerprints")
-    classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = components(links(classes, distance))
-    label = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    found = components(links(classes.select(F.col("fp").alias("rep"), "fp"), distance))
+    named = settle(classes.join(found, classes.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("of")), "named")
+    least = named.groupBy("of").agg(F.min("first").alias("component_id"))
+    label = named.join(least, "of").select("fp", "component_id")
     return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of texts that are near by word shingles (five words, Jaccard 0.8): see near_copies."""
+    from . import near_copies  # which builds on this module
+
+    return near_copies.survivors(docs)

@@ -1,22 +1,27 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Fit. Up to `examples` labelled rows (lowest key hash first; the bound is the parameter) are the examples, an id's
-smallest text standing for all its rows. Terms are
-lower-cased words and their byte prefixes; the `terms` ones with the largest chi-square against the label, counted on
-the executors, form the vocabulary. A length term with tf = words / 25 stands in every text, so that cosine compares
-densities and one marker in a long text weighs little. Weights are tf * (ln((1 + N) / (1 + df)) + 1), L2-normalised.
-Examples of equal vector collapse into one class with counts.
-
-Search. Classes are sorted by their strongest term and cut into blocks of 64; each term keeps its largest weight per
-block. For a text the upper bound of a block is the dot product with those maxima; blocks are visited in falling order
-of the bound until it falls under the k-th best cosine: the k nearest classes are exact, ties to the lower class.
+Fit. Up to `examples` labelled rows (lowest key hash first), and of these as many as hold `example_bytes` of text, are
+the examples: the two bounds are the parameters. An id's smallest text stands for all its rows. Terms are lower-cased
+words and their byte prefixes of PREFIXES; all terms of all examples form the vocabulary. A term weighs
+(1 + ln tf) * idf * relevance, with idf = ln((1 + N) / (1 + df)) + 1 and relevance = FLOOR + lift**2, where lift is how
+far the log odds of the label given the term lie above the prior ones, `PRIOR` rows of the prior mixed in; no term weighs
+nothing. A length term of words / 12.5 stands in every text, so that one marker in a long text weighs little. Vectors
+are L2-normalised over the vocabulary.
+
+Search. Examples are ordered so that like ones stand together (their strongest term if it outweighs their length, then
+their length) and cut into blocks of BLOCK. A term's list holds (example, weight) by block, and the largest weight in
+each block; the maxima of terms that stand in a quarter of the blocks or more are kept as a matrix. For a text only the
+lists of its own terms are walked: the sum of its weights times block maxima bounds a block; blocks are scored in
+falling order of that bound, in waves, until it is under the k-th best cosine. So the k nearest examples are exact, ties
+to the smaller id.
 
 Score. Votes weigh 1 / (1 - cosine + 0.02) per example; the share of toxic votes is calibrated by a logistic curve
-fitted to leave-one-out shares of the examples. Evidence lists the nearest classes with cosine and votes.
+fitted to shares that each half of the examples gets from the other half alone. Evidence lists the nearest examples with cosine and label.
 
-Edge cases: null or blank text has only an empty length term and is scored as the nearest of such examples; with no
-usable label every score is 0; repeated rows score alike; an empty table gives an empty result. Labels, lang, source
-and doc_id are no inputs of a score.
+Edge cases: null or blank text has only the length term and is scored as the nearest of such examples; with no usable
+label every score is 0; repeated rows score alike; rows without id are scored like any other and never are examples; an
+empty table gives an empty result; columns beside id and text are never read by a score (labels, lang, source and
+doc_id are no inputs). A very long text costs time and memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -33,175 +38,214 @@ from .common import prefix_hash, settle, slices, span_hash, text_column, word_bo
 
 LETTER = np.zeros(256, bool)
 LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
-PREFIXES = (4, 5, 6, 7, 8)
-BLOCK = 64
+PREFIXES = (5, 7)
+BLOCK = 32
+PRIOR, FLOOR = 20.0, 0.005
+FIRST = 4  # blocks scored at first, then all that may still count
 
 
-def term_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For whole words, then each prefix length: (text of each term, term hash). First of all: (words per text, empty)."""
+def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each term, term hash, words per text): whole words, then their prefixes, as often as they stand."""
     data, off = text_column(pc.utf8_lower(column))
     starts, ends = word_bounds(data, off, LETTER)
     owner = np.searchsorted(off, starts, "right") - 1
-    yield np.bincount(owner, minlength=len(off) - 1), np.zeros(0, np.uint64)
     prefix = prefix_hash(data)
-    yield owner, span_hash(prefix, starts, ends)
+    who, h = [owner], [span_hash(prefix, starts, ends)]
     for n in PREFIXES:
         long = np.flatnonzero(ends - starts > n)
-        yield owner[long], span_hash(prefix, starts[long], starts[long] + n)
+        who.append(owner[long])
+        h.append(span_hash(prefix, starts[long], starts[long] + n))
+    return np.concatenate(who), np.concatenate(h), np.bincount(owner, minlength=len(off) - 1)
+
+
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run of count places."""
+    to = np.cumsum(count)
+    return np.repeat(start - (to - count), count) + np.arange(to[-1] if len(to) else 0)
 
 
 class Model:
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: np.ndarray, toxic: np.ndarray, ids: np.ndarray, k: int = 15):
-        """rows: tf of the examples over the vocabulary, with the length term last."""
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
+    """vocabulary: sorted term hashes. Examples: rows of (term places, 1 + ln tf), their words, labels and ids."""
+
+    def __init__(self, vocabulary: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], words: np.ndarray, toxic: np.ndarray, ids: np.ndarray, k: int = 15, calibrate: bool = True):
+        self.vocabulary, self.k, n, v = vocabulary, k, len(rows), len(vocabulary)
         self.near = np.zeros(1 << 16, bool)
         self.near[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
-        unit = self.weigh(rows)
-        kinds, own = np.unique(np.round(unit, 6).astype(np.float32), axis=0, return_inverse=True)
-        own = own.ravel()
-        n, bad, first = np.bincount(own, minlength=len(kinds)), np.bincount(own, toxic, len(kinds)), np.full(len(kinds), np.iinfo(np.int64).max)
-        np.minimum.at(first, own, ids)
-        top = np.where(kinds[:, :-1].max(axis=1, initial=0) > 0, kinds[:, :-1].argmax(axis=1) if kinds.shape[1] > 1 else 0, -1)
-        order = np.lexsort((first, -kinds[:, -1], top))
-        self.kinds, self.n, self.bad, self.first = np.ascontiguousarray(kinds[order]), n[order].astype(float), bad[order], first[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.blocks = range(0, len(self.kinds), BLOCK)
-        self.most = np.stack([self.kinds[b : b + BLOCK].max(axis=0) for b in self.blocks], axis=1)
+        size = np.array([len(t) for t, _ in rows])
+        own, term = np.repeat(np.arange(n), size), np.concatenate([t for t, _ in rows])
+        df, bad, share = np.bincount(term, minlength=v), np.bincount(term, toxic[own], v), toxic.mean()
+        odds = (bad + PRIOR * share) / (df + PRIOR)
+        lift = np.log(odds / (1 - odds)) - np.log(share / (1 - share))
+        self.weight = np.append((np.log((1 + n) / (1 + df)) + 1) * (FLOOR + np.maximum(lift, 0) ** 2), 2 / 25)
+        at, x, cut = self.unit(own, term, np.concatenate([f for _, f in rows]), words)
+        strong = np.full(n, -1)
+        for i in range(n):
+            own_x = x[cut[i] : cut[i + 1]]  # the length term is the last one
+            if own_x.argmax() < len(own_x) - 1:
+                strong[i] = at[cut[i] + own_x.argmax()]
+        order = np.lexsort((ids, x[cut[1:] - 1], strong))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.toxic = ids[order], toxic[order].astype(float)
+        self.blocks = -(-n // BLOCK)
+        doc = place[np.repeat(np.arange(n), np.diff(cut))]
+        by = np.lexsort((doc, at))
+        at_by, self.doc, self.x = at[by], doc[by].astype(np.uint16 if n < 1 << 16 else np.int32), x[by].astype(np.float32)
+        part = at_by * self.blocks + doc[by] // BLOCK
+        head = np.flatnonzero(np.diff(part, prepend=-1))
+        self.block, self.begin = (part[head] % self.blocks).astype(np.int32), np.append(head, len(part)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.x, head)
+        self.lists = np.searchsorted(at_by[head], np.arange(v + 2)).astype(np.int32)
+        spans = np.diff(self.lists)
+        common = np.flatnonzero(4 * spans >= self.blocks)
+        self.wide = np.full(v + 1, -1, np.int32)
+        self.wide[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.blocks), np.float32)
+        seg = spread(self.lists[common], spans[common])
+        self.dense[np.repeat(np.arange(len(common)), spans[common]), self.block[seg]] = self.most[seg]
+        self.where = np.full((len(common), self.blocks), -1, np.int32)  # where the list of a common term has a block
+        self.where[np.repeat(np.arange(len(common)), spans[common]), self.block[seg]] = seg
         self.slope, self.shift = 1.0, 0.0
-        best, which = self.search(self.kinds)
-        share = self.share(best, which, np.arange(len(self.kinds)))
-        self.fit(share[place[own], toxic.astype(int)], toxic)
-
-    def weigh(self, tf: np.ndarray) -> np.ndarray:
-        x = tf * self.idf
-        return (x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32)
-
-    def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact k nearest classes of each unit vector: (cosines falling, classes)."""
-        k = min(self.k, len(self.kinds))
-        bound = q @ self.most + 1e-6
-        order = np.argsort(-bound, axis=1, kind="stable")
-        best, which = np.full((len(q), k), -1.0, np.float32), np.full((len(q), k), len(self.kinds))
-        for r in range(order.shape[1]):
-            block = order[:, r]
-            live = np.flatnonzero(bound[np.arange(len(q)), block] >= best[:, -1])
-            if not len(live):
-                break
-            for b in np.unique(block[live]):
-                rows = live[block[live] == b]
-                at = b * BLOCK
-                own = self.kinds[at : at + BLOCK]
-                cos = np.concatenate((best[rows], np.round(q[rows] @ own.T, 5)), axis=1)
-                ids = np.concatenate((which[rows], np.broadcast_to(np.arange(at, at + len(own)), (len(rows), len(own)))), axis=1)
-                top = np.lexsort((ids, -cos), axis=1)[:, :k]
-                best[rows], which[rows] = np.take_along_axis(cos, top, 1), np.take_along_axis(ids, top, 1)
+        if calibrate:
+            half, shares = np.arange(n) % 2, np.full(n, share)
+            for side in (0, 1):
+                mine, rest = np.flatnonzero(half == side), np.flatnonzero(half != side)
+                if len(mine) and 0 < toxic[rest].sum() < len(rest):
+                    other = Model(vocabulary, [rows[i] for i in rest], words[rest], toxic[rest], ids[rest], k, False)
+                    size = np.array([len(rows[i][0]) for i in mine])
+                    unit = other.unit(np.repeat(np.arange(len(mine)), size), np.concatenate([rows[i][0] for i in mine]), np.concatenate([rows[i][1] for i in mine]), words[mine])
+                    shares[mine] = other.share(*other.search(*unit))
+            self.fit(np.clip(shares, 1e-4, 1 - 1e-4), toxic)
+
+    def unit(self, own: np.ndarray, term: np.ndarray, tf: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term places, weights, bounds) of unit vectors in order of text and term; the length term is the last one."""
+        n, v = len(words), len(self.vocabulary)
+        own, term = np.concatenate((own, np.arange(n))), np.concatenate((term, np.full(n, v)))
+        x = np.concatenate((tf, np.maximum(words, 1))) * self.weight[term]
+        order = np.lexsort((term, own))
+        own, term, x = own[order], term[order], x[order]
+        return term, x / np.sqrt(np.bincount(own, x * x, n))[own], np.searchsorted(own, np.arange(n + 1))
+
+    def search(self, term: np.ndarray, x: np.ndarray, cut: np.ndarray, group: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """Exact k nearest examples of each unit vector: (cosines falling, places), -1 where there are fewer."""
+        n, total, blocks = len(cut) - 1, len(self.ids), self.blocks
+        k = min(self.k, total)
+        best, which = np.full((n, self.k), -1.0), np.full((n, self.k), -1)
+        for at in range(0, n, group):
+            to = min(n, at + group)
+            g, t, w = to - at, term[cut[at] : cut[to]], x[cut[at] : cut[to]]
+            own, wide = np.repeat(np.arange(g), np.diff(cut[at : to + 1])), self.wide[t]
+            broad = wide >= 0
+            weights = np.zeros((g, len(self.dense)), np.float32)
+            weights[own[broad], wide[broad]] = w[broad]
+            rare = np.flatnonzero(~broad)
+            count = self.lists[t[rare] + 1] - self.lists[t[rare]]
+            seg, rare = spread(self.lists[t[rare]], count), np.repeat(rare, count)
+            cell = own[rare] * blocks + self.block[seg]
+            bound = np.bincount(cell, w[rare] * self.most[seg], g * blocks).reshape(g, blocks)
+            bound = (bound + weights @ self.dense) * (1 + 1e-5) + 1e-9
+            cos, done, floor = np.full((g, total), -1.0), np.zeros((g, blocks), bool), np.full(g, -1.0)
+            for most in (FIRST, blocks):
+                take = ~done & (bound >= floor[:, None])
+                if most < blocks:
+                    best_blocks = np.zeros((g, blocks), bool)
+                    np.put_along_axis(best_blocks, np.argpartition(-bound, most - 1, axis=1)[:, :most], True, axis=1)
+                    take &= best_blocks
+                if not take.any():
+                    continue
+                on = take.ravel()[cell]
+                row, block = np.nonzero(take)
+                first = np.searchsorted(row, np.arange(g + 1))
+                wides = np.flatnonzero(broad)
+                count = np.diff(first)[own[wides]]
+                found = self.where[np.repeat(wide[wides], count), block[spread(first[own[wides]], count)]]
+                entry, s = np.concatenate((rare[on], np.repeat(wides, count)[found >= 0])), np.concatenate((seg[on], found[found >= 0]))
+                length = self.begin[s + 1] - self.begin[s]
+                entry, posted = np.repeat(entry, length), spread(self.begin[s], length)
+                dots = np.bincount(own[entry] * total + self.doc[posted], w[entry] * self.x[posted], g * total).reshape(g, total)
+                fresh = np.repeat(take, BLOCK, axis=1)[:, :total]
+                cos[fresh] = np.round(dots[fresh], 9)
+                done |= take
+                floor = np.partition(cos, total - k, axis=1)[:, total - k]
+            r, c = np.nonzero((cos >= floor[:, None]) & (cos >= 0))
+            order = np.lexsort((self.ids[c], -cos[r, c], r))
+            r, c = r[order], c[order]
+            nth = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c, nth = r[nth < k], c[nth < k], nth[nth < k]
+            best[at + r, nth], which[at + r, nth] = cos[r, c], c
         return best, which
 
-    def share(self, best: np.ndarray, which: np.ndarray, me: np.ndarray | None = None) -> np.ndarray:
-        """Share of toxic votes; with me, two columns: without one clean, without one toxic example of class me."""
-        w = 1 / (1 - np.minimum(best, 1) + 0.02)
-        n, bad = self.n[which], self.bad[which]
-        if me is None:
-            return ((w * bad).sum(1) + 0.02) / ((w * n).sum(1) + 0.2)
-        own = which == me[:, None]
-        out = [((w * (bad - own * y)).sum(1) + 0.02) / ((w * (n - own)).sum(1) + 0.2) for y in (0, 1)]
-        return np.clip(np.stack(out, 1), 1e-4, 1 - 1e-4)
-
-    def fit(self, share: np.ndarray, toxic: np.ndarray, rounds: int = 30) -> None:
+    def share(self, best: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Share of toxic votes."""
+        w = np.where(which >= 0, 1 / (1 - np.minimum(best, 1) + 0.02), 0)
+        return ((w * self.toxic[which]).sum(1) + 0.02) / (w.sum(1) + 0.2)
+
+    def fit(self, share: np.ndarray, toxic: np.ndarray, rounds: int = 60) -> None:
         x = np.log(share / (1 - share))
         z = np.stack([x, np.ones_like(x)], 1)
         w = np.array([1.0, 0.0])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-z @ w))
-            g = z.T @ (p - toxic) + 0.1 * (w - [1.0, 0.0])
-            w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2), g)
+            g = z.T @ (p - toxic) + w - [1.0, 0.0]
+            w = w - np.clip(np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(2), g), -0.5, 0.5)
         self.slope, self.shift = max(float(w[0]), 0.05), float(w[1])
 
-    def counts(self, column: pa.Array) -> np.ndarray:
-        """tf of the texts over the vocabulary, with the length term last."""
-        parts = term_hashes(column)
-        words = next(parts)[0]
+    def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors of the texts, as unit() gives them."""
+        own, h, words = term_counts(column)
         v = len(self.vocabulary)
-        tf = np.zeros((len(words), v + 1), np.float32)
-        tf[:, -1] = np.maximum(words, 1) / 25
-        for owner, h in parts:
-            if not v:
-                continue
-            maybe = np.flatnonzero(self.near[(h >> np.uint64(48)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), v - 1)
-            hit = self.vocabulary[at] == h[maybe]
-            np.add.at(tf, (owner[maybe[hit]], at[hit]), 1)
-        return tf
+        maybe = np.flatnonzero(self.near[(h >> np.uint64(48)).astype(np.int64)])
+        own, h = own[maybe], h[maybe]
+        at = np.minimum(np.searchsorted(self.vocabulary, h), max(v - 1, 0))
+        hit = self.vocabulary[at] == h if v else np.zeros(len(h), bool)
+        key, tf = np.unique(own[hit] * v + at[hit], return_counts=True)
+        return self.unit(key // max(v, 1), key % max(v, 1), 1 + np.log(tf), words)
 
     def score(self, column: pa.Array, shown: int = 3) -> tuple[np.ndarray, list[str]]:
-        q = self.weigh(self.counts(column))
-        kinds, own = np.unique(q, axis=0, return_inverse=True)
-        own = own.ravel()
-        best, which = self.search(kinds)
+        best, which = self.search(*self.vectors(column))
         share = np.clip(self.share(best, which), 1e-4, 1 - 1e-4)
         p = 1 / (1 + np.exp(-(self.slope * np.log(share / (1 - share)) + self.shift)))
-        said = [",".join(f"{self.first[i]}:{c:.3f}:{self.bad[i]:.0f}/{self.n[i]:.0f}" for c, i in zip(cs[:shown], ws[:shown], strict=True)) for cs, ws in zip(best, which, strict=True)]
-        return p[own], [said[i] for i in own]
+        return p, [",".join(f"{self.ids[i]}:{c:.3f}:{self.toxic[i]:.0f}" for c, i in zip(cs[:shown], ws[:shown], strict=True) if i >= 0) for cs, ws in zip(best, which, strict=True)]
 
 
 def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 6000, terms: int = 384, seed: int = 5, key: str = "doc_id", text: str = "text") -> Model | None:
-    """A model from at most `examples` labelled rows; rows that are held out are never read for it."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 6000, example_bytes: int = 64 << 20, seed: int = 5, key: str = "doc_id", text: str = "text") -> Model | None:
+    """A model from at most `examples` labelled rows and `example_bytes` of text; rows that are held out are never read
+    for it."""
     known = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull() & ~held_out(key)).groupBy(key).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit(seed), key), key).limit(examples)
     # at most `examples` rows of two numbers: safe to broadcast
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen.select(F.col(key).cast("long").alias("id"), F.col("toxic").cast("long"))), "id")
-    # one text for each id: an id that many rows share must not outgrow the bound; settled, since it is read three times
+    # one text for each id: an id that many rows share must not outgrow the bound; settled, since it is read twice
     rows = settle(rows.groupBy("id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("id", "text", "toxic"), "examples")
+    sizes = rows.select("id", "toxic", F.octet_length("text").alias("n")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").collect()
+    fits = np.cumsum([r["n"] for r in sizes]) <= example_bytes
+    if not any(r["toxic"] for r, ok in zip(sizes, fits, strict=True) if ok) or all(r["toxic"] for r, ok in zip(sizes, fits, strict=True) if ok):
+        return None
+    if not fits.all():
+        kept = docs.sparkSession.createDataFrame([(r["id"],) for r, ok in zip(sizes, fits, strict=True) if ok], "id long")
+        rows = rows.join(F.broadcast(kept), "id", "left_semi").select("id", "text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            y = b.column(2).to_numpy(zero_copy_only=False)
-            parts = term_hashes(b.column(1))
-            next(parts)
-            h, who = [], []
-            for owner, hashes in parts:
-                h.append(hashes)
-                who.append(owner)
-            h, who = np.concatenate(h), np.concatenate(who)
-            order = np.lexsort((who, h))
-            h, who = h[order], who[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-            h, bad = h[new], y[who[new]]
-            kinds, at = np.unique(h, return_inverse=True)
-            yield pa.record_batch([pa.array(kinds.view(np.int64)), pa.array(np.bincount(at, minlength=len(kinds)).astype(np.int64)), pa.array(np.bincount(at, bad, len(kinds)).astype(np.int64))], names=["term", "df", "bad"])
-
-    total = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    n, t = float(total[0]), float(total[1] or 0)
-    if not n or not t or n == t:
-        return None
-    a, df = F.col("bad").cast("double"), F.col("df").cast("double")
-    chi = n * F.pow(a * (n - t) - (df - a) * t, F.lit(2)) / (df * (n - df + 0.5) * t * (n - t))
-    picked = rows.mapInArrow(count, "term long, df long, bad long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("bad").alias("bad")).where("bad >= 3 or df - bad >= 3").withColumn("chi", chi).where(a * (n - t) > (df - a) * t).orderBy(F.desc("chi"), "term").limit(terms).collect()
-    vocabulary = np.array([r["term"] for r in picked], np.int64).view(np.uint64)
-    order = np.argsort(vocabulary)
-    vocabulary = vocabulary[order]
-    idf = np.append(np.log((1 + n) / (1 + np.array([r["df"] for r in picked], float)[order])) + 1, 1.0).astype(np.float32)
-    bare = Model.__new__(Model)
-    bare.vocabulary, bare.near = vocabulary, np.zeros(1 << 16, bool)
-    bare.near[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            tf = bare.counts(b.column(1))
-            at = [np.flatnonzero(x) for x in tf]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())), pa.array([tf[i][x] for i, x in enumerate(at)], pa.list_(pa.float32()))], names=["id", "toxic", "at", "tf"])
-
-    got = rows.mapInArrow(vectors, "id long, toxic long, at array<int>, tf array<float>").orderBy("id", "toxic").collect()  # at most `examples` sparse rows
-    dense = np.zeros((len(got), len(vocabulary) + 1), np.float32)
-    for i, r in enumerate(got):
-        dense[i, r["at"]] = r["tf"]
-    return Model(vocabulary, idf, dense, np.array([r["toxic"] for r in got], float), np.array([r["id"] for r in got], np.int64))
+            own, h, words = term_counts(b.column(1))
+            order = np.lexsort((h, own))
+            own, h = own[order], h[order]
+            head = np.flatnonzero((np.diff(h, prepend=~h[:1]) != 0) | (np.diff(own, prepend=-1) != 0))
+            tf = np.diff(np.append(head, len(h))).astype("<f4")
+            own, h = own[head], h[head]
+            cut = np.searchsorted(own, np.arange(b.num_rows + 1)).tolist()
+            parts = list(zip(cut[:-1], cut[1:], strict=True))
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(words.astype(np.int64)), pa.array([h[s:e].tobytes() for s, e in parts], pa.binary()), pa.array([tf[s:e].tobytes() for s, e in parts], pa.binary())], names=["id", "toxic", "words", "terms", "tf"])
+
+    got = rows.mapInArrow(count, "id long, toxic long, words long, terms binary, tf binary").orderBy("id").collect()  # bounded by example_bytes
+    terms = [np.frombuffer(r["terms"], np.uint64) for r in got]
+    vocabulary = np.unique(np.concatenate(terms))
+    vectors = [(np.searchsorted(vocabulary, t), 1 + np.log(np.frombuffer(r["tf"], "<f4").astype(float))) for t, r in zip(terms, got, strict=True)]
+    return Model(vocabulary, vectors, *(np.array([r[c] for r in got], np.int64) for c in ("words", "toxic", "id")))
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,7 +253,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit("").alias("evidence"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `examples` and `terms`
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `examples` and `example_bytes`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
