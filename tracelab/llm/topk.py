@@ -1,20 +1,25 @@
 """Exact top-k search by inner product: columnar branch-and-bound over dimension blocks.
 
 Vectors are quantised to integers and laid out vertically, one row per dimension, dimensions in falling order of
-energy. For each query the partial products grow block by block; the norm of what is left of both vectors bounds the
-rest (Cauchy-Schwarz). A candidate survives while partial + bound reaches the k-th best exact score known so far;
-survivors are compacted after every block. Sums of integers stay exact in doubles below 2**53.
+energy. For a block of queries the partial products grow dimension block by dimension block; the norm of what is left of
+both vectors bounds the rest (Cauchy-Schwarz). A candidate survives while, for some query of the block, partial + bound
+reaches the k-th best exact score known so far; survivors are compacted after every dimension block. Sums of integers
+stay exact in doubles below 2**53.
 
 The stated query set meets all rows in blocks: queries and candidates are dealt into chunks, a task unit is a pair of
 chunks, and each unit returns at most k rows per query, which a window then merges.
 
-Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; rows with a query's own
-id aren't its candidates; fully repeated rows count once; vectors of another length than a query's take no part in
-its list; an empty table gives an empty result.
+Rows without id, and vectors that are null, empty, or hold null or non-finite components take no part. A query is a
+distinct pair of id and vector: a repeated query row asks once, and two vectors of one id ask separately, under the same
+query_id. Rows with a query's own id aren't its candidates; all other rows are, repeated ones as often as they stand.
+Vectors of another length than a query's take no part in its list; ties go to the smaller vec_id. Very long vectors cost
+memory in proportion, `rows_a_chunk` of them a task. Only id and vector are read, so other columns can't clash; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,42 +43,48 @@ def branch_and_bound(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row
     rising order of id."""
     order = np.argsort(-(rows * rows).sum(axis=0), kind="stable")
     queries, tall = queries[:, order], np.ascontiguousarray(rows[:, order].T)  # tall: vertical layout
-    cuts = list(range(0, tall.shape[0], width)) + [tall.shape[0]]
+    cuts = [*range(0, tall.shape[0], width), tall.shape[0]]
     left_rows = [np.sqrt((tall[c:] ** 2).sum(axis=0)) for c in cuts]
     for at in range(0, len(queries), 64):
-        block = queries[at : at + 64]
-        first = block[:, : cuts[1]] @ tall[: cuts[1]]
-        for i, q in enumerate(block):
-            mine, partial = row_ids != ids[at + i], first[i]
-            live, partial = np.flatnonzero(mine), partial[mine]
-            floor = -np.inf
-            for step in range(1, len(cuts)):
-                last = step == len(cuts) - 1
-                if not last and len(live) > 4 * k:
-                    lead = live[np.argpartition(-partial, 2 * k)[: 2 * k]]
-                    exact = q @ tall[:, lead]
-                    floor = max(floor, np.partition(exact, len(exact) - k)[len(exact) - k])
-                    rest = np.sqrt((q[cuts[step] :] ** 2).sum()) * left_rows[step][live] * (1 + 1e-9) + 1e-6
-                    keep = partial + rest >= floor
-                    live, partial = live[keep], partial[keep]
-                if not last:
-                    partial = partial + q[cuts[step] : cuts[step + 1]] @ tall[cuts[step] : cuts[step + 1], live]
-            top = np.lexsort((row_ids[live], -partial))[:k]
-            yield at + i, partial[top], live[top]
+        q = queries[at : at + 64]
+        live, partial = np.arange(tall.shape[1]), q[:, : cuts[1]] @ tall[: cuts[1]]
+        partial[ids[at : at + len(q), None] == row_ids[None, :]] = -np.inf
+        floor = np.full(len(q), -np.inf)
+        for step in range(1, len(cuts) - 1):
+            if len(live) > 4 * k:
+                if step == 1:  # exact scores of the most promising ones
+                    lead = np.argpartition(-partial, 2 * k, axis=1)[:, : 2 * k]
+                    exact = np.einsum("qd,qcd->qc", q, rows[:, order][live[lead]])
+                    exact[np.take_along_axis(partial, lead, 1) == -np.inf] = -np.inf
+                    floor = np.partition(exact, -k, axis=1)[:, -k]
+                rest = np.sqrt((q[:, cuts[step] :] ** 2).sum(axis=1))[:, None] * left_rows[step][live] * (1 + 1e-9) + 1e-6
+                keep = (partial + rest >= floor[:, None]).any(axis=0)
+                if keep.mean() < 0.9:
+                    live, partial = live[keep], partial[:, keep]
+            partial += q[:, cuts[step] : cuts[step + 1]] @ tall[cuts[step] : cuts[step + 1], live]
+        for i in range(len(q)):
+            found = partial[i]
+            mine = np.flatnonzero(found >= max(floor[i], np.finfo(float).min))
+            if len(mine) > k:
+                mine = mine[found[mine] >= np.partition(found[mine], -k)[-k]]
+            top = mine[np.lexsort((row_ids[live[mine]], -found[mine]))[:k]]
+            yield at + i, found[top], live[top]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, rows_a_chunk: int = 16_384, queries_a_chunk: int = 4_096) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best candidates."""
     sane = vectors.where(F.col(key).isNotNull() & sound(F.col(vector)))
-    base = settle(sane.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).distinct(), "vectors")
+    base = settle(sane.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vectors")
     n, asking = base.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     across, down = max(1, -(-n // rows_a_chunk)), max(1, -(-asking // queries_a_chunk))
-    own = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(across)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("r"))
-    asks = base.where("asks").select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("c"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(down)).cast("int").alias("r"))
-    schema = "query_id long, vec_id long, score long"
+    deal = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40))  # repeated rows are dealt like one; a chunk of them is no longer than they are
+    own = base.select("id", "v", F.pmod(deal, F.lit(across)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("r"))
+    asks = base.where("asks").select("id", "v").distinct().select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("c"), F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(down)).cast("int").alias("r"))
+    schema = "query_id long, asked binary, vec_id long, score long"
 
     def unit(q: pa.Table, c: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 3]
+        asked: list[bytes] = []
 
         def by_size(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
             ids, v = t.column("id").to_numpy(), t.column("v").combine_chunks()
@@ -92,10 +103,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                     row_ids, r = rows[d]
                     for i, score, at in branch_and_bound(m, ids, r, row_ids, k):
                         parts.append([np.full(len(at), ids[i]), row_ids[at], score.astype(np.int64)])
-        return pa.table([np.concatenate([p[i] for p in parts]) for i in range(3)], names=["query_id", "vec_id", "score"])
+                        asked += [hashlib.blake2b(m[i].tobytes(), digest_size=8).digest()] * len(at)
+        query, row, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        return pa.table([pa.array(query), pa.array(asked, pa.binary()), pa.array(row), pa.array(score)], names=["query_id", "asked", "vec_id", "score"])
 
     found = asks.groupBy("r", "c").cogroup(own.groupBy("r", "c")).applyInArrow(unit, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
