@@ -1,14 +1,17 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a measure over a block of texts and a verdict on it. Before the run, every rule is timed on a sample,
-on an executor, and its rejections counted; rules then run in falling order of rejections per second, each only on
-the texts that the rules before it let through. The order changes cost alone: a text is kept if no rule rejects it,
-so the verdict doesn't depend on the order, the sample or the machine.
+Each rule has a measure over a block of texts and a verdict on it. Before the run, every rule is timed on a bounded
+sample (`sample_rows` texts of up to `sample_bytes`, from as few partitions as hold them) and its rejections counted;
+rules then run in falling order of rejections per second. Texts that a rule rejects are cut from the block before the
+next one, as soon as that is worth the copying: few are left, and no hashes of the block exist yet that the rules to
+come would have to make again. The order changes cost alone: a text is kept if no rule rejects it, so the verdict doesn't
+depend on the order, ties between rules (declared order), the sample or the machine.
 
 All measures are exact counts over whole texts, taken on flat byte arrays for a block of texts at once.
 
-Edge cases: a null text is an empty one (no words, fails the base rules); repeated rows are judged alike; an empty
-table gives an empty result and the rules keep their declared order.
+Edge cases: a null text is an empty one (no words, fails the base rules); rows without id and repeated rows are judged
+like any other; a very long text is measured whole, in memory proportional to its length; only id and text are read, so
+other columns can't clash; an empty table gives an empty result and the rules keep their declared order.
 """
 
 from __future__ import annotations
@@ -36,6 +39,12 @@ LOWER = np.zeros(256, bool)
 LOWER[97:123] = True
 
 
+#: Measures with one number a text.
+MEASURES = frozenset({"n_words", "word_chars", "n_symbols", "n_marks", "n_upper", "n_lower", "n_lines", "n_dup_lines", "n_stutters", "n_repeat_words"})
+#: A block is cut before a rule when less than this share of it is left.
+WORTH = 0.85
+
+
 class Block:
     """Some texts as flat bytes, with measures that are computed when first asked for."""
 
@@ -46,12 +55,13 @@ class Block:
         return len(self.off) - 1
 
     def take(self, rows: np.ndarray) -> "Block":
-        if len(rows) == len(self):
-            return self
+        """Some of the texts, with the measures a text that have been made."""
         size = np.diff(self.off)[rows]
         off = np.concatenate(([0], np.cumsum(size)))
         at = np.repeat(self.off[rows] - off[:-1], size) + np.arange(off[-1])
-        return Block(self.data[at], off)
+        cut = Block(self.data[at], off)
+        cut.__dict__ |= {k: v[rows] for k, v in self.__dict__.items() if k in MEASURES}
+        return cut
 
     @cached_property
     def words(self) -> tuple[np.ndarray, np.ndarray]:
@@ -199,40 +209,35 @@ RULES = (
 )
 
 
-def cascade(block: Block, rules: list[Rule]) -> np.ndarray:
-    """Which texts pass all rules; each rule sees only what is left. A block whose measures exist already is not cut
-    for a rule: cutting pays only while measures are still to be made."""
-    left = np.arange(len(block))
+def cascade(block: Block, rules: list[Rule], left: np.ndarray | None = None) -> np.ndarray:
+    """Which texts (of those left, if given) pass all rules."""
+    rows, view = np.arange(len(block)), block
+    alive = np.ones(len(block), bool) if left is None else left.copy()
     for rule in rules:
-        if not len(left):
+        if not alive.any():
             break
-        left = left[~rule.rejects(block.take(left))]
+        if alive.mean() < WORTH and "prefix" not in view.__dict__:
+            keep = np.flatnonzero(alive)
+            rows, view, alive = rows[keep], view.take(keep), np.ones(len(keep), bool)
+        alive &= ~rule.rejects(view)
     out = np.zeros(len(block), bool)
-    out[left] = True
+    out[rows[alive]] = True
     return out
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = 512, seed: int = 11) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) for each rule over a sample of about sample_rows texts, measured on an
-    executor; only these few numbers reach the driver."""
-    names = [r.name for r in rules]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            data, off = text_column(b.column(0))
-            cost, hit = [], []
-            for rule in rules:
-                block = Block(data, off)
-                began = time.thread_time()
-                bad = rule.rejects(block)
-                cost.append(time.thread_time() - began)
-                hit.append(int(bad.sum()))
-            yield pa.record_batch([pa.array(names), pa.array(cost), pa.array(hit, pa.int64()), pa.array([b.num_rows] * len(names), pa.int64())], names=["rule", "cost", "hit", "n"])
-
-    sample = docs.select(text).sample(False, 0.05, seed).limit(sample_rows)
-    got = sample.mapInArrow(run, "rule string, cost double, hit long, n long").groupBy("rule").agg(F.sum("cost"), F.sum("hit"), F.sum("n")).collect()
-    by = {r[0]: (r[1] / r[3], r[2] / r[3]) for r in got}
-    return [(n, *by.get(n, (0.0, 0.0))) for n in names]
+def estimate(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = 512, sample_bytes: int = 1 << 20, share: float = 0.05, seed: int = 11) -> list[tuple[str, float, float]]:
+    """(rule, seconds a text, share rejected) for each rule over at most sample_rows texts. Rows are taken partition by
+    partition until there are enough, so the table isn't read a second time and nothing is shuffled. Longer texts than
+    sample_bytes are left out of this sample, which decides cost alone."""
+    small = docs.select(F.col(f"`{text}`").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
+    data, off = text_column(pa.array([r["text"] for r in small.sample(False, share, seed).take(sample_rows)], pa.string()))
+    out, n = [], max(1, len(off) - 1)
+    for rule in rules:
+        block = Block(data, off)
+        began = time.thread_time()
+        bad = rule.rejects(block)
+        out.append((rule.name, (time.thread_time() - began) / n, float(bad.sum()) / n))
+    return out
 
 
 def plan(estimates: list[tuple[str, float, float]], rules: tuple[Rule, ...]) -> list[Rule]:
@@ -253,9 +258,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
                 continue
             made = [block.n_words, block.word_chars, block.n_symbols, block.n_dup_lines, block.n_repeat_words]
             failed = _few_words(block) | _repeats(block)
-            left = np.flatnonzero(~failed)
-            kept = np.zeros(len(block), bool)
-            kept[left] = cascade(block.take(left), [r for r in order if r not in BASE])
+            kept = cascade(block, [r for r in order if r not in BASE], ~failed)
             yield pa.record_batch([b.column(0), *(pa.array(x.astype(np.int64)) for x in made), pa.array(failed), pa.array(kept)], names=[key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"))
