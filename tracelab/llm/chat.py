@@ -15,13 +15,17 @@ what goes before it (the last call of a user, the number of records) comes from
 
 Edge cases: an identifier that several calls of a conversation share belongs to the earliest of them, the others are
 "duplicate"; a result whose identifier no call has is an "orphan" record; a call without result is "unanswered";
-null texts are empty; null conversations form one conversation; arguments that aren't a JSON object are invalid;
-repeated rows collapse; an empty table gives an empty result.
+null texts are empty; null conversations form one conversation; arguments that aren't a JSON object are invalid, and
+stand in the record as a string where they aren't JSON at all (NaN, infinities, numbers beyond a double and texts nested
+beyond the parser's depth aren't); lone surrogates are written as escapes; a schema type that JSON doesn't know fits
+nothing; records equal in turn and place are ordered by identifier, status and arguments; very long texts are values like
+any other; other columns aren't read, so they can't clash; repeated rows collapse; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,11 +37,37 @@ from .common import settle
 #: Turns of a conversation that one task orders.
 TURNS = 4096
 
+SURROGATE = re.compile("[\ud800-\udfff]")
 KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
+def parse(text: str) -> object:
+    """The value of a JSON text; ValueError for anything else: NaN and infinities, numbers beyond a double's range, and
+    texts nested too deeply to read."""
+
+    def no(name: str) -> float:
+        raise ValueError(name)
+
+    def number(x: str) -> float:
+        value = float(x)
+        return value if abs(value) < float("inf") else no(x)
+
+    try:
+        return json.loads(text, parse_constant=no, parse_float=number)
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
+
+
+def printable(text: str) -> str:
+    """text with lone surrogates, which no UTF-8 holds, as escapes."""
+    return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    try:
+        return printable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
 
 
 def violations(value: object, schema: dict, path: str = "$") -> list[str]:
@@ -49,7 +79,7 @@ def violations(value: object, schema: dict, path: str = "$") -> list[str]:
     def fits(kind: str) -> bool:
         if kind in ("number", "integer"):
             return not isinstance(value, bool) and isinstance(value, (int, float) if kind == "number" else int)
-        return isinstance(value, KINDS[kind])
+        return kind in KINDS and isinstance(value, KINDS[kind])  # nothing is of an unknown type
 
     if kinds and not any(map(fits, kinds)):
         return [f"{path}: not {'|'.join(kinds)}"]
@@ -84,20 +114,21 @@ def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if role not in ("assistant", "tool") or not (text or "").lstrip().startswith("{"):
                     continue
                 try:
-                    got = json.loads(text)
+                    got = parse(text)
+                    canonical(got)  # what can't be written again is no message
                 except ValueError:
                     continue
                 if role == "tool":
                     if isinstance(got.get("tool_call_id"), str):
                         content = got.get("content")
-                        rows.append((conv, turn, 0, "result", got["tool_call_id"], None, None, content if isinstance(content, str) else canonical(content), None))
+                        rows.append((conv, turn, 0, "result", printable(got["tool_call_id"]), None, None, printable(content) if isinstance(content, str) else canonical(content), None))
                     continue
                 calls = got.get("tool_calls")
                 for i, call in enumerate(calls if isinstance(calls, list) else []):
                     if isinstance(call, dict) and isinstance(call.get("id"), str):
                         args = call.get("arguments")
                         after = call.get("after")
-                        rows.append((conv, turn, i, "call", call["id"], str(call.get("name")), args if isinstance(args, str) else canonical(args), None, [x for x in after if isinstance(x, str)] if isinstance(after, list) else []))
+                        rows.append((conv, turn, i, "call", printable(call["id"]), printable(str(call.get("name"))), printable(args) if isinstance(args, str) else canonical(args), None, [printable(x) for x in after if isinstance(x, str)] if isinstance(after, list) else []))
             names = ["conv_id", "turn", "idx", "kind", "call_id", "name", "arguments", "content", "after"]
             types = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string())]
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
@@ -180,7 +211,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             for r in b.to_pylist():
                 wrong = []
                 try:
-                    args = json.loads(r["arguments"]) if r["arguments"] is not None else None
+                    args = parse(r["arguments"]) if r["arguments"] is not None else None
+                    canonical(args)
                 except ValueError:
                     args = r["arguments"]
                 if r["status"] == "orphan":
@@ -190,7 +222,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                 else:
                     wrong = violations(args, {"type": "object"} | schemas[r["name"]])
                 valid.append(not wrong)
-                errors.append("; ".join(wrong))
+                errors.append(printable("; ".join(wrong)))
                 n.append(len(r["contents"]))
                 out.append(canonical({"after": r["after"], "arguments": args, "id": r["call_id"], "name": r["name"], "results": r["contents"]}))
             yield pa.record_batch([b.column(i) for i in range(6)] + [pa.array(n, pa.int32()), pa.array(valid, pa.bool_()), pa.array(errors, pa.string()), pa.array(out, pa.string())], names=[*b.schema.names[:6], "n_results", "valid", "errors", "json"])
