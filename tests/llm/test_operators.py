@@ -176,6 +176,27 @@ def test_suffix_dedup(docs, texts, edge, hot):
             assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
 
 
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_one_id_for_several_texts(spark, hot):
+    """Rows of one id tie: they don't remove from each other, and each is cut by itself; rows without id stay whole."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    common_part, other = word(120), word(90)
+    rows = [(5, word(30) + common_part + word(10)), (5, word(80) + common_part), (5, other + word(20)), (5, other + word(20)), (2, word(40) + common_part[:80]), (9, other + common_part), (9, word(10)), (None, common_part), (None, other)]
+    rows += [(i, common_part[i : i + 60] + word(30)) for i in range(10, 30)]
+    got = sorted(map(str, ((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect())))
+    first, want = {}, []
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            if i is not None:
+                first[t[p : p + 50]] = min(i, first.get(t[p : p + 50], i))
+    for i, t in rows:
+        hit = [any(i is not None and first[t[p : p + 50]] < i for p in range(max(0, b - 49), min(b, len(t) - 50) + 1)) for b in range(len(t))]
+        kept = "".join(c for c, h in zip(t, hit, strict=True) if not h)
+        want.append((i, len(t), sum(hit), sum(h and not (b and hit[b - 1]) for b, h in enumerate(hit)), hashlib.sha256(kept.encode()).hexdigest()))
+    assert got == sorted(map(str, want))
+
+
 def test_lpf_by_brute_force():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 400).astype(np.uint8)
@@ -300,11 +321,11 @@ def test_block_max_search_is_exact(n):
     """Random vectors, with many equal ones; ties to the smaller id."""
     rng = np.random.default_rng(3)
     v = 50
-    rows = [(np.sort(rng.choice(v, rng.integers(0, 9), replace=False)), None) for _ in range(n)]
-    rows = [(t, np.ones(len(t))) for t, _ in rows]
-    toxic = np.array([int(bool(len(t)) and t[0] < 5) for t, _ in rows])
+    rows = [np.sort(rng.choice(v, rng.integers(0, 9), replace=False)) for _ in range(n)]
+    toxic = np.array([int(bool(len(t)) and t[0] < 5) for t in rows])
     toxic[:2] = 0, 1
-    m = toxicity.Model(np.sort(rng.integers(0, 1 << 60, v).astype(np.uint64)), rows, rng.integers(1, 9, n), toxic, rng.permutation(n))
+    cut = np.append(0, np.cumsum([len(t) for t in rows]))
+    m = toxicity.Model(np.sort(rng.integers(0, 1 << 60, v).astype(np.uint64)), cut, np.concatenate(rows), np.ones(cut[-1]), rng.integers(1, 9, n), toxic, rng.permutation(n))
     dense = np.zeros((n, v + 1))
     term = np.repeat(np.arange(v + 1), m.begin[m.lists[1:]] - m.begin[m.lists[:-1]])
     dense[m.doc, term] = m.x
@@ -470,17 +491,16 @@ def test_components_of_a_long_chain(spark):
 def test_topk(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=24), 1)]) for i in range(300)]
-    rows += [(300, None), (320, [1.0, float("nan")] + [0.0] * 22), (340, [None] + [1.0] * 23), (301, rows[0][1]), (301, rows[0][1]), (360, [])]
+    rows += [(300, None), (None, [1.0] * 24), (320, [1.0, float("nan")] + [0.0] * 22), (340, [None] + [1.0] * 23), (301, rows[0][1]), (301, rows[0][1]), (360, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    good = {i: np.floor(64 * np.array(v)) for i, v in rows[:300]} | {301: np.floor(64 * np.array(rows[0][1]))}
+    rows += [(0, rows[0][1]), (20, rows[21][1]), (5, rows[7][1]), (5, rows[7][1])]  # a query twice, an id with two vectors, repeated candidates
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
+    good = [(i, np.floor(64 * np.array(v))) for i, v in [*rows[:300], (301, rows[0][1]), (301, rows[0][1]), *rows[-4:]]]
+    asking = {(i, v.tobytes()): v for i, v in good if i % 20 == 0}
+    want = sorted((q, n + 1, i, -s) for (q, _), v in asking.items() for n, (s, i) in enumerate(sorted((-int(v @ w), i) for i, w in good if i != q)[:20]))
     for chunk in (16_384, 40):
-        got = {}
-        for r in topk.search(df, F.col("vec_id") % 20 == 0, rows_a_chunk=chunk, queries_a_chunk=chunk).collect():
-            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-        assert sorted(got) == [i for i in good if i % 20 == 0]
-        for q, own in got.items():
-            want = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:20]
-            assert sorted(own) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+        got = topk.search(df, F.col("vec_id") % 20 == 0, rows_a_chunk=chunk, queries_a_chunk=chunk).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
 # ---------------------------------------------------------------- 8
@@ -527,6 +547,20 @@ def test_quality(docs, texts, edge):
             assert not (failed and r["kept"])
 
 
+def test_cascade_cuts_and_carries(docs):
+    """Cut blocks and blocks with measures judge alike; measures of a cut block are those of its texts."""
+    data, off = common.text_column(pa.array([*(r["text"] for r in docs.limit(60).collect()), "", "one two", "!!! ??? " * 30, "A B C " * 40] * 3))
+    whole = quality.Block(data, off)
+    rules = [r for r in quality.RULES if r.name not in ("few_words", "repeats")]
+    plain = ~np.any([r.rejects(quality.Block(data, off)) for r in rules], axis=0)
+    some = np.arange(len(whole)) % 3 > 0
+    assert (quality.cascade(whole, rules) == plain).all() and (quality.cascade(whole, rules, some) == plain & some).all()
+    rows = np.flatnonzero(some)
+    cut = whole.take(rows)
+    for name in quality.MEASURES:
+        assert (getattr(cut, name) == getattr(whole, name)[rows]).all() and (getattr(quality.Block(data, off).take(rows), name) == getattr(whole, name)[rows]).all()
+
+
 def test_rule_order_changes_nothing(docs):
     data, off = common.text_column(pa.array([r["text"] for r in docs.limit(80).collect()]))
     a = quality.cascade(quality.Block(data, off), list(quality.RULES))
@@ -559,6 +593,21 @@ def test_tool_calls(spark):
     assert got[None, "n", "answered"]["valid"]
 
 
+def test_odd_json(spark):
+    """Lone surrogates, deep nesting, NaN and overflow, unknown schema types: a record each, and valid JSON."""
+    deep = "[" * 20_000 + "]" * 20_000
+    args = ['{"x":"\\ud800"}', deep, '{"x":' + deep + "}", '{"x":NaN}', '{"x":1e999}', '{"x":-Infinity}', "{broken", "[1]", None, '{"x":1}', '{"x":' + "9" * 5000 + "}"]
+    calls = spark.createDataFrame([(1, i, 0, f"c{i}", "f", a, []) for i, a in enumerate(args)], "conv_id long, turn long, idx int, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, idx int, call_id string, content string")
+    got = {r["call_id"]: r for r in chat.link(calls, results, {"f": {"properties": {"x": {"type": ["integer", "odd"]}}}}).collect()}
+    assert [got[f"c{i}"]["valid"] for i in range(len(args))] == [a == '{"x":1}' for a in args]
+    assert all(json.loads(r["json"], parse_constant=lambda x: 1 / 0)["id"] == r["call_id"] for r in got.values())
+    assert '"x":"\\ud800"' in got["c0"]["json"] and json.loads(got["c3"]["json"])["arguments"] == '{"x":NaN}'
+    say = [(1, 0, "assistant", '{"tool_calls":[{"id":"a\\ud800","name":"f","arguments":{"x":"\\udfff"}}]}'), (1, 1, "tool", '{"tool_call_id":"a\\ud800","content":"\\ud800"}'), (1, 2, "assistant", '{"tool_calls":' + deep + "}"), (1, 3, "assistant", '{"tool_calls":[{"id":"n","arguments":{"x":NaN}}]}')]
+    (r,) = chat.link(*chat.extract(spark.createDataFrame(say, "conv_id long, turn long, role string, text string")), {"f": {"properties": {"x": {"type": "odd"}}}}).collect()
+    assert (r["call_id"], r["status"], r["errors"]) == ("a\\ud800", "answered", "$.x: not odd")
+
+
 def test_stretches_change_nothing(spark, monkeypatch):
     """One long conversation with odd turns, in stretches of any length."""
     rng = np.random.default_rng(9)

@@ -25,9 +25,10 @@ E. Documents meet their removed intervals and are cut.
 Matches of any length are found: a long match is many windows, each judged through its own run. Hashes of 64 or 48
 bits within an anchor group decide which runs are equal; step D compares bytes.
 
-Edge cases: null texts are empty; texts shorter than `least` stay whole; repeated rows (same id) don't remove each
-other; rows without id neither remove nor lose anything; an empty table gives an empty result; bytes are judged on
-the input, never on what is left.
+Edge cases: null texts are empty; texts shorter than `least` stay whole; rows of one id, with equal or different texts,
+don't remove from each other (their ids tie) and are cut each by itself; rows without id neither remove nor lose
+anything; very long texts are taken in chunks until the last step, which holds one whole; only id and text are read, so
+other columns can't clash; an empty table gives an empty result; bytes are judged on the input, never on what is left.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import mix64, planned_bytes, prefix_hash, release_shuffles, settle, slices, span_hash, text_column
@@ -47,9 +48,10 @@ GRAM = 24
 CHUNK = 1_000_000  # bytes of text taken at once
 PLACES = 250_000  # places of one suffix array, more only where one anchor has more
 KNOWN = 400_000  # frequent runs that a task remembers, 16 bytes each
-RUN = np.dtype([("h", "<u4"), ("r1", "<u4"), ("r2", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1")])
-CUT = np.dtype([("doc", "<i8"), ("at", "<u4"), ("to", "<u4")])
-PIECE = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "u1"), ("h", "<u4"), ("b", "<u4"), ("hot", "u1")])
+RUN = np.dtype([("h", "<u4"), ("r1", "<u4"), ("r2", "<u2"), ("doc", "<i8"), ("w", "<u4"), ("at", "<u4"), ("n", "u1")])
+CUT = np.dtype([("doc", "<i8"), ("w", "<u4"), ("at", "<u4"), ("to", "<u4")])
+PIECE = np.dtype([("doc", "<i8"), ("w", "<u4"), ("at", "<u4"), ("n", "u1"), ("h", "<u4"), ("b", "<u4"), ("hot", "u1")])
+TASK_BYTES = 26  # about 2**26 bytes of text a task in the exchanges, whatever spark.sql.shuffle.partitions says
 
 
 def pack(rows: np.ndarray) -> bytes:
@@ -72,6 +74,11 @@ def grouped(rows: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndar
             yield int(bucket[s]), rows[s:e]
 
 
+def row_key(doc: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One hash for a row's id and the mark of its text."""
+    return mix64(mix64(doc.astype(np.uint64)) + w.astype(np.uint64))
+
+
 # ---------------------------------------------------------------- suffix order
 
 
@@ -195,12 +202,22 @@ def runs(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.
     return np.searchsorted(off, first, "right") - 1, first, stop - first, gram[a], content
 
 
-def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """(documents dealt into parts: part, doc_id, text; removed intervals: part, payload of CUT; parts)."""
+def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "doc_id", text: str = "text") -> tuple[GroupedData, GroupedData]:
+    """Documents dealt into parts (part, doc_id, text, w) and removed intervals (part, payload of CUT), both by part."""
     if not GRAM < least <= 255:
         raise ValueError(f"least must be in {GRAM + 1}..255")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     about = planned_bytes(rows)
+    # w tells the texts of one id apart; all 0, and so free, where ids are unique
+    h = F.xxhash64("text")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high")
+    mark = F.lit(0).cast("long") if several.isEmpty() else F.crc32(F.col("text").cast("binary"))
+    rows = rows.withColumn("w", mark)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), about >> TASK_BYTES)
+
+    def by(df: DataFrame, column: str):
+        return df.repartition(tasks, column).groupBy(column)
+
     parts, buckets = max(64, about >> 23), max(64, about >> 22)
     flag = "part int, kind int, payload binary"
 
@@ -211,9 +228,9 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
         cols = list(zip(*found, strict=True)) if found else [[], [], []]
         return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=list(names))
 
-    def cuts(doc: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    def cuts(doc: np.ndarray, w: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
         got = np.zeros(len(doc), CUT)
-        got["doc"], got["at"], got["to"] = doc, at, to
+        got["doc"], got["w"], got["at"], got["to"] = doc, w, at, to
         return got
 
     def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +238,9 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
         for b in slices(batches, most=CHUNK):
             b = b.filter(b.column(0).is_valid())
             data, off = text_column(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, w = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for s, e in pieces(off, CHUNK):  # a very long text alone may be larger
-                yield from deal(data[off[s] : off[e]], off[s : e + 1] - off[s], ids[s:e], known)
+                yield from deal(data[off[s] : off[e]], off[s : e + 1] - off[s], ids[s:e], w[s:e], known)
 
     def pieces(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = 0
@@ -232,16 +249,16 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
             yield at, to
             at = to
 
-    def deal(data: np.ndarray, off: np.ndarray, ids: np.ndarray, known: Known) -> Iterator[pa.RecordBatch]:
+    def deal(data: np.ndarray, off: np.ndarray, ids: np.ndarray, w: np.ndarray, known: Known) -> Iterator[pa.RecordBatch]:
         chunk, lap = CHUNK, least - 1
         if len(data) <= chunk:
-            yield from deal_chunk(data, off, ids, np.zeros(len(ids), np.int64), known)
+            yield from deal_chunk(data, off, ids, w, np.zeros(len(ids), np.int64), known)
             return
         for at in range(0, len(data) - lap, chunk):  # one text: chunks overlap by a window less one byte
             part = data[at : at + chunk + lap]
-            yield from deal_chunk(part, np.array([0, len(part)]), ids, np.array([at]), known)
+            yield from deal_chunk(part, np.array([0, len(part)]), ids, w, np.array([at]), known)
 
-    def deal_chunk(data: np.ndarray, off: np.ndarray, ids: np.ndarray, shift: np.ndarray, known: Known) -> Iterator[pa.RecordBatch]:
+    def deal_chunk(data: np.ndarray, off: np.ndarray, ids: np.ndarray, w: np.ndarray, shift: np.ndarray, known: Known) -> Iterator[pa.RecordBatch]:
         row, first, count, h, content = runs(data, off, least)
         if not len(row):
             return
@@ -257,13 +274,13 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
         often = np.diff(np.append(kind, len(order))) > 1
         known.add(run[often], least_doc[often])
         found = []
-        gone = cuts(doc[copy], at[copy], at[copy] + count[copy] + least - 1)
+        gone = cuts(doc[copy], w[row[copy]], at[copy], at[copy] + count[copy] + least - 1)
         for p, own in grouped(gone, part_of(gone["doc"])):
             found.append((p % buckets, 1, p.to_bytes(4, "little") + pack(own)))
         keep = np.flatnonzero(~copy)
         send = np.zeros(len(keep), RUN)
         send["h"], send["r1"], send["r2"] = h[keep] & np.uint64(0xFFFFFFFF), content[keep] >> np.uint64(32), (content[keep] >> np.uint64(16)) & np.uint64(0xFFFF)
-        send["doc"], send["at"], send["n"] = doc[keep], at[keep], count[keep]
+        send["doc"], send["w"], send["at"], send["n"] = doc[keep], w[row[keep]], at[keep], count[keep]
         for p, own in grouped(send, ((h[keep] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)):
             found.append((p, 0, pack(own)))
         yield out(found, ("bucket", "kind", "payload"))
@@ -287,7 +304,7 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
             g, c = np.cumsum(group) - 1, np.cumsum(kind) - 1
             small = r["doc"][kind][c]
             copy = r["doc"] > small
-            gone = cuts(r["doc"][copy], r["at"][copy], r["at"][copy].astype(np.int64) + r["n"][copy] + least - 1)
+            gone = cuts(r["doc"][copy], r["w"][copy], r["at"][copy], r["at"][copy].astype(np.int64) + r["n"][copy] + least - 1)
             found += [(p, 1, pack(own)) for p, own in grouped(gone, part_of(gone["doc"]))]
             starts = np.flatnonzero(group)
             varied = np.add.reduceat(kind.astype(np.int64), starts) > 1
@@ -295,7 +312,7 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
             many = np.add.reduceat((~copy).astype(np.int64), starts)
             pick = ~copy & (varied & apart)[g]
             got = np.zeros(int(pick.sum()), PIECE)
-            got["doc"], got["at"], got["n"], got["h"], got["b"], got["hot"] = r["doc"][pick], r["at"][pick], r["n"][pick], r["h"][pick], bucket, many[g[pick]] > hot
+            got["doc"], got["w"], got["at"], got["n"], got["h"], got["b"], got["hot"] = r["doc"][pick], r["w"][pick], r["at"][pick], r["n"][pick], r["h"][pick], bucket, many[g[pick]] > hot
             found += [(p, 2, pack(own)) for p, own in grouped(got, part_of(got["doc"]))]
         return pa.Table.from_batches([out(found)])
 
@@ -305,9 +322,9 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
         if not len(piece) or not d.num_rows:
             return pa.Table.from_batches([out([], names)])
         data, off = text_column(d.column("text"))
-        ids = d.column("doc_id").to_numpy()
-        by = np.argsort(ids, kind="stable")
-        row = by[np.searchsorted(ids[by], piece["doc"])]
+        ids = row_key(d.column("doc_id").to_numpy(), d.column("w").to_numpy())
+        order = np.argsort(ids, kind="stable")
+        row = order[np.searchsorted(ids[order], row_key(piece["doc"], piece["w"]))]
         start, n = off[row] + piece["at"], piece["n"].astype(np.int64)
         # hot anchors: single windows, one document for each window here
         wide = np.flatnonzero(piece["hot"] == 1)
@@ -323,19 +340,19 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
             first = piece["doc"][each][head][np.cumsum(head) - 1]
             later = piece["doc"][each] > first
             place = s - off[row[each]]
-            gone = cuts(piece["doc"][each][later], place[later], place[later] + least)
+            gone = cuts(piece["doc"][each][later], piece["w"][each][later], place[later], place[later] + least)
             found += [(p % buckets, 1, p.to_bytes(4, "little") + pack(own)) for p, own in grouped(gone, part_of(gone["doc"]))]
             each, s, key, place = each[~later], s[~later], key[~later], place[~later]
-            found += bundle(data, piece["doc"][each], place, np.ones(len(s), np.int64), s, (key % np.uint64(buckets)).astype(np.int64), (key >> np.uint64(32)).astype(np.uint32))
+            found += bundle(data, piece[["doc", "w"]][each], place, np.ones(len(s), np.int64), s, (key % np.uint64(buckets)).astype(np.int64), (key >> np.uint64(32)).astype(np.uint32))
         cold = np.flatnonzero(piece["hot"] == 0)
-        found += bundle(data, piece["doc"][cold], piece["at"][cold], n[cold], start[cold], (piece["b"][cold].astype(np.int64) * 31 + piece["h"][cold]) % buckets, piece["h"][cold])
+        found += bundle(data, piece[["doc", "w"]][cold], piece["at"][cold], n[cold], start[cold], (piece["b"][cold].astype(np.int64) * 31 + piece["h"][cold]) % buckets, piece["h"][cold])
         return pa.Table.from_batches([out(found, names)])
 
     def bundle(data: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, start: np.ndarray, bucket: np.ndarray, group: np.ndarray) -> list[tuple[int, int, bytes]]:
         found = []
         for p, own in grouped(np.arange(len(doc)), bucket):
             head = np.zeros(len(own), PIECE)
-            head["doc"], head["at"], head["n"], head["h"] = doc[own], at[own], n[own], group[own]
+            head["doc"], head["w"], head["at"], head["n"], head["h"] = doc["doc"][own], doc["w"][own], at[own], n[own], group[own]
             size = n[own] + least - 1
             to = np.cumsum(size)
             body = data[np.repeat(start[own] - (to - size), size) + np.arange(to[-1])]
@@ -369,35 +386,38 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
                 match = lpf(data, first[owner] + inside, head["doc"][owner], least, least)
                 hit = np.flatnonzero(match >= least)
                 place = head["at"][owner[hit]].astype(np.int64) + inside[hit]
-                gone = cuts(head["doc"][owner[hit]], place, place + least)
+                gone = cuts(head["doc"][owner[hit]], head["w"][owner[hit]], place, place + least)
                 found += [(p, 1, pack(own)) for p, own in grouped(gone, part_of(gone["doc"]))]
         return pa.Table.from_batches([out(found)])
 
     spark = docs.sparkSession
-    flags = settle(rows.mapInArrow(deal_runs, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(match_runs, flag), "runs")
+    flags = settle(by(rows.mapInArrow(deal_runs, "bucket int, kind int, payload binary"), "bucket").applyInArrow(match_runs, flag), "runs")
     release_shuffles(spark)
 
     def deal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            yield pa.record_batch([pa.array(part_of(ids).astype(np.int32)), *b.columns], names=["part", "doc_id", "text"])
+            yield pa.record_batch([pa.array(part_of(ids).astype(np.int32)), *b.columns], names=["part", "doc_id", "text", "w"])
 
-    dealt = rows.mapInArrow(deal_texts, "part int, doc_id long, text string")
+    dealt = rows.mapInArrow(deal_texts, "part int, doc_id long, text string, w long")
     pieces_of = flags.where("kind = 2")
-    snippets = dealt.where("doc_id is not null").groupBy("part").cogroup(pieces_of.groupBy("part")).applyInArrow(cut_pieces, "bucket int, kind int, payload binary")
-    more = settle(snippets.groupBy("bucket").applyInArrow(match_suffixes, flag), "suffixes")
+    snippets = by(dealt.where("doc_id is not null"), "part").cogroup(by(pieces_of, "part")).applyInArrow(cut_pieces, "bucket int, kind int, payload binary")
+    more = settle(by(snippets, "bucket").applyInArrow(match_suffixes, flag), "suffixes")
     release_shuffles(spark)
-    return dealt, flags.where("kind = 1").select("part", "payload").union(more.select("part", "payload")), parts
+    return by(dealt, "part"), by(flags.where("kind = 1").select("part", "payload").union(more.select("part", "payload")), "part")
 
 
 def dedup(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row. kept_text is the remaining bytes as
     UTF-8; characters cut apart show as U+FFFD."""
-    dealt, removed, _ = repeated(docs, least, hot, key=key, text=text)
+    dealt, removed = repeated(docs, least, hot, key=key, text=text)
 
     def cut(d: pa.Table, f: pa.Table) -> pa.Table:
         gone = unpack(f.column("payload").to_pylist(), CUT)
-        gone = gone[np.argsort(gone["doc"], kind="stable")]
+        keys = row_key(gone["doc"], gone["w"])
+        order = np.argsort(keys, kind="stable")
+        gone, keys = gone[order], keys[order]
+        mine = row_key(d.column("doc_id").fill_null(-1).to_numpy(), d.column("w").to_numpy())
         cols: list[list] = [[], [], [], [], [], []]
         data, off = text_column(d.column("text"))
         for i, doc in enumerate(d.column("doc_id").to_pylist()):
@@ -405,7 +425,7 @@ def dedup(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "doc_i
             n = len(own)
             at = np.zeros(0, np.int64)
             if doc is not None and len(gone):
-                s, e = np.searchsorted(gone["doc"], doc, "left"), np.searchsorted(gone["doc"], doc, "right")
+                s, e = np.searchsorted(keys, mine[i], "left"), np.searchsorted(keys, mine[i], "right")
                 at, to = np.minimum(gone["at"][s:e].astype(np.int64), n), np.minimum(gone["to"][s:e].astype(np.int64), n)
             count = spans = 0
             if len(at):
@@ -422,4 +442,4 @@ def dedup(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "doc_i
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return dealt.groupBy("part").cogroup(removed.groupBy("part")).applyInArrow(cut, schema)
+    return dealt.cogroup(removed).applyInArrow(cut, schema)
