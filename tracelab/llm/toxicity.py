@@ -39,9 +39,10 @@ from .common import prefix_hash, settle, slices, span_hash, text_column, word_bo
 LETTER = np.zeros(256, bool)
 LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 PREFIXES = (5, 7)
-BLOCK = 32
+BLOCK = 16
+SLICE = 500_000  # bytes of text taken at once
 PRIOR, FLOOR = 20.0, 0.005
-FIRST = 4  # blocks scored at first, then all that may still count
+FIRST = 12  # blocks scored at first, then all that may still count
 
 
 def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,66 +66,72 @@ def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """vocabulary: sorted term hashes. Examples: rows of (term places, 1 + ln tf), their words, labels and ids."""
+    """vocabulary: sorted term hashes. Examples: the places of their terms in it and 1 + ln tf, example by example with
+    bounds cut and terms rising; their words, labels and ids."""
 
-    def __init__(self, vocabulary: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], words: np.ndarray, toxic: np.ndarray, ids: np.ndarray, k: int = 15, calibrate: bool = True):
-        self.vocabulary, self.k, n, v = vocabulary, k, len(rows), len(vocabulary)
+    def __init__(self, vocabulary: np.ndarray, cut: np.ndarray, term: np.ndarray, tf: np.ndarray, words: np.ndarray, toxic: np.ndarray, ids: np.ndarray, k: int = 15, calibrate: bool = True):
+        n, v, share = len(ids), len(vocabulary), float(toxic.mean())
+        self.slope, self.shift = 1.0, 0.0
+        if calibrate:  # first, while there is no index in memory
+            shares = np.full(n, share)
+            for side in (0, 1):
+                mine, rest = np.arange(side, n, 2), np.arange(1 - side, n, 2)
+                if len(mine) and 0 < toxic[rest].sum() < len(rest):
+                    size = np.diff(cut)
+                    at, my = spread(cut[rest], size[rest]), spread(cut[mine], size[mine])
+                    other = Model(vocabulary, np.append(0, np.cumsum(size[rest])), term[at], tf[at], words[rest], toxic[rest], ids[rest], k, False)
+                    shares[mine] = other.share(*other.search(*other.unit(np.append(0, np.cumsum(size[mine])), term[my], tf[my], words[mine])))
+                    del other, at, my
+            self.fit(np.clip(shares, 1e-4, 1 - 1e-4), toxic)
+        self.vocabulary, self.k = vocabulary, k
         self.near = np.zeros(1 << 16, bool)
         self.near[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
-        size = np.array([len(t) for t, _ in rows])
-        own, term = np.repeat(np.arange(n), size), np.concatenate([t for t, _ in rows])
-        df, bad, share = np.bincount(term, minlength=v), np.bincount(term, toxic[own], v), toxic.mean()
+        df, bad = np.bincount(term, minlength=v), np.bincount(term, np.repeat(toxic, np.diff(cut)), v)
         odds = (bad + PRIOR * share) / (df + PRIOR)
         lift = np.log(odds / (1 - odds)) - np.log(share / (1 - share))
-        self.weight = np.append((np.log((1 + n) / (1 + df)) + 1) * (FLOOR + np.maximum(lift, 0) ** 2), 2 / 25)
-        at, x, cut = self.unit(own, term, np.concatenate([f for _, f in rows]), words)
+        self.weight = np.append((np.log((1 + n) / (1 + df)) + 1) * (FLOOR + np.maximum(lift, 0) ** 2), 2 / 25).astype(np.float32)
+        at, x, cut = self.unit(cut, term, tf, words)
         strong = np.full(n, -1)
         for i in range(n):
             own_x = x[cut[i] : cut[i + 1]]  # the length term is the last one
             if own_x.argmax() < len(own_x) - 1:
                 strong[i] = at[cut[i] + own_x.argmax()]
         order = np.lexsort((ids, x[cut[1:] - 1], strong))
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[order] = np.arange(n)
         self.ids, self.toxic = ids[order], toxic[order].astype(float)
         self.blocks = -(-n // BLOCK)
-        doc = place[np.repeat(np.arange(n), np.diff(cut))]
-        by = np.lexsort((doc, at))
-        at_by, self.doc, self.x = at[by], doc[by].astype(np.uint16 if n < 1 << 16 else np.int32), x[by].astype(np.float32)
-        part = at_by * self.blocks + doc[by] // BLOCK
-        head = np.flatnonzero(np.diff(part, prepend=-1))
-        self.block, self.begin = (part[head] % self.blocks).astype(np.int32), np.append(head, len(part)).astype(np.int32)
+        key = at.astype(np.int64) * n + np.repeat(place, np.diff(cut))
+        by = np.argsort(key).astype(np.int32)
+        key, self.x = key[by], x[by]
+        del by, at, x
+        self.doc = (key % n).astype(np.uint16 if n < 1 << 16 else np.int32)
+        key = key // n * self.blocks + self.doc // BLOCK
+        head = np.flatnonzero(np.diff(key, prepend=-1))
+        self.begin = np.append(head, len(key)).astype(np.int32)
+        key = key[head]
+        self.block = (key % self.blocks).astype(np.int16 if self.blocks < 1 << 15 else np.int32)
         self.most = np.maximum.reduceat(self.x, head)
-        self.lists = np.searchsorted(at_by[head], np.arange(v + 2)).astype(np.int32)
+        self.lists = np.searchsorted(key // self.blocks, np.arange(v + 2)).astype(np.int32)
+        del key, head
         spans = np.diff(self.lists)
         common = np.flatnonzero(4 * spans >= self.blocks)
         self.wide = np.full(v + 1, -1, np.int32)
         self.wide[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), self.blocks), np.float32)
         seg = spread(self.lists[common], spans[common])
-        self.dense[np.repeat(np.arange(len(common)), spans[common]), self.block[seg]] = self.most[seg]
+        row = np.repeat(np.arange(len(common)), spans[common])
+        self.dense[row, self.block[seg]] = self.most[seg]
         self.where = np.full((len(common), self.blocks), -1, np.int32)  # where the list of a common term has a block
-        self.where[np.repeat(np.arange(len(common)), spans[common]), self.block[seg]] = seg
-        self.slope, self.shift = 1.0, 0.0
-        if calibrate:
-            half, shares = np.arange(n) % 2, np.full(n, share)
-            for side in (0, 1):
-                mine, rest = np.flatnonzero(half == side), np.flatnonzero(half != side)
-                if len(mine) and 0 < toxic[rest].sum() < len(rest):
-                    other = Model(vocabulary, [rows[i] for i in rest], words[rest], toxic[rest], ids[rest], k, False)
-                    size = np.array([len(rows[i][0]) for i in mine])
-                    unit = other.unit(np.repeat(np.arange(len(mine)), size), np.concatenate([rows[i][0] for i in mine]), np.concatenate([rows[i][1] for i in mine]), words[mine])
-                    shares[mine] = other.share(*other.search(*unit))
-            self.fit(np.clip(shares, 1e-4, 1 - 1e-4), toxic)
+        self.where[row, self.block[seg]] = seg
 
-    def unit(self, own: np.ndarray, term: np.ndarray, tf: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(term places, weights, bounds) of unit vectors in order of text and term; the length term is the last one."""
-        n, v = len(words), len(self.vocabulary)
-        own, term = np.concatenate((own, np.arange(n))), np.concatenate((term, np.full(n, v)))
-        x = np.concatenate((tf, np.maximum(words, 1))) * self.weight[term]
-        order = np.lexsort((term, own))
-        own, term, x = own[order], term[order], x[order]
-        return term, x / np.sqrt(np.bincount(own, x * x, n))[own], np.searchsorted(own, np.arange(n + 1))
+    def unit(self, cut: np.ndarray, term: np.ndarray, tf: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term places, weights, bounds) of unit vectors; the length term is the last one of each text."""
+        term = np.insert(term, cut[1:], len(self.vocabulary))
+        x = np.insert(tf.astype(np.float32), cut[1:], np.maximum(words, 1)) * self.weight[term]
+        cut = cut + np.arange(len(cut))
+        size = np.sqrt(np.add.reduceat(x.astype(np.float64) ** 2, cut[:-1])) if len(words) else np.zeros(0)
+        return term, (x / np.repeat(size, np.diff(cut))).astype(np.float32), cut
 
     def search(self, term: np.ndarray, x: np.ndarray, cut: np.ndarray, group: int = 32) -> tuple[np.ndarray, np.ndarray]:
         """Exact k nearest examples of each unit vector: (cosines falling, places), -1 where there are fewer."""
@@ -144,13 +151,13 @@ class Model:
             cell = own[rare] * blocks + self.block[seg]
             bound = np.bincount(cell, w[rare] * self.most[seg], g * blocks).reshape(g, blocks)
             bound = (bound + weights @ self.dense) * (1 + 1e-5) + 1e-9
-            cos, done, floor = np.full((g, total), -1.0), np.zeros((g, blocks), bool), np.full(g, -1.0)
+            dots, done, floor = np.zeros(g * total), np.zeros((g, blocks), bool), np.full(g, -1.0)
             for most in (FIRST, blocks):
                 take = ~done & (bound >= floor[:, None])
                 if most < blocks:
-                    best_blocks = np.zeros((g, blocks), bool)
-                    np.put_along_axis(best_blocks, np.argpartition(-bound, most - 1, axis=1)[:, :most], True, axis=1)
-                    take &= best_blocks
+                    lead = np.argpartition(-bound, most - 1, axis=1)[:, :most]
+                    take = np.zeros((g, blocks), bool)
+                    np.put_along_axis(take, lead, True, axis=1)
                 if not take.any():
                     continue
                 on = take.ravel()[cell]
@@ -162,17 +169,19 @@ class Model:
                 entry, s = np.concatenate((rare[on], np.repeat(wides, count)[found >= 0])), np.concatenate((seg[on], found[found >= 0]))
                 length = self.begin[s + 1] - self.begin[s]
                 entry, posted = np.repeat(entry, length), spread(self.begin[s], length)
-                dots = np.bincount(own[entry] * total + self.doc[posted], w[entry] * self.x[posted], g * total).reshape(g, total)
-                fresh = np.repeat(take, BLOCK, axis=1)[:, :total]
-                cos[fresh] = np.round(dots[fresh], 9)
+                dots += np.bincount(own[entry] * total + self.doc[posted], w[entry] * self.x[posted], g * total)
                 done |= take
-                floor = np.partition(cos, total - k, axis=1)[:, total - k]
-            r, c = np.nonzero((cos >= floor[:, None]) & (cos >= 0))
-            order = np.lexsort((self.ids[c], -cos[r, c], r))
-            r, c = r[order], c[order]
+                if most < blocks:  # the k-th best so far, less what rounding may change
+                    seen = (lead[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(g, -1)
+                    cos = np.where(seen < total, dots.reshape(g, total)[np.arange(g)[:, None], np.minimum(seen, total - 1)], -1.0)
+                    floor = np.partition(cos, -k, axis=1)[:, -k] - 2e-9 if cos.shape[1] >= k else floor
+            r, c = np.nonzero((dots.reshape(g, total) >= floor[:, None]) & np.repeat(done, BLOCK, axis=1)[:, :total])
+            cos = np.round(dots.reshape(g, total)[r, c], 9)
+            order = np.lexsort((self.ids[c], -cos, r))
+            r, c, cos = r[order], c[order], cos[order]
             nth = np.arange(len(r)) - np.searchsorted(r, r)
-            r, c, nth = r[nth < k], c[nth < k], nth[nth < k]
-            best[at + r, nth], which[at + r, nth] = cos[r, c], c
+            r, c, cos, nth = r[nth < k], c[nth < k], cos[nth < k], nth[nth < k]
+            best[at + r, nth], which[at + r, nth] = cos, c
         return best, which
 
     def share(self, best: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -199,7 +208,7 @@ class Model:
         at = np.minimum(np.searchsorted(self.vocabulary, h), max(v - 1, 0))
         hit = self.vocabulary[at] == h if v else np.zeros(len(h), bool)
         key, tf = np.unique(own[hit] * v + at[hit], return_counts=True)
-        return self.unit(key // max(v, 1), key % max(v, 1), 1 + np.log(tf), words)
+        return self.unit(np.searchsorted(key, np.arange(len(words) + 1) * max(v, 1)), (key % max(v, 1)).astype(np.int32), 1 + np.log(tf), words)
 
     def score(self, column: pa.Array, shown: int = 3) -> tuple[np.ndarray, list[str]]:
         best, which = self.search(*self.vectors(column))
@@ -230,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 6000, example_bytes:
         rows = rows.join(F.broadcast(kept), "id", "left_semi").select("id", "text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             own, h, words = term_counts(b.column(1))
             order = np.lexsort((h, own))
             own, h = own[order], h[order]
@@ -242,10 +251,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 6000, example_bytes:
             yield pa.record_batch([b.column(0), b.column(2), pa.array(words.astype(np.int64)), pa.array([h[s:e].tobytes() for s, e in parts], pa.binary()), pa.array([tf[s:e].tobytes() for s, e in parts], pa.binary())], names=["id", "toxic", "words", "terms", "tf"])
 
     got = rows.mapInArrow(count, "id long, toxic long, words long, terms binary, tf binary").orderBy("id").collect()  # bounded by example_bytes
-    terms = [np.frombuffer(r["terms"], np.uint64) for r in got]
-    vocabulary = np.unique(np.concatenate(terms))
-    vectors = [(np.searchsorted(vocabulary, t), 1 + np.log(np.frombuffer(r["tf"], "<f4").astype(float))) for t, r in zip(terms, got, strict=True)]
-    return Model(vocabulary, vectors, *(np.array([r[c] for r in got], np.int64) for c in ("words", "toxic", "id")))
+    words, toxic, ids = (np.array([r[c] for r in got], np.int64) for c in ("words", "toxic", "id"))
+    cut = np.append(0, np.cumsum([len(r["terms"]) // 8 for r in got]))
+    term, tf = (np.frombuffer(b"".join(r[c] for r in got), kind) for c, kind in (("terms", np.uint64), ("tf", "<f4")))
+    del got
+    vocabulary = np.unique(term)
+    term = np.searchsorted(vocabulary, term).astype(np.int32)
+    return Model(vocabulary, cut, term, 1 + np.log(tf), words, toxic, ids)
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,7 +268,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `examples` and `example_bytes`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             p, why = shared.value.score(b.column(1))
             yield pa.record_batch([b.column(0), pa.array(p.astype(np.float64)), pa.array(why, pa.string())], names=["doc_id", "score", "evidence"])
 
@@ -270,7 +282,7 @@ def keep_under(docs: DataFrame, model: Model | None, threshold: float, text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE):
             p, _ = shared.value.score(b.column(b.schema.get_field_index(text)))
             yield b.filter(pa.array(p < threshold))
 
