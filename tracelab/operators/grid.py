@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The degrees of freedom and their levels, the reference level first.
+# The degrees of freedom and their levels, the reference level first. The names are this engine's own.
 EQUITY_LEVELS = {
     "rsi_smoothing": ["wilder", "simple"], "rsi_exit": ["level", "cross"], "warmup": ["strict", "ready_check", "ready_per_rule"], "a_exec": ["calc_shares", "set_holdings"],
     "same_bar_reentry": ["allowed", "wait_bar"], "input_field": ["adjusted", "raw"], "cross_timing": ["both_days", "today_ma"],
@@ -19,9 +20,14 @@ ALL_DATES = sorted({*A_DATES, *B_DATES})
 EMA_BARS = ["150", "200", "252"]
 
 
-def _cross() -> dict[str, dict]:
-    pairs = {"conv": ("up", "down"), "inv": ("down", "up"), "sym": ("any", "any"), "uu": ("up", "up"), "dd": ("down", "down"), "ua": ("up", "any"), "au": ("any", "up"), "da": ("down", "any"), "ad": ("any", "down"), "level": ("level_above", "level_below")}
-    return {f"{t}_{n}": {"buy_dir": b, "sell_dir": s, "same_bar_reentry": r} for t, (b, s) in pairs.items() for r, n in (("allowed", "reent"), ("wait_bar", "wait"))}
+# The ways to buy and to sell of each kind of cross, and the suffixes of the re-entry rules.
+CROSS_WAYS = [
+    ("conv", "up", "down"), ("inv", "down", "up"), ("sym", "any", "any"), ("uu", "up", "up"), ("dd", "down", "down"), ("ua", "up", "any"), ("au", "any", "up"),
+    ("da", "down", "any"), ("ad", "any", "down"), ("level", "level_above", "level_below"),
+]
+REENTRY = [("reent", "allowed"), ("wait", "wait_bar")]
+# Every way with every re-entry rule, as a product.
+CROSSES = {"_".join((way[0], rule[0])): dict(zip(("buy_dir", "sell_dir", "same_bar_reentry"), (*way[1:], rule[1]), strict=True)) for way, rule in product(CROSS_WAYS, REENTRY)}
 
 
 def _one(name: str, prefix: str, values: list[str], reference: str) -> dict[str, dict]:
@@ -33,7 +39,7 @@ EQUITY_BANKS = {
     "DONOR": ([], {"pin": {}}),
     "BL-01a": (A_DATES, _one("ma_type", "", ["SMA", "EMA", "WMA"], "SMA")), "BL-01b": (A_DATES, _one("ma_period", "p", ["10", "20", "50", "100", "200"], "100")),
     "BL-01c": (A_DATES, {f"{t}{p}": {"ma_type": t, "ma_period": p} for t in ("SMA", "EMA", "WMA") for p in ("10", "20", "50", "100", "200")}),
-    "CROSS": (A_DATES, _cross()), "BL-03": ([*A_DATES, "a_exec"], _one("size_pct", "pct", ["10", "20", "25", "40", "50", "100"], "40")),
+    "CROSS": (A_DATES, CROSSES), "BL-03": ([*A_DATES, "a_exec"], _one("size_pct", "pct", ["10", "20", "25", "40", "50", "100"], "40")),
     "BL-04": (B_DATES, _one("red_def", "", ["prev_close", "open_close", "prev_close_le"], "prev_close")), "BL-05": (B_DATES, _one("red_days", "d", ["2", "3", "4", "5"], "3")),
     "BL-07": (B_DATES, _one("rsi_period", "p", ["7", "9", "14", "21"], "14")), "BL-08": (B_DATES, _one("rsi_thresh", "t", ["50", "60", "70", "80"], "60")),
     "BL-09": (list(EQUITY_LEVELS), _one("sell_frac", "", ["all", "half_down_lastsell", "half_down_hold", "half_up"], "all")), "ER-01": ([*A_DATES, "same_bar_reentry"], {f"R{i}": {"er01_sell": f"R{i}"} for i in range(1, 7)}),

@@ -697,7 +697,20 @@ def _sim(rows: list[dict]):
     return f
 
 
+@query("sim_equity_bank")
+def _(s, d):
+    """Every row of the equity grid, simulated."""
+    rows = grid.equity(s).withColumn("p", F.from_json("params", "map<string,string>"))
+    own = [F.coalesce(F.element_at("p", k), F.lit(str(v))).cast("double" if isinstance(v, float) else "int" if isinstance(v, int) else "string").alias(k) for k, v in sim.DEFAULTS.items()]
+    run = F.concat_ws("/", "bank", "resolution", "tag")
+    params = rows.select(F.xxhash64(run).alias("run_id"), F.lit("main").alias("feed"), *own)
+    tapes = sim.run(params.repartition(32, "run_id"), sim.feeds(_daily(s, d), "click", "purchase"))
+    per_run = tapes.groupBy("run_id").agg(F.count(F.lit(1)).alias("fills"), F.sum(F.when(F.col("side") == "B", F.col("qty")).otherwise(-F.col("qty"))).alias("left"))
+    return rows.select("bank", "resolution", F.xxhash64(run).alias("run_id")).join(per_run, "run_id", "left").groupBy("bank").agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum("fills"), F.lit(0)).alias("fills"), F.count_if(F.col("left") < 0).alias("short"))
+
+
 for _name, _rows in {
+    "sim_sell_rules": [{"er01_sell": f"R{i}", "er01_fast": 3, "er01_slow": 8} for i in range(1, 7)], "sim_orders": [{"fill_limit": 50}, {"buying_power": 0.5}, {"commission": 0.001}],
     "sim_parallel": [{}, {"ma_type": "EMA"}, {"ma_type": "WMA"}], "sim_race": [{"slot_mode": "race"}], "sim_sequence": [{"slot_mode": "sequence"}], "sim_lots": [{"lots": x} for x in ("private", "invested_gate", "netting", "shared_flag")],
     "sim_sizing": [{"a_exec": e, "sell_frac": f, "cash_rule": c} for e in ("calc_shares", "set_holdings", "pct_cash") for f in ("all", "half_down_lastsell", "half_down_hold", "half_up") for c in ("skip", "partial", "nocheck")],
     "sim_grid": [{"rsi_smoothing": a, "rsi_exit": b, "warmup": c, "same_bar_reentry": e, "cross_timing": f, "missing_bar": m} for a in ("wilder", "simple") for b in ("level", "cross") for c in ("strict", "ready_check", "ready_per_rule") for e in ("allowed", "wait_bar") for f in ("both_days", "today_ma") for m in ("skip_all", "per_ticker", "try_except")],
