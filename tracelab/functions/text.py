@@ -15,9 +15,17 @@ BLOCKED = r"(?i)limits?|quota|resets?|Not signed in|please (?:sign|log) ?in|cred
 RATINGS = (r"rating:\s*\[\[(\d+)\]\]", r"rating\s*\[\[(\d+)\]\]", r"\[\[(\d+)\]\]", r"rating:\s*(\d+)")
 POSITIVE = ("matches", "correct", "aligned", "yes", "compliant")
 NEGATIVE = ("doesn't match", "incorrect", "not aligned", "no", "non-compliant")
+TRUNCATED = r"(?i)output token maximum|max_tokens|exceeded the [\d,]+ output"
+BLANKS = " \t\n\r\v\f"
+CODE_STARTS = "^(import |from |class |def )"
 FENCE = r"```(?:python)?\s*\n([\s\S]*?)```"
 
 
+def strip(t: Column) -> Column:
+    """t without white space at either end, line feeds and tabs too."""
+    return F.btrim(t, F.lit(BLANKS))
+
+
 def fenced(t: Column) -> Column:
     """The longest fenced block, the first of equals; null without one."""
     blocks = F.regexp_extract_all(t, F.lit(FENCE), F.lit(1))
@@ -27,37 +35,42 @@ def fenced(t: Column) -> Column:
 
 def asks(t: Column) -> Column:
     """A question mark among the last three characters, or a question's wording."""
-    s = F.trim(t)
+    s = strip(t)
     return (F.instr(F.right(s, F.lit(3)), "?") > 0) | s.rlike(ASK)
 
 
+def from_line(t: Column, pattern: str, otherwise: Column) -> Column:
+    """The lines from the first one that matches, stripped, on."""
+    lines = F.split(t, "\n", -1)
+    first = F.array_position(F.transform(lines, lambda x: strip(x).rlike(pattern)), F.lit(True)).cast("int")
+    return F.when(first > 0, F.array_join(F.slice(lines, first, F.size(lines)), "\n")).otherwise(otherwise)
+
+
 def clean_code(t: Column) -> Column:
-    """What follows the last closed thought; the first python fence, else the first non-blank one; from the first
-    import on."""
-    after = F.when(F.contains(t, F.lit("</think>")), F.trim(F.substring_index(t, "</think>", -1))).otherwise(t)
-    parts = F.split(after, "```python", -1)
-    plain = F.split(after, "```", -1)
-    odd = F.filter(F.transform(plain, lambda p, i: F.struct(i.alias("i"), F.trim(p).alias("p"))), lambda x: (x["i"] % 2 == 1) & (x["p"] != ""))
-    body = F.when(F.size(parts) > 1, F.trim(F.substring_index(F.get(parts, F.lit(1)), "```", 1))).when(F.contains(after, F.lit("```")), F.coalesce(F.get(odd, F.lit(0))["p"], after)).otherwise(after)
-    lines = F.split(body, "\n", -1)
-    first = F.array_position(F.transform(lines, lambda x: F.trim(x).rlike("^(import |from )")), F.lit(True)).cast("int")
-    return F.trim(F.when(first > 0, F.array_join(F.slice(lines, first, F.size(lines)), "\n")).otherwise(body))
+    """What follows the last closed thought, or after a thought without end the first line of code on, else nothing; of
+    that the first python fence, else the first non-blank one; of that the first import on."""
+    after = F.when(F.contains(t, F.lit("</think>")), strip(F.substring_index(t, "</think>", -1))).when(F.contains(t, F.lit("<think>")), from_line(t, CODE_STARTS, F.lit(""))).otherwise(t)
+    marked, plain = F.split(after, "```python", -1), F.split(after, "```", -1)
+    inside = F.filter(plain, lambda x, i: (i % 2 == 1) & (strip(x) != ""))
+    fence = F.when(F.size(marked) > 1, F.substring_index(F.get(marked, F.lit(1)), "```", 1)).otherwise(F.get(inside, F.lit(0)))
+    body = F.coalesce(strip(fence), after)
+    return strip(from_line(body, "^(import |from )", body))
 
 
-def structure_gate(code: Column) -> Column:
-    """The first failing check's message, or null."""
-    return F.when(F.coalesce(code, F.lit("")) == "", "empty").when(~F.contains(code, F.lit("import ")), "no import").when(~code.rlike(r"class\s+\w+\s*\("), "no class").when(~F.contains(code, F.lit("def next(self)")), "no next()")
+def structure_gate(code: Column, module: str = "", base: str = r"[\w.]*") -> Column:
+    """The first failing check's message, or null. module: what must be imported; base: pattern of the class it needs."""
+    return F.when(F.coalesce(code, F.lit("")) == "", "empty").when(~F.contains(code, F.lit(f"import {module}")), "no import").when(~code.rlike(rf"class\s+\w+\s*\(\s*{base}"), "no class").when(~F.contains(code, F.lit("def next(self)")), "no next()")
 
 
 def rating(t: Column) -> tuple[Column, Column]:
     """(aligned, mode): the last match of the first pattern that matches, else keywords among the last 300 characters;
     keywords are substrings, ties fail."""
-    low = F.lower(F.trim(t))
+    low = F.lower(strip(t))
     found = F.coalesce(*[F.try_element_at(F.regexp_extract_all(low, F.lit(p), F.lit(1)), F.lit(-1)) for p in RATINGS])
     tail = F.right(low, F.lit(300))
     hits = lambda words: sum((F.contains(tail, F.lit(w)).cast("int") for w in words[1:]), F.contains(tail, F.lit(words[0])).cast("int"))
     yes, no = hits(POSITIVE), hits(NEGATIVE)
-    return F.when(found.isNotNull(), found.cast("long") == 1).otherwise(yes > no), F.when(found.isNotNull(), "rating").when(yes == no, "keyword-tie").otherwise("keyword")
+    return F.when(found.isNotNull(), F.ltrim(found, F.lit("0")) == "1").otherwise(yes > no), F.when(found.isNotNull(), "rating").when(yes == no, "keyword-tie").otherwise("keyword")
 
 
 def blocked(program: Column, t: Column) -> Column:
@@ -84,7 +97,7 @@ def safe_name(t: Column) -> Column:
 
 def code_fraction(t: Column) -> Column:
     """Share of the non-blank lines that look like code."""
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(t, "\n", -1), lambda x: strip(x) != "")
     code = F.filter(lines, lambda x: x.rlike(r"[=(){}\[\]:;]\s*$|^\s*(def|class|import|from|return|if|for)\b"))
     return F.when(F.size(lines) > 0, F.round(F.size(code) / F.size(lines), 6)).otherwise(0.0)
 

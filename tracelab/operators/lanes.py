@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from . import indicators, signals
 
-TRUNCATED = r"(?i)output token maximum|max_tokens|exceeded the [\d,]+ output"
+#: Fixed value: the base class of a strategy, in lower case.
+STRATEGY = "bt.strategy"
 
 
 def generation_status(raw: Column, program: Column, short_fast: Column) -> Column:
     """harness-error (no text, or cut off), program, provider-blocked (by shape or wording), no-program."""
-    cut = program.isNull() & F.coalesce(raw.rlike(TRUNCATED), F.lit(False))
-    t = F.trim(raw)
+    cut = program.isNull() & F.coalesce(raw.rlike(tx.TRUNCATED), F.lit(False))
+    t = tx.strip(raw)
     stopped = (short_fast & (F.length(t) < 400)) | ((F.length(t) < 600) & t.rlike(tx.BLOCKED))
     return F.when(raw.isNull() | cut, "harness-error").when(program.isNotNull(), "program").when((raw != "") & stopped, "provider-blocked").otherwise("no-program")
 
@@ -29,7 +30,7 @@ def refusal(schema: Column, arm: Column, want_arm: Column, program: Column, prog
 
 def finished(status: Column, raw: Column) -> Column:
     """False for harness errors and empty answers without a program: those are drawn again."""
-    return ~((status == "harness-error") | ((status == "no-program") & (F.trim(F.coalesce(raw, F.lit(""))) == "")))
+    return ~((status == "harness-error") | ((status == "no-program") & (tx.strip(F.coalesce(raw, F.lit(""))) == "")))
 
 
 def target(prompt: Column, surface: Column, eligible: tuple[str, ...], anchors: tuple[str, ...]) -> Column:
@@ -55,17 +56,20 @@ def with_averages(bars, fast: int, slow: int):
 
 
 def last_json_line(t: Column) -> Column:
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.trim(x).rlike(r"^\{.*\}$"))
-    return F.trim(F.try_element_at(lines, F.lit(-1)))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: tx.strip(x).rlike(r"^\{.*\}$"))
+    return tx.strip(F.try_element_at(lines, F.lit(-1)))
 
 
 def text_faults(t: Column) -> Column:
-    """Names of the structural faults of a text, in order."""
-    tests = {"doubled space": t.rlike("[^ \n]  [^ ]"), "carriage return or tab": t.rlike("[\r\t]"), "triple blank": t.rlike("\n\n\n\n"), "dangling mark": t.rlike("(?m) [,;]$"), "orphan bracket": (tx.occurrences(t, "{") != tx.occurrences(t, "}"))}
-    return F.array_join(F.filter(F.array(*[F.when(c, n) for n, c in tests.items()]), lambda x: x.isNotNull()), ",")
+    """The structural faults of a text, in order of lines: list marks without an item, and lines that end in a comma or
+    semicolon."""
+    lines = F.transform(F.split(t, "\n", -1), lambda x, i: F.struct((i + 1).cast("string").alias("n"), tx.strip(x).alias("s")))
+    named = F.transform(lines, lambda x: F.when(x["s"] == "-", F.concat(F.lit("line "), x["n"], F.lit(": empty item"))).when(x["s"].rlike("[;,]$"), F.concat(F.lit("line "), x["n"], F.lit(": dangling mark"))))
+    return F.array_join(named, ",")
 
 
 def keyword_overlap(task: Column, code: Column, words: tuple[str, ...]) -> Column:
-    """Short code fails; code must use one of the words that the task uses; without any, it must define a class."""
+    """Short code fails; code must use one of the words that the task uses; without any, it must define a class and name
+    the strategy's base."""
     named = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(task), w))
-    return F.when(F.length(F.trim(code)) < 100, False).when(F.size(named) == 0, F.contains(F.lower(code), F.lit("class"))).otherwise(F.exists(named, lambda w: F.contains(F.lower(code), w)))
+    return F.when(F.length(tx.strip(code)) < 100, False).when(F.size(named) == 0, F.contains(F.lower(code), F.lit("class")) & F.contains(F.lower(code), F.lit(STRATEGY))).otherwise(F.exists(named, lambda w: F.contains(F.lower(code), w)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -499,13 +500,32 @@ def _(s, d):
 
 # ---------------------------------------------------------------- text
 
-RAW = "raw AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Plan.\n```python\nimport x\n' || text || '\n```\nDone' WHEN 1 THEN '<think>hm</think> ' || text WHEN 2 THEN text || '\nWhat period should I use?' WHEN 3 THEN 'Rating: [[' || (doc_id % 2) || ']] ' || text ELSE text END AS t FROM documents)"
+#: White space for DuckDB's trim.
+B = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+# Ten kinds of answers over the documents: fences, thoughts with and without end, questions and ratings, odd white space.
+_KINDS = [
+    ("Plan.\n```python\nimport x\n", "\n```\nDone"), ("<think>hm</think> ", ""), ("", "\nWhat period should I use?"), ("Rating: [[1]] ", ""), ("", ""), ("", " Tell me more?\n\n\t\n\n"), ("<think>no end ", ""), ("<think>hm\n \tclass A:\nimport z\n", "\f"),
+    ("\r\nRating: [[99999999999999999999]] or [[", "]]"), ("```\n \t\n``` say\n```\n\tfrom y import z\n", "\n``` \r\n"),
+]
+
+
+def _chars(x: str) -> str:
+    """A SQL text of any characters."""
+    parts = [f"'{part}'" if part not in BLANK else f"chr({ord(part)})" for part in re.split(r"([\n\t\r\f])", x) if part]
+    return "(" + " || ".join(parts or ["''"]) + ")"
+
+
+BLANK = "\n\t\r\f"
+RAW = "raw AS (SELECT doc_id, CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN {_chars(a)} || text || {_chars(b)}" for i, (a, b) in enumerate(_KINDS)) + " END AS t FROM documents)"
 
 
 def _raw(s, d):
-    t = F.col("text")
-    k = F.col("doc_id") % 5
-    return table(s, d, "documents").select("doc_id", F.when(k == 0, F.concat(F.lit("Plan.\n```python\nimport x\n"), t, F.lit("\n```\nDone"))).when(k == 1, F.concat(F.lit("<think>hm</think> "), t)).when(k == 2, F.concat(t, F.lit("\nWhat period should I use?"))).when(k == 3, F.concat(F.lit("Rating: [["), (F.col("doc_id") % 2).cast("string"), F.lit("]] "), t)).otherwise(t).alias("t"))
+    t, kind = F.col("text"), F.col("doc_id") % 10
+    said = F.when(kind == 0, F.concat(F.lit(_KINDS[0][0]), t, F.lit(_KINDS[0][1])))
+    for i, (a, b) in enumerate(_KINDS[1:], 1):
+        said = said.when(kind == i, F.concat(F.lit(a), t, F.lit(b)))
+    return table(s, d, "documents").select("doc_id", said.alias("t"))
 
 
 _FENCE = "```(?:python)?\\s*\\n([\\s\\S]*?)```"
@@ -516,39 +536,46 @@ def _(s, d):
     return _raw(s, d).select("doc_id", F.sha2(tx.fenced(F.col("t")), 256).alias("h"))
 
 
-@query("ask_classify", f"WITH {RAW} SELECT doc_id, contains(right(trim(t), 3), '?') OR regexp_matches(t, '{tx.ASK}') AS asks FROM raw")
+@query("ask_classify", f"WITH {RAW} SELECT doc_id, contains(right(trim(t, {B}), 3), '?') OR regexp_matches(t, '{tx.ASK}') AS asks FROM raw")
 def _(s, d):
     return _raw(s, d).select("doc_id", tx.asks(F.col("t")).alias("asks"))
 
 
-@query("ask_rate", f"WITH {RAW}, a AS (SELECT lang, contains(right(trim(t), 3), '?') OR regexp_matches(t, '{tx.ASK}') AS asks FROM raw JOIN documents USING (doc_id)) SELECT lang, round(avg(CASE WHEN asks THEN 1.0 ELSE 0.0 END), 6) AS rate FROM a GROUP BY 1")
+@query("ask_rate", f"WITH {RAW}, a AS (SELECT lang, contains(right(trim(t, {B}), 3), '?') OR regexp_matches(t, '{tx.ASK}') AS asks FROM raw JOIN documents USING (doc_id)) SELECT lang, round(avg(CASE WHEN asks THEN 1.0 ELSE 0.0 END), 6) AS rate FROM a GROUP BY 1")
 def _(s, d):
     j = _raw(s, d).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
     return j.groupBy("lang").agg(F.round(F.avg(tx.asks(F.col("t")).cast("int").cast("double")), 6).alias("rate"))
 
 
-@query("clean_code", rf"""WITH {RAW}, a AS (SELECT doc_id, CASE WHEN contains(t, '</think>') THEN trim(list_last(string_split(t, '</think>'))) ELSE t END AS t FROM raw),
-p AS (SELECT doc_id, t, string_split(t, '```python') AS py, list_filter(list_transform(string_split(t, '```'), lambda x, i: CASE WHEN i % 2 = 0 AND trim(x) <> '' THEN trim(x) END), lambda x: x IS NOT NULL) AS odd FROM a),
-b AS (SELECT doc_id, CASE WHEN len(py) > 1 THEN trim(string_split(py[2], '```')[1]) WHEN contains(t, '```') THEN coalesce(odd[1], t) ELSE t END AS body FROM p),
-l AS (SELECT doc_id, body, string_split(body, chr(10)) AS ls, list_position(list_transform(string_split(body, chr(10)), lambda x: regexp_matches(trim(x), '^(import |from )')), true) AS k FROM b)
-SELECT doc_id, sha256(trim(CASE WHEN k > 0 THEN array_to_string(ls[k:], chr(10)) ELSE body END)) AS h FROM l""")
+def _from(lines: str, pattern: str, otherwise: str) -> str:
+    """Lines from the first that matches on."""
+    at = f"list_position(list_transform({lines}, lambda x: regexp_matches(trim(x, {B}), '{pattern}')), true)"
+    return f"CASE WHEN {at} > 0 THEN array_to_string({lines}[{at}:], chr(10)) ELSE {otherwise} END"
+
+
+@query("clean_code", rf"""WITH {RAW}, k AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM raw),
+a AS (SELECT doc_id, CASE WHEN contains(t, '</think>') THEN trim(list_last(string_split(t, '</think>')), {B}) WHEN contains(t, '<think>') THEN {_from("ls", tx.CODE_STARTS, "''")} ELSE t END AS t FROM k),
+p AS (SELECT doc_id, t, string_split(t, '```python') AS py, list_filter(list_transform(string_split(t, '```'), lambda x, i: CASE WHEN i % 2 = 0 AND trim(x, {B}) <> '' THEN trim(x, {B}) END), lambda x: x IS NOT NULL) AS odd FROM a),
+b AS (SELECT doc_id, CASE WHEN len(py) > 1 THEN trim(string_split(py[2], '```')[1], {B}) WHEN contains(t, '```') THEN coalesce(odd[1], t) ELSE t END AS body FROM p),
+l AS (SELECT doc_id, body, string_split(body, chr(10)) AS ls FROM b)
+SELECT doc_id, sha256(trim({_from("ls", "^(import |from )", "body")}, {B})) AS h FROM l""")
 def _(s, d):
     return _raw(s, d).select("doc_id", F.sha2(tx.clean_code(F.col("t")), 256).alias("h"))
 
 
-@query("structure_gate", f"WITH {RAW} SELECT doc_id, CASE WHEN coalesce(t, '') = '' THEN 'empty' WHEN NOT contains(t, 'import ') THEN 'no import' WHEN NOT regexp_matches(t, 'class\\s+\\w+\\s*\\(') THEN 'no class' WHEN NOT contains(t, 'def next(self)') THEN 'no next()' END AS reason FROM raw")
+@query("structure_gate", f"WITH {RAW} SELECT doc_id, CASE WHEN coalesce(t, '') = '' THEN 'empty' WHEN NOT contains(t, 'import ') THEN 'no import' WHEN NOT regexp_matches(t, 'class\\s+\\w+\\s*\\(\\s*[\\w.]*') THEN 'no class' WHEN NOT contains(t, 'def next(self)') THEN 'no next()' END AS reason FROM raw")
 def _(s, d):
     return _raw(s, d).select("doc_id", tx.structure_gate(F.col("t")).alias("reason"))
 
 
 def _kw(words: tuple) -> str:
-    return " + ".join("CAST(contains(right(trim(lower(t)), 300), '" + w.replace("'", "''") + "') AS INTEGER)" for w in words)
+    return " + ".join("CAST(contains(right(trim(lower(t), " + B + "), 300), '" + w.replace("'", "''") + "') AS INTEGER)" for w in words)
 
 
 _FOUND = "coalesce(" + ", ".join(f"nullif(list_last(regexp_extract_all(lower(t), '{p}', 1)), '')" for p in tx.RATINGS) + ")"
 
 
-@query("rating_parse", f"WITH {RAW}, r AS (SELECT doc_id, {_FOUND} AS found, {_kw(tx.POSITIVE)} AS yes, {_kw(tx.NEGATIVE)} AS no FROM raw) SELECT doc_id, CASE WHEN found IS NOT NULL THEN CAST(found AS BIGINT) = 1 ELSE yes > no END AS aligned, CASE WHEN found IS NOT NULL THEN 'rating' WHEN yes = no THEN 'keyword-tie' ELSE 'keyword' END AS mode FROM r")
+@query("rating_parse", f"WITH {RAW}, r AS (SELECT doc_id, {_FOUND} AS found, {_kw(tx.POSITIVE)} AS yes, {_kw(tx.NEGATIVE)} AS no FROM raw) SELECT doc_id, CASE WHEN found IS NOT NULL THEN ltrim(found, '0') = '1' ELSE yes > no END AS aligned, CASE WHEN found IS NOT NULL THEN 'rating' WHEN yes = no THEN 'keyword-tie' ELSE 'keyword' END AS mode FROM r")
 def _(s, d):
     a, m = tx.rating(F.col("t"))
     return _raw(s, d).select("doc_id", a.alias("aligned"), m.alias("mode"))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import lanes, stats
 from ..sources.tables import table, verdicts
-from .catalogue import BARS, DRAWS, RAW, VERD, W, _daily, _raw, _sma, draws, query
+from .catalogue import B, BARS, DRAWS, RAW, VERD, W, _daily, _raw, _sma, draws, query
 
 ENV = f"{RAW}, env AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE t END AS raw, CASE WHEN contains(t, 'import x') THEN t END AS program, doc_id % 7 = 0 AS fast FROM raw)"
-CUT = lanes.TRUNCATED
-STATUS = f"CASE WHEN raw IS NULL OR (program IS NULL AND coalesce(regexp_matches(raw, '{CUT}'), false)) THEN 'harness-error' WHEN program IS NOT NULL THEN 'program' WHEN raw <> '' AND ((fast AND length(trim(raw)) < 400) OR (length(trim(raw)) < 600 AND regexp_matches(trim(raw), '{tx.BLOCKED}'))) THEN 'provider-blocked' ELSE 'no-program' END"
+CUT = tx.TRUNCATED
+STATUS = f"CASE WHEN raw IS NULL OR (program IS NULL AND coalesce(regexp_matches(raw, '{CUT}'), false)) THEN 'harness-error' WHEN program IS NOT NULL THEN 'program' WHEN raw <> '' AND ((fast AND length(trim(raw, {B})) < 400) OR (length(trim(raw, {B})) < 600 AND regexp_matches(trim(raw, {B}), '{tx.BLOCKED}'))) THEN 'provider-blocked' ELSE 'no-program' END"
 
 
 def _env(s, d):
@@ -24,7 +24,7 @@ def _(s, d):
     return _env(s, d).select("doc_id", lanes.generation_status(F.col("raw"), F.col("program"), F.col("fast")).alias("status"))
 
 
-@query("fairness_filter", f"WITH {ENV}, st AS (SELECT doc_id, raw, {STATUS} AS status FROM env) SELECT status, count(*) AS n FROM st WHERE NOT (status = 'harness-error' OR (status = 'no-program' AND trim(coalesce(raw, '')) = '')) GROUP BY 1")
+@query("fairness_filter", f"WITH {ENV}, st AS (SELECT doc_id, raw, {STATUS} AS status FROM env) SELECT status, count(*) AS n FROM st WHERE NOT (status = 'harness-error' OR (status = 'no-program' AND trim(coalesce(raw, ''), {B}) = '')) GROUP BY 1")
 def _(s, d):
     e = _env(s, d).withColumn("status", lanes.generation_status(F.col("raw"), F.col("program"), F.col("fast")))
     return e.where(lanes.finished(F.col("status"), F.col("raw"))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -66,23 +66,28 @@ for _rule, _test in {"R1": "c0 >= f0 AND close < fast", "R2": "c0 <= f0 AND clos
         return lanes.with_averages(_daily(s, d), 3, 8).select("symbol", "d", lanes.sell_rule(rule, 3, 8).alias("sells"))
 
 
-@query("last_json_line", "WITH t AS (SELECT event_id, 'log ' || event_type || chr(10) || '{\"old\": 1}' || chr(10) || props || chr(10) || 'bye' AS t FROM events) SELECT event_id, list_last(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^\\{.*\\}$'))) AS line FROM t")
+@query("last_json_line", f"WITH t AS (SELECT event_id, 'log ' || event_type || chr(10) || '{{\"old\": 1}}' || chr(10) || chr(9) || props || chr(13) || chr(10) || 'bye' AS t FROM events) SELECT event_id, list_last(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, {B})), lambda x: regexp_matches(x, '^\\{{.*\\}}$'))) AS line FROM t")
 def _(s, d):
-    t = F.concat(F.lit("log "), F.col("event_type"), F.lit('\n{"old": 1}\n'), F.col("props"), F.lit("\nbye"))
+    t = F.concat(F.lit("log "), F.col("event_type"), F.lit('\n{"old": 1}\n\t'), F.col("props"), F.lit("\r\nbye"))
     return table(s, d, "events").select("event_id", lanes.last_json_line(t).alias("line"))
 
 
-@query("text_faults", "SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(html, '[^ \\n]  [^ ]') THEN 'doubled space' END, CASE WHEN regexp_matches(html, '[\\r\\t]') THEN 'carriage return or tab' END, CASE WHEN contains(html, chr(10) || chr(10) || chr(10) || chr(10)) THEN 'triple blank' END, CASE WHEN regexp_matches(html, '(?m) [,;]$') THEN 'dangling mark' END, CASE WHEN length(replace(html, '{', '')) <> length(replace(html, '}', '')) THEN 'orphan bracket' END], lambda x: x IS NOT NULL), ',') AS faults FROM pages")
+@query("text_faults", f"""WITH l AS (SELECT doc_id, unnest(string_split(replace(text, '. ', ';' || chr(9) || chr(10) || ' -' || chr(13) || chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, '. ', ';' || chr(9) || chr(10) || ' -' || chr(13) || chr(10)), chr(10)), 1) AS n FROM documents),
+f AS (SELECT doc_id, n, CASE WHEN trim(line, {B}) = '-' THEN 'line ' || n || ': empty item' WHEN right(rtrim(line, {B}), 1) IN (';', ',') THEN 'line ' || n || ': dangling mark' END AS fault FROM l)
+SELECT doc_id, coalesce(string_agg(fault, ',' ORDER BY n), '') AS faults FROM f GROUP BY 1""")
 def _(s, d):
-    return table(s, d, "pages").select("page_id", lanes.text_faults(F.col("html")).alias("faults"))
+    t = F.replace("text", F.lit(". "), F.lit(";\t\n -\r\n"))
+    return table(s, d, "documents").select("doc_id", lanes.text_faults(t).alias("faults"))
 
 
-@query("fallback_evaluation", "WITH t AS (SELECT p.page_id, p.url, p.html, list_filter(['div', 'nav', 'example', 'www'], lambda w: contains(lower(p.url), w)) AS named FROM pages p) SELECT page_id, CASE WHEN length(trim(html)) < 100 THEN false WHEN len(named) = 0 THEN contains(lower(html), 'class') ELSE len(list_filter(named, lambda w: contains(lower(html), w))) > 0 END AS passes FROM t")
+@query("fallback_evaluation", f"WITH t AS (SELECT page_id, url, chr(10) || CASE page_id % 3 WHEN 0 THEN 'class A(bt.Strategy)' WHEN 1 THEN 'class A' ELSE '' END || html || chr(9) AS code, list_filter(['page1', 'nav', 'page7', 'www'], lambda w: contains(lower(url), w)) AS named FROM pages) SELECT page_id, CASE WHEN length(trim(code, {B})) < 100 THEN false WHEN len(named) = 0 THEN contains(lower(code), 'class') AND contains(lower(code), 'bt.strategy') ELSE len(list_filter(named, lambda w: contains(lower(code), w))) > 0 END AS passes FROM t")
 def _(s, d):
-    return table(s, d, "pages").select("page_id", lanes.keyword_overlap(F.col("url"), F.col("html"), ("div", "nav", "example", "www")).alias("passes"))
+    kind = F.col("page_id") % 3
+    code = F.concat(F.lit("\n"), F.when(kind == 0, "class A(bt.Strategy)").when(kind == 1, "class A").otherwise(""), F.col("html"), F.lit("\t"))
+    return table(s, d, "pages").select("page_id", lanes.keyword_overlap(F.col("url"), code, ("page1", "nav", "page7", "www")).alias("passes"))
 
 
-@query("code_share", r"WITH l AS (SELECT page_id, list_filter(string_split(html, chr(10)), lambda x: trim(x) <> '') AS ls FROM pages) SELECT page_id, CASE WHEN len(ls) > 0 THEN round(len(list_filter(ls, lambda x: regexp_matches(x, '[=(){}\[\]:;]\s*$|^\s*(def|class|import|from|return|if|for)\b'))) / len(ls), 6) ELSE 0.0 END AS share FROM l")
+@query("code_share", r"WITH l AS (SELECT page_id, list_filter(string_split(html, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS ls FROM pages) SELECT page_id, CASE WHEN len(ls) > 0 THEN round(len(list_filter(ls, lambda x: regexp_matches(x, '[=(){}\[\]:;]\s*$|^\s*(def|class|import|from|return|if|for)\b'))) / len(ls), 6) ELSE 0.0 END AS share FROM l")
 def _(s, d):
     return table(s, d, "pages").select("page_id", tx.code_fraction(F.col("html")).alias("share"))
 
