@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 
 def index(bank: DataFrame) -> DataFrame:
-    """bank, proj -> cores and (tuple, core) pairs. bank: bank, proj, tuple, core."""
-    return bank.groupBy("bank", "proj").agg(F.array_sort(F.collect_set("core")).alias("cores"), F.collect_set(F.struct("tuple", "core")).alias("hits"))
+    """bank, proj -> cores, (tuple, core) pairs, and mixed: whether one tuple has several cores. bank: bank, proj,
+    tuple, core."""
+    of = bank.groupBy("bank", "proj", "tuple").agg(F.collect_set("core").alias("of_tuple"))
+    pairs = F.flatten(F.collect_list(F.transform("of_tuple", lambda c: F.struct(F.col("tuple"), c.alias("core")))))
+    return of.groupBy("bank", "proj").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("of_tuple")))).alias("cores"), pairs.alias("hits"), F.max(F.size("of_tuple") > 1).alias("mixed"))
 
 
 def lookup(draws: DataFrame, bank: DataFrame) -> DataFrame:
-    """draws with cores and hits of their projection, null without match. Long projections meet by hash, then text."""
+    """draws with cores, hits and mixed of their projection, null without match. Long projections meet by hash, then
+    text."""
     i = index(bank).withColumn("h", F.sha2("proj", 256)).withColumnRenamed("proj", "_proj").withColumnRenamed("bank", "_bank")
     d = draws.withColumn("h", F.sha2("proj", 256))
-    return d.join(i, (d.bank == i._bank) & (d.h == i.h) & (d.proj == i._proj), "left").select(*[d[c] for c in draws.columns], "cores", "hits")
+    return d.join(i, (d.bank == i._bank) & (d.h == i.h) & (d.proj == i._proj), "left").select(*[d[c] for c in draws.columns], "cores", "hits", "mixed")
 
 
 def tuple_consistent(dofs: Column, wanted: Column) -> Column:
@@ -23,21 +27,43 @@ def tuple_consistent(dofs: Column, wanted: Column) -> Column:
     return F.forall(F.map_entries(wanted), lambda e: F.element_at(dofs, e["key"]).isNull() | F.element_at(dofs, e["key"]).isin("unresolved") | (F.element_at(dofs, e["key"]) == e["value"]))
 
 
+def numeric_key(prefix: str, value: Column) -> Column:
+    """The name of a numeric resolution: the prefix and the value, without a fraction where it is whole."""
+    return F.concat(F.lit(prefix), F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string")))
+
+
 def ladder(d: DataFrame) -> DataFrame:
-    """d (program, status, runtime_error, tape_fills, leg_fills, cores, hits, own_tuple) with code and flag.
+    """d (program, status, runtime_error, tape_fills, leg_fills, cores, hits, and own_tuple or dofs; mixed if it is known)
+    with code and flag.
+
+    In order: no program; timeout or failed run; no fills; no fills of the leg; a numeric bank's own reading; no match;
+    several cores, restricted to what the draw itself says; one core. Several cores are never settled by priority.
 
-    In order: no program; timeout or failed run; no fills; no fills of the leg; no match; several cores, restricted to
-    the draw's own tuple; one core. Several cores are never settled by priority."""
-    consistent = F.array_distinct(F.transform(F.filter("hits", lambda h: F.col("own_tuple").isNull() | (h["tuple"] == F.col("own_tuple"))), lambda h: h["core"]))
-    per_tuple = F.exists("hits", lambda a: F.exists("hits", lambda b: (a["tuple"] == b["tuple"]) & (a["core"] != b["core"])))
+    own_tuple restricts to hits of that tuple. dofs, a map, restricts to hits whose tuple (key=value, comma-joined) has
+    nothing that the draw reads otherwise; what it doesn't read, or can't resolve, fits anything. With the columns
+    numeric_status (null: not a numeric bank), numeric_code and resolutions, a numeric bank's draw is coded by its value:
+    numeric_code if that is a resolution, else "other"; flagged where the tape isn't one of that resolution's."""
+    if "dofs" in d.columns:
+        fits = lambda h: tuple_consistent(F.coalesce("dofs", F.create_map().cast("map<string,string>")), F.when(h["tuple"] == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(h["tuple"], F.lit(","), F.lit("="))))
+    else:
+        fits = lambda h: F.col("own_tuple").isNull() | (h["tuple"] == F.col("own_tuple"))
+    consistent = F.array_distinct(F.transform(F.filter("hits", fits), lambda h: h["core"]))
     several = F.size("cores") > 1
+    # one tuple has several cores: there are fewer tuples than pairs
+    mixed = F.col("mixed") if "mixed" in d.columns else F.size(F.array_distinct(F.transform("hits", lambda h: h["tuple"]))) < F.size(F.array_distinct("hits"))
     restricted = several & (F.size(consistent) == 1)
-    code = (
+    matched = F.when(F.col("cores").isNull(), "DRIFT").when(restricted, F.get(consistent, F.lit(0))).when(several & mixed, "AMBIGUOUS-AT-TUPLE").when(several, "AMBIGUOUS-ACROSS-TUPLES").otherwise(F.get("cores", F.lit(0)))
+    flag = F.when(restricted, "tuple-restricted")
+    if "numeric_status" in d.columns:
+        numeric, read = F.col("numeric_status").isNotNull(), F.col("numeric_status") == "ok"
+        known = F.array_contains("resolutions", F.col("numeric_code"))
+        matched = F.when(numeric, F.when(~read, F.col("numeric_status")).when(known, F.col("numeric_code")).otherwise("other")).otherwise(matched)
+        flag = F.when(numeric, F.when(read & known & ~F.coalesce(F.array_contains("cores", F.col("numeric_code")), F.lit(False)), "implementation-drift")).otherwise(flag)
+    stopped = (
         F.when(F.col("program").isNull(), "no-program").when(F.col("status") == "timeout", "non-runnable").when(F.col("tape_fills").isNull() | (F.col("status") != "ok") | F.col("runtime_error").isNotNull(), "non-runnable")
-        .when(F.col("tape_fills") == 0, "EMPTY-TAPE").when(F.col("leg_fills") == 0, "NO-IMPLEMENTATION").when(F.col("cores").isNull(), "DRIFT")
-        .when(restricted, F.get(consistent, F.lit(0))).when(several & per_tuple, "AMBIGUOUS-AT-TUPLE").when(several, "AMBIGUOUS-ACROSS-TUPLES").otherwise(F.get("cores", F.lit(0)))
+        .when(F.col("tape_fills") == 0, "EMPTY-TAPE").when(F.col("leg_fills") == 0, "NO-IMPLEMENTATION")
     )
-    return d.withColumns({"code": code, "flag": F.when(restricted & ~code.isin("no-program", "non-runnable", "EMPTY-TAPE", "NO-IMPLEMENTATION"), "tuple-restricted")})
+    return d.withColumns({"code": F.coalesce(stopped, matched), "flag": F.when(stopped.isNull(), flag)})
 
 
 def class_label(matches: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +46,25 @@ def freeze(df: DataFrame, path: str, at: str) -> DataFrame:
 def html_json(df: DataFrame) -> DataFrame:
     """All rows as JSON safe inside a script element."""
     return df.agg(F.replace(F.to_json(F.collect_list(F.struct(*df.columns))), F.lit("</script"), F.lit("<\\/script")).alias("payload"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one of the driver only where
+    the master is local."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = "file://" + tempfile.mkdtemp(prefix="tracelab-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def trajectory(df: DataFrame, path: str) -> None:
+    """The event log of runs, one folder a kind of event."""
+    df.write.mode("append").partitionBy("event").json(path)
+
+
+def hash_records(df: DataFrame, name: str, content: str, path: str) -> None:
+    """One line a record: its content's hash, two blanks, its name."""
+    df.select(F.concat(F.sha2(content, 256), F.lit("  "), F.col(name))).write.mode("overwrite").text(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,54 @@ def file_hashes(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def whole_text(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and text of whole files; a missing one is an error."""
+    found = [p for p in paths if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    if len(found) < len(paths):
+        raise FileNotFoundError(", ".join(p for p in paths if p not in found))
+    return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def dated_folders(spark: SparkSession, root: str, schema: T.StructType, pattern: str = "*.jsonl") -> DataFrame:
+    """Lanes of all folders under root, with their file, without what lies in quarantine."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(root).withColumn("file", F.input_file_name())
+    return rows.where(~F.contains(F.lower("file"), F.lit("quarantine")))
+
+
+def in_range(bars: DataFrame, symbol: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Bars of a symbol from first to last day; no bar at all is an error."""
+    rows = bars.where(F.col("symbol") == symbol)
+    rows = rows.where(F.col("d") >= F.lit(first).cast("date")) if first else rows
+    rows = rows.where(F.col("d") <= F.lit(last).cast("date")) if last else rows
+    if rows.isEmpty():
+        raise ValueError(f"no bars of {symbol} from {first} to {last}")
+    return rows
+
+
+class BarCache:
+    """Bars by (symbol, interval): from memory, else the project's folder, else a second one, else the loader; what the
+    loader gives is kept in the second folder."""
+
+    def __init__(self, spark: SparkSession, project: str, second: str, load=None):
+        self.spark, self.folders, self.load, self.known = spark, (project, second), load, {}
+
+    def get(self, symbol: str, interval: str, refresh: bool = False) -> DataFrame:
+        key = symbol, interval
+        if key in self.known and not refresh:
+            return self.known[key]
+        paths = [f"{folder}/symbol={symbol}/interval={interval}" for folder in self.folders]
+        for path in () if refresh else paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+                self.known[key] = self.spark.read.parquet(path)
+                return self.known[key]
+        if self.load is None:
+            raise FileNotFoundError(f"{symbol} {interval}")
+        self.load(symbol, interval).write.mode("overwrite").parquet(paths[1])
+        self.known[key] = self.spark.read.parquet(paths[1])
+        return self.known[key]
+
+
 # ---------------------------------------------------------------- adapters over the test tables
 
 
@@ -81,7 +129,3 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents as judged candidates: truth = quality, judge = not toxic."""
     d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
     return d.join(lab, "doc_id").select("doc_id", "lang", "source", (F.col("quality") == 1).alias("truth"), (F.col("toxic") == 0).alias("judge"), "n_chars")
-
-
-def seq_window(*keys: str, order: tuple[str, ...]):
-    return Window.partitionBy(*keys).orderBy(*order)
