@@ -136,3 +136,53 @@ def test_sources_and_sinks(spark, tmp_path):
 
     assert tables.json_array(spark, f"{tmp_path}/arr.json", T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())]), "id").first()["v"] == "b"
     assert tables.file_hashes(spark, f"{tmp_path}/arr.json").first()["bytes"] == 42
+
+
+def test_constants_keep_names_and_attributes_apart():
+    import ast
+
+    of = lambda t: features.constants(ast.parse(t))
+    assert of("class A:\n  period = 5\nclass B:\n  def f(self):\n    self.period = 7") == {"period": 5.0, "self.period": 7.0}
+    assert of("n = 20")["self.n"] == 20 and "self.n" not in of("n = 20\nself.n = f()") and "self.n" not in of("n = 20\nself.n += 1")
+    assert of("a = 1\na = 2\nb = -3\nb = -3\nc = Decimal('0.4')\nd = True\ne = 5\ne += 3") == {"b": -3.0, "self.b": -3.0, "c": 0.4, "self.c": 0.4, "e": 5.0, "self.e": 5.0}
+    assert features.extract("class S:\n  P = 9\n  def f(self):\n    return EMA(self.P)")[1:3] == ("EMA", 9.0)
+
+
+def test_guards_say_the_opposite():
+    test = lambda t: features.read_settings(t)[-2:]
+    assert test("def f(self):\n  if self.red_streak < 3: return\n  buy()") == (">=", 3.0)
+    assert test("def f(self):\n  if self.red_streak < 3: return 1") == ("<", 3.0)
+    assert test("if streak >= 4:\n  buy()") == (">=", 4.0) and test("if 4 <= streak: buy()") == (">=", 4.0)
+    assert test("if streak > 1: a()\nif streak > 2: b()") == ("mixed", None)
+
+
+def test_settings_of_programs():
+    names = [x.split()[0] for x in features.SETTINGS.split(", ")]
+    of = lambda t: dict(zip(names, features.read_settings(t), strict=True))
+    cross = of("""
+class S:
+    def OnData(self, data):
+        if not self.ready(): return
+        rsi_now = self.rsi.Current.Value
+        if self.prev_close <= self.prev_sma and close > self.sma:
+            self.MarketOrder(s, n)
+        elif self.prev_rsi <= 60 and rsi_now > 60:
+            self.MarketOrder(s, -n)
+    def ready(self):
+        return self.sma.IsReady
+""")
+    assert (cross["warmup"], cross["rsi_exit"], cross["cross_timing"], cross["buy_dir"], cross["same_bar_reentry"]) == ("ready_check", "cross", "both_days", "up", "unresolved")
+    level = of("""
+def on_data(self, data):
+    if self.rsi > 60 and self.lot_shares > 0:
+        self.Liquidate(s)
+        self.lot_shares = 0
+    if close < sma and self.lot_shares == 0:
+        self.SetHoldings(s, 1)
+    if close > sma: self.Sell(s)
+""")
+    assert (level["rsi_exit"], level["cross_timing"], level["buy_dir"], level["sell_dir"], level["same_bar_reentry"], level["a_exec"], level["warmup"]) == ("level", "today_ma", "down", "up", "allowed", "set_holdings", "none")
+    assert of("if self.Portfolio[s].Invested: pass")["same_bar_reentry"] == of("if a:\n  sell()\nelse:\n  buy()")["same_bar_reentry"] == of("if d == last_sell_date: pass")["same_bar_reentry"] == "wait_bar"
+    assert of("rsi[1] <= 60 and rsi[0] > 60")["rsi_exit"] == "cross" and of("x = 'RSI('")["rsi_exit"] == "unresolved"
+    assert of("self.SetWarmUp(timedelta(days=30))")["warmup_bars"] == "timedelta(days=30)"
+    assert of("(" * 5000)["status"] in ("unlexable", "unparsable") and of(None)["status"] == "unlexable"

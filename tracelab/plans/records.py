@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import features as feat
 from ..operators import classify
 from ..operators import records as rec
 from ..sources import sinks, tables
@@ -220,3 +221,24 @@ def _(s, d):
         F.when(k == 6, "unresolved").when(k == 7, "ok").alias("numeric_status"), classify.numeric_key("p", F.col("l_quantity").cast("double")).alias("numeric_code"), F.array(F.lit("p1"), F.lit("p5"), F.lit("p10")).alias("resolutions"),
     )
     return classify.ladder(classify.lookup(draw, bank)).select("l_orderkey", "l_linenumber", "code", "flag")
+
+
+# Programs of pieces, one piece a setting and several ways to write each: (modulus of n_chars, pieces with what they say).
+PIECES = {
+    "rsi_smoothing": (7, [("self.r = RSI('X', 14, MovingAverageType.Simple)", "simple"), ("self.r = self.RSI(s, 14)", "wilder"), ("self.ag = (self.ag * (n - 1) + g) / n", "wilder"), ("up = sum(gains[-14:]) / 14", "simple"), ("self.r = RelativeStrengthIndex(14, MovingAverageType.Exponential)", "ema"), ("avg_gain = avg_gain * (1 - k) + g * k", "ema"), ("pass", "unresolved")]),
+    "warmup": (5, [("self.SetWarmUp(200)", "strict"), ("self.set_warm_up(50, Resolution.Daily)", "strict"), ("ok = self.fast.IsReady", "ready_per_rule"), ("short = len(self.closes) < 9", "ready_per_rule"), ("pass", "none")]),
+    "a_exec": (4, [("self.SetHoldings(s, 0.4)", "set_holdings"), ("self.MarketOrder(s, int(self.Portfolio.TotalPortfolioValue * 0.4 / px))", "calc_shares"), ("self.MarketOrder(s, int(self.Portfolio.Cash * 0.4 / px))", "pct_cash"), ("pass", "unresolved")]),
+    "input_field": (3, [("m = DataNormalizationMode.Raw", "raw"), ("m = DataNormalizationMode.TotalReturn", "total_return"), ("pass", "adjusted")]),
+}
+
+
+def _piece(k: str, which: int) -> str:
+    n, pieces = PIECES[k]
+    return f"CASE n_chars % {n} " + " ".join("WHEN {} THEN '{}'".format(i, x[which].replace("'", "''")) for i, x in enumerate(pieces)) + " END"
+
+
+@query("code_settings", "SELECT doc_id, CASE WHEN n_chars % 11 = 0 THEN 'unparsable' ELSE 'ok' END AS status, " + ", ".join(f"CASE WHEN n_chars % 11 > 0 THEN {_piece(k, 1)} END AS {k}" for k in PIECES) + " FROM documents")
+def _(s, d):
+    docs = table(s, d, "documents")
+    program = F.concat(F.lit("class S:\n  def Initialize(self):\n"), *[F.concat(F.lit("    "), F.expr(_piece(k, 0).replace("''", "\\'")), F.lit("\n")) for k in PIECES], F.when(F.col("n_chars") % 11 == 0, "  x = = 1\n").otherwise("  # IsReady RSI(\n"))
+    return docs.select("doc_id", feat.settings(program).alias("f")).select("doc_id", "f.status", *[f"f.{k}" for k in PIECES])

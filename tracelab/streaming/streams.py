@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
+from ..sources.sinks import scratch
 
-def shared(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, or under one of our own where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tracelab-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,7 +20,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Run to the end and read back. Complete results overwrite per batch, append and update results add up."""
-    spark, root = stream.sparkSession, shared(stream.sparkSession)
+    spark, root = stream.sparkSession, scratch(stream.sparkSession, "stream")
 
     def put(df: DataFrame, n: int) -> None:
         df.write.mode("overwrite").parquet(f"{root}/out" if mode == "complete" else f"{root}/out/batch={n}")
