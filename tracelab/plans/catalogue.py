@@ -237,10 +237,33 @@ def _(s, d):
     return grid.options(s).rollup("bank").agg(F.count(F.lit(1)).alias("runs")).select(F.coalesce("bank", F.lit("TOTAL")).alias("bank"), "runs")
 
 
+def _sizes(options: bool) -> str:
+    """Rows of each bank before dedup, by arithmetic over the level counts: products, sums and one spot row."""
+    levels, banks = (grid.OPTION_LEVELS, grid.OPTION_BANKS) if options else (grid.EQUITY_LEVELS, grid.EQUITY_BANKS)
+    specs = []
+    for bank, spec in banks.items():
+        own, cond = spec if options else (None, spec[0])
+        overrides = [({own} if own else set(), False) for _ in range(len(levels[own]) if own else 1)] if options else [(set(o), o.get("ma_type") == "EMA") for o in spec[1].values()]
+        specs += [f"('{bank}', {i}, {sorted(cond)!r}::VARCHAR[], {sorted(o)!r}::VARCHAR[], {str(ema).lower()})" for i, (o, ema) in enumerate(overrides)]
+    return f"""WITH lv(dof, i, level) AS (VALUES {_sql_levels(levels)}), n AS (SELECT dof, count(*) AS k FROM lv GROUP BY 1), sp(bank, r, cond, pinned, ema) AS (VALUES {", ".join(specs)}),
+g AS (SELECT bank, r, any_value(ema) AS ema, CAST(round(exp(sum(ln(CASE WHEN list_contains(cond, dof) AND NOT list_contains(pinned, dof) THEN k ELSE 1 END)))) AS BIGINT) AS grid, sum(CASE WHEN NOT list_contains(cond, dof) AND NOT list_contains(pinned, dof) THEN k - 1 ELSE 0 END) AS oat,
+  max(CASE WHEN NOT list_contains(cond, dof) AND NOT list_contains(pinned, dof) THEN 1 ELSE 0 END) AS rest, max(CASE WHEN list_contains(cond, 'warmup') AND dof = 'warmup' THEN k ELSE 1 END) AS warm FROM sp CROSS JOIN n GROUP BY 1, 2)
+SELECT bank, CAST(sum(grid + CASE WHEN ema THEN grid // warm * {0 if options else len(grid.EMA_BARS)} ELSE 0 END) AS BIGINT) AS grid, CAST(sum(oat) AS BIGINT) AS oat FROM g GROUP BY 1"""
+
+
+for _kind in (False, True):
+
+    @query("grid_sizes_options" if _kind else "grid_sizes_equity", None)
+    def _(s, d, options=_kind):
+        rows = grid.expand(grid.banks(s, options), grid.OPTION_LEVELS if options else grid.EQUITY_LEVELS, not options)
+        return rows.groupBy("bank").agg(F.count_if(F.col("kind") == "grid").alias("grid"), F.count_if(F.col("kind") == "oat").alias("oat"))
+
+
 def _sql_levels(levels: dict) -> str:
     return ", ".join(f"('{d}', {i}, '{v}')" for d, vs in levels.items() for i, v in enumerate(vs))
 
 
+ORACLE_SQL |= {"grid_sizes_options": _sizes(True), "grid_sizes_equity": _sizes(False)}
 _BL09 = " UNION ALL ".join(f"SELECT 'BL-09' AS bank, '{r}' AS resolution" for r in grid.EQUITY_BANKS["BL-09"][1])
 _AXES = " ".join(f"CROSS JOIN (SELECT level AS {d} FROM lv WHERE dof = '{d}') AS a_{d}" for d in grid.EQUITY_LEVELS)
 
