@@ -30,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one if the master
+    is local, else an error, since other machines wouldn't see it."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tracelab_dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = spark._tracelab_dir = "file://" + tempfile.mkdtemp(prefix="tracelab-")
     return f"{where.rstrip('/')}/tracelab-{sc.applicationId}"
 
