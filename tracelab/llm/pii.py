@@ -151,15 +151,27 @@ TABLE = (
     "token = \"a#a###a#aa####a#\" was set", "We met at noon. The dot was red, at last", "He is at home (at last) and well", "Look at aaaa dot or line", "aaaaa (aaa) aaaa [aaa] aaaa", "Aaaa aaa, aaaa aaaaaa. Aaaa aaaa; aaa!", "aaa | aaaa | aaaaa", "AAAA!! AAA!! AAAAA!!", "aaa### aaaa$$$ aa%%% aaa&&&",
     "ratio #:## and ## - ## = #", "call # of ## at ##:##", "Order ######-## shipped", "a+b = c (see #)", "id ################## logged", "section #.#.#.#.# ends", "aaaa aa aaaaaa at aaa aaaa of aaaaa", "Aaaaaa aaaaa aaaaaaaa. aaa aa", "phone the shop at once", "the card is on the mail desk", "(###) items at ### each", "aaaa-aaaa aaa's aaa/aaa",
 )
+#: How each kind may be written, and the places in a sentence where each of these is put.
+FORMATS = {
+    "email": ("aaaaa (at) aaaaa (dot) aaa", "aaaa at aaaaa dot aaa", "aaaa[at]aaaaaa.aaa", "aaaa.aaa [at] aaaaaa [dot] aa", "aaaaa(at)aaaaaa.aaa", "aaaa AT aaaaa DOT aaa"),
+    "ip": ("##[.]##[.]#[.]###", "###[.]###[.]#[.]##", "##(.)###(.)##(.)#", "##.###.#.##"),
+    "card": ("#### #### #### ####", "####-####-####-####", "####.####.####.####", "####/####/####/####", "####_####_####_####", "################"),
+    "phone": ("(###) ###-####", "###-###-####", "###.###.####", "0## #### ####", "(0##) ### ####", "0###/######", "### ### ####", "+# (###) ###-####"),
+}
+FRAMES = ("{}", "{} aaaa aa aaaaa", "aaaa aaa {}", "Aaaa aaaaa aaa {} aaaaa aa aaa.", "Aaaaa: {}.", "aaa aaaa ({}) aaaa", "aaaa aa {}, aaa aaaaa", "Aaa aaaa {}; aaaa")
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 
 
+#: Each format in every place.
+MADE = tuple(frame.format(f"[{kind}:{body}]") for kind, bodies in FORMATS.items() for body in bodies for frame in FRAMES)
+
+
 def labelled(copies: int = 3, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """The small labelled table: (text, [(start, end, kind number)]) with # and runs of a filled by a seeded rule."""
     rng = np.random.default_rng(seed)
     out = []
-    for _ in range(copies):
-        for line in TABLE:
+    for copy in range(copies):
+        for line in (*TABLE, *(MADE if copy == 0 else ())):
             text, spans = "", []
             for part in re.split(r"(\[(?:email|ip|card|phone):(?:[^\[\]]|\[[^\]]*\])*\])", line):
                 m = re.fullmatch(r"\[(email|ip|card|phone):(.*)\]", part)
