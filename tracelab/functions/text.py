@@ -26,6 +26,11 @@ def strip(t: Column) -> Column:
     return F.btrim(t, F.lit(BLANKS))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def fenced(t: Column) -> Column:
     """The longest fenced block, the first of equals; null without one."""
     blocks = F.regexp_extract_all(t, F.lit(FENCE), F.lit(1))
@@ -41,20 +46,27 @@ def asks(t: Column) -> Column:
 
 def from_line(t: Column, pattern: str, otherwise: Column) -> Column:
     """The lines from the first one that matches, stripped, on."""
-    lines = F.split(t, "\n", -1)
-    first = F.array_position(F.transform(lines, lambda x: strip(x).rlike(pattern)), F.lit(True)).cast("int")
-    return F.when(first > 0, F.array_join(F.slice(lines, first, F.size(lines)), "\n")).otherwise(otherwise)
+
+    def cut(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda x: strip(x).rlike(pattern)), F.lit(True)).cast("int")
+        return F.when(first > 0, F.array_join(F.slice(lines, first, F.size(lines)), "\n")).otherwise(otherwise)
+
+    return bound(F.split(t, "\n", -1), cut)
+
+
+def first_fence(t: Column) -> Column:
+    """The first python fence, else the first non-blank one, stripped; else the text."""
+    marked, plain = F.split(t, "```python", -1), F.split(t, "```", -1)
+    inside = F.get(F.filter(plain, lambda x, i: (i % 2 == 1) & (strip(x) != "")), F.lit(0))
+    python = strip(F.substring_index(F.get(marked, F.lit(1)), "```", 1))
+    return F.when(~F.contains(t, F.lit("```")), t).when(F.size(marked) > 1, python).otherwise(F.coalesce(strip(inside), t))
 
 
 def clean_code(t: Column) -> Column:
     """What follows the last closed thought, or after a thought without end the first line of code on, else nothing; of
     that the first python fence, else the first non-blank one; of that the first import on."""
     after = F.when(F.contains(t, F.lit("</think>")), strip(F.substring_index(t, "</think>", -1))).when(F.contains(t, F.lit("<think>")), from_line(t, CODE_STARTS, F.lit(""))).otherwise(t)
-    marked, plain = F.split(after, "```python", -1), F.split(after, "```", -1)
-    inside = F.filter(plain, lambda x, i: (i % 2 == 1) & (strip(x) != ""))
-    fence = F.when(F.size(marked) > 1, F.substring_index(F.get(marked, F.lit(1)), "```", 1)).otherwise(F.get(inside, F.lit(0)))
-    body = F.coalesce(strip(fence), after)
-    return strip(from_line(body, "^(import |from )", body))
+    return strip(bound(bound(after, first_fence), lambda body: from_line(body, "^(import |from )", body)))
 
 
 def structure_gate(code: Column, module: str = "", base: str = r"[\w.]*") -> Column:
@@ -65,12 +77,11 @@ def structure_gate(code: Column, module: str = "", base: str = r"[\w.]*") -> Col
 def rating(t: Column) -> tuple[Column, Column]:
     """(aligned, mode): the last match of the first pattern that matches, else keywords among the last 300 characters;
     keywords are substrings, ties fail."""
-    low = F.lower(strip(t))
-    found = F.coalesce(*[F.try_element_at(F.regexp_extract_all(low, F.lit(p), F.lit(1)), F.lit(-1)) for p in RATINGS])
-    tail = F.right(low, F.lit(300))
-    hits = lambda words: sum((F.contains(tail, F.lit(w)).cast("int") for w in words[1:]), F.contains(tail, F.lit(words[0])).cast("int"))
-    yes, no = hits(POSITIVE), hits(NEGATIVE)
-    return F.when(found.isNotNull(), F.ltrim(found, F.lit("0")) == "1").otherwise(yes > no), F.when(found.isNotNull(), "rating").when(yes == no, "keyword-tie").otherwise("keyword")
+    hits = lambda tail, words: sum((F.contains(tail, F.lit(w)).cast("int") for w in words[1:]), F.contains(tail, F.lit(words[0])).cast("int"))
+    last = lambda low: F.coalesce(*[F.try_element_at(F.regexp_extract_all(low, F.lit(p), F.lit(1)), F.lit(-1)) for p in RATINGS])
+    read = bound(F.lower(strip(t)), lambda low: F.struct(last(low).alias("found"), bound(F.right(low, F.lit(300)), lambda x: hits(x, POSITIVE) - hits(x, NEGATIVE)).alias("lead")))
+    found, lead = read["found"], read["lead"]
+    return F.when(found.isNotNull(), F.ltrim(found, F.lit("0")) == "1").otherwise(lead > 0), F.when(found.isNotNull(), "rating").when(lead == 0, "keyword-tie").otherwise("keyword")
 
 
 def blocked(program: Column, t: Column) -> Column:
