@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Bytes of an Arrow batch between Spark and Python, unless the session sets its own: texts may be long.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -123,7 +123,7 @@ def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that each holds about `most` bytes of text (one row at least): bounds memory."""
     for batch in batches:
         if not batch.num_rows:

@@ -133,7 +133,7 @@ class Model:
         size = np.sqrt(np.add.reduceat(x.astype(np.float64) ** 2, cut[:-1])) if len(words) else np.zeros(0)
         return term, (x / np.repeat(size, np.diff(cut))).astype(np.float32), cut
 
-    def search(self, term: np.ndarray, x: np.ndarray, cut: np.ndarray, group: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, term: np.ndarray, x: np.ndarray, cut: np.ndarray, group: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """Exact k nearest examples of each unit vector: (cosines falling, places), -1 where there are fewer."""
         n, total, blocks = len(cut) - 1, len(self.ids), self.blocks
         k = min(self.k, total)
