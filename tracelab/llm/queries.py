@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, topk, toxicity
+from . import chat, divergence, filter_audit, mixing, pii, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, topk, toxicity
 from .common import table
 
 
@@ -55,7 +55,15 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_suffix_dedup, op4_toxicity, op5_mixing, op6_simhash, op7_topk, op8_sharding, op9_quality, op10_chat)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_suffix_dedup, op4_toxicity, op5_mixing, op6_simhash, op7_topk, op8_sharding, op9_quality, op10_chat, op11_divergence, op12_filter_audit)}
 
 OP7_SQL = """
 WITH v AS (
@@ -86,4 +94,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_topk": OP7_SQL, "op9_quality": OP9_SQL, "op10_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_topk": OP7_SQL, "op9_quality": OP9_SQL, "op10_chat": chat.ORACLE, "op11_divergence": divergence.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
