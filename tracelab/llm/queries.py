@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL.
 
-Without SQL: op1 (CRF), op2 (Viterbi), op3 (exact in SQL, but over a minute on 2.5 MB of text), op4 (model), op5 and op8 (Spark's 64-bit hash decides), op6 (XXH64). Those are
-tested against brute force in tests/llm.
+Without SQL: op1 (CRF), op2 (Viterbi), op3 (exact in SQL, but over a minute on 2.5 MB of text), op4 (model), op5 and op8 (Spark's 64-bit hash decides), op6 (XXH64), op13
+(model). Those are tested against brute force in tests/llm.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, filter_audit, mixing, pii, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, topk, toxicity
+from . import chat, divergence, filter_audit, lm_score, mixing, pii, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, topk, toxicity
 from .common import table
 
 
@@ -63,7 +63,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_suffix_dedup, op4_toxicity, op5_mixing, op6_simhash, op7_topk, op8_sharding, op9_quality, op10_chat, op11_divergence, op12_filter_audit)}
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_suffix_dedup, op4_toxicity, op5_mixing, op6_simhash, op7_topk, op8_sharding, op9_quality, op10_chat, op11_divergence, op12_filter_audit, op13_lm_score)}
 
 OP7_SQL = """
 WITH v AS (
