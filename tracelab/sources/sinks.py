@@ -60,6 +60,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: a fixed result whose lineage is gone, for what is used repeatedly."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def split(df: DataFrame, bad, path: str, reason: str, apply: bool = False) -> DataFrame:
+    """Rows of either side, in number. With apply, both sides are written in one pass, quarantined rows with the reason;
+    the input stays as it is."""
+    aside = F.coalesce(bad, F.lit(False))
+    side = F.when(aside, "quarantine").otherwise("keep")
+    if apply:
+        df.withColumns({"quarantined_reason": F.when(aside, reason), "side": side}).write.mode("append").partitionBy("side").json(path)
+        return df.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, quarantined_reason string, side string").json(path).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def blinded_packets(df: DataFrame, path: str, blind: str, hidden: list[str], shelf: int = 1000) -> None:
+    """Packets under their blinded number alone, `shelf` of them a folder, and beside them the index that tells what they
+    are; who reads packets needn't see the index."""
+    df.drop(*hidden).withColumn("shelf", F.floor(F.col(blind) / shelf)).write.mode("errorifexists").partitionBy("shelf").json(f"{path}/packets")
+    df.select(blind, *hidden).write.mode("errorifexists").json(f"{path}/index")
+
+
 def trajectory(df: DataFrame, path: str) -> None:
     """The event log of runs, one folder a kind of event."""
     df.write.mode("append").partitionBy("event").json(path)

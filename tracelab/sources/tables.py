@@ -38,16 +38,53 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType, key: str) -
     return rows.groupBy(F.col(f"row.{key}").alias("_key")).agg(F.max_by("row", "at").alias("row")).select("row.*")
 
 
+def listed(spark: SparkSession, glob: str) -> list[str]:
+    """Paths that match, from the listing alone."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(x.getPath().toString() for x in found or [])
+
+
 def last_file(spark: SparkSession, glob: str) -> DataFrame:
-    """Lines of the lexicographically last matching file."""
-    rows = spark.read.text(glob).withColumn("file", F.input_file_name())
-    return rows.join(F.broadcast(rows.agg(F.max("file").alias("file"))), "file")  # one row
+    """Lines of the lexicographically last matching file, the only one that is opened; no file gives no line."""
+    found = listed(spark, glob)
+    if not found:
+        return spark.createDataFrame([], "value string, file string")
+    return spark.read.text(found[-1]).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+EFFORTS = ("low", "medium", "high", "xhigh", "max", "default")
 
 
 def lane_keys(path: str = "file"):
-    """Lane, prompt, condition and surface from names such as lane__prompt__condition__surface.jsonl."""
+    """Lane, prompt, condition and surface of names such as lane__prompt__condition__surface.jsonl, and the lane's model and
+    effort where it ends in an effort, as model_high does; else all of it is the model."""
+    base = F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)
+    parts = [F.split(base, "__").getItem(i) for i in range(4)]
+    pattern = rf"^(.+)_({'|'.join(EFFORTS)})$"
+    effort = F.nullif(F.regexp_extract(parts[0], pattern, 2), F.lit(""))
+    model = F.when(effort.isNull(), parts[0]).otherwise(F.regexp_extract(parts[0], pattern, 1))
+    return [*(c.alias(n) for c, n in zip(parts, ("lane", "prompt_id", "condition", "surface"), strict=True)), model.alias("model"), effort.alias("effort")]
+
+
+def bench_keys(path: str = "file"):
+    """Lane, prompt, condition and surface of names such as bare_model_high_O1e3_noask.jsonl; null where no prompt is named."""
     base = F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)
-    return [F.split(base, "__").getItem(i).alias(n) for i, n in enumerate(("lane", "prompt_id", "condition", "surface"))]
+    plain = F.regexp_replace(base, "_noask$", "")
+    lane = F.nullif(F.regexp_extract(plain, "^(.*?)_O1", 1), F.lit(""))
+    known = lambda c: F.when(lane.isNotNull(), c)
+    prompt = F.concat(F.lit("O1"), F.get(F.split(plain, "_O1"), F.lit(1)))
+    return [lane.alias("lane"), known(prompt).alias("prompt_id"), known(F.when(base.endswith("_noask"), "noask").otherwise("base")).alias("condition"), known(F.when(lane.startswith("bare_"), "bare").otherwise("harness")).alias("surface")]
+
+
+def pooled(spark: SparkSession, root: str, schema: T.StructType, want: int, today: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Usable rows of each lane file's name over all dated folders, and what today's folder must reach so that they are
+    `want` in all: its own rows and the shortfall of all. Folders of other names and quarantined files don't count."""
+    rows = dated_folders(spark, root, schema, pattern)
+    day = F.regexp_extract("file", r"/(\d{4}-\d{2}-\d{2})/[^/]+$", 1)
+    usable = F.col("status").isin("program", "no-program")
+    cells = rows.where(day != "").groupBy(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("cell")).agg(F.count_if(usable).alias("have"), F.count_if(usable & (day == today)).alias("have_today"))
+    return cells.withColumns({"want": F.lit(want), "ask_for": F.when(F.col("have") < want, F.col("have_today") + want - F.col("have"))})
 
 
 def file_hashes(spark: SparkSession, glob: str) -> DataFrame:
