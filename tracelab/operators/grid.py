@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The degrees of freedom and their levels, the reference level first. The names are this engine's own.
+# The degrees of freedom and their levels, the reference level first.
 EQUITY_LEVELS = {
     "rsi_smoothing": ["wilder", "simple"], "rsi_exit": ["level", "cross"], "warmup": ["strict", "ready_check", "ready_per_rule"], "a_exec": ["calc_shares", "set_holdings"],
     "same_bar_reentry": ["allowed", "wait_bar"], "input_field": ["adjusted", "raw"], "cross_timing": ["both_days", "today_ma"],
@@ -20,14 +19,19 @@ ALL_DATES = sorted({*A_DATES, *B_DATES})
 EMA_BARS = ["150", "200", "252"]
 
 
-# The ways to buy and to sell of each kind of cross, and the suffixes of the re-entry rules.
-CROSS_WAYS = [
-    ("conv", "up", "down"), ("inv", "down", "up"), ("sym", "any", "any"), ("uu", "up", "up"), ("dd", "down", "down"), ("ua", "up", "any"), ("au", "any", "up"),
-    ("da", "down", "any"), ("ad", "any", "down"), ("level", "level_above", "level_below"),
-]
-REENTRY = [("reent", "allowed"), ("wait", "wait_bar")]
-# Every way with every re-entry rule, as a product.
-CROSSES = {"_".join((way[0], rule[0])): dict(zip(("buy_dir", "sell_dir", "same_bar_reentry"), (*way[1:], rule[1]), strict=True)) for way, rule in product(CROSS_WAYS, REENTRY)}
+# The twenty resolutions of the cross bank.
+CROSSES = {
+    "conv_reent": {"buy_dir": "up", "sell_dir": "down", "same_bar_reentry": "allowed"}, "conv_wait": {"buy_dir": "up", "sell_dir": "down", "same_bar_reentry": "wait_bar"},
+    "inv_reent": {"buy_dir": "down", "sell_dir": "up", "same_bar_reentry": "allowed"}, "inv_wait": {"buy_dir": "down", "sell_dir": "up", "same_bar_reentry": "wait_bar"},
+    "sym_reent": {"buy_dir": "any", "sell_dir": "any", "same_bar_reentry": "allowed"}, "sym_wait": {"buy_dir": "any", "sell_dir": "any", "same_bar_reentry": "wait_bar"},
+    "uu_reent": {"buy_dir": "up", "sell_dir": "up", "same_bar_reentry": "allowed"}, "uu_wait": {"buy_dir": "up", "sell_dir": "up", "same_bar_reentry": "wait_bar"},
+    "dd_reent": {"buy_dir": "down", "sell_dir": "down", "same_bar_reentry": "allowed"}, "dd_wait": {"buy_dir": "down", "sell_dir": "down", "same_bar_reentry": "wait_bar"},
+    "ua_reent": {"buy_dir": "up", "sell_dir": "any", "same_bar_reentry": "allowed"}, "ua_wait": {"buy_dir": "up", "sell_dir": "any", "same_bar_reentry": "wait_bar"},
+    "au_reent": {"buy_dir": "any", "sell_dir": "up", "same_bar_reentry": "allowed"}, "au_wait": {"buy_dir": "any", "sell_dir": "up", "same_bar_reentry": "wait_bar"},
+    "da_reent": {"buy_dir": "down", "sell_dir": "any", "same_bar_reentry": "allowed"}, "da_wait": {"buy_dir": "down", "sell_dir": "any", "same_bar_reentry": "wait_bar"},
+    "ad_reent": {"buy_dir": "any", "sell_dir": "down", "same_bar_reentry": "allowed"}, "ad_wait": {"buy_dir": "any", "sell_dir": "down", "same_bar_reentry": "wait_bar"},
+    "level_reent": {"buy_dir": "level_above", "sell_dir": "level_below", "same_bar_reentry": "allowed"}, "level_wait": {"buy_dir": "level_above", "sell_dir": "level_below", "same_bar_reentry": "wait_bar"},
+}
 
 
 def _one(name: str, prefix: str, values: list[str], reference: str) -> dict[str, dict]:
