@@ -1,5 +1,5 @@
 """Indicators over bars (symbol, d, open, high, low, close). Finite-memory ones are window frames; first-seed EMA and
-Wilder averages, whose memory is unbounded, are folds over each symbol's ordered bars in Arrow batches.
+Wilder averages, whose memory is unbounded, are linear recurrences, scanned in chunks of a symbol.
 
 Signals compare values rounded to SCALE digits, so that the order of floating sums can't flip them.
 """
@@ -7,11 +7,16 @@ Signals compare values rounded to SCALE digits, so that the order of floating su
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import settle
+from .ranks import ranked
+from .scan import CHUNK, composed, scanned
+
 SCALE = 6
+
+
 def by_day() -> "Window":
     return Window.partitionBy("symbol").orderBy("d")
 
@@ -59,24 +64,34 @@ def readiness(n: int) -> Column:
     return F.row_number().over(by_day()) >= n
 
 
-# ---------------------------------------------------------------- folds
+# ---------------------------------------------------------------- recurrences
 
 
-def ema(x: np.ndarray, n: int) -> np.ndarray:
+def ema_steps(rank: Column, x: Column, n: int) -> tuple[Column, Column]:
     """Seeded with the first sample."""
-    out, a = np.empty(len(x)), 2 / (n + 1)
-    for i, v in enumerate(x.tolist()):
-        out[i] = v if i == 0 else out[i - 1] + a * (v - out[i - 1])
-    return out
+    a = 2 / (n + 1)
+    return F.when(rank == 0, 0.0).otherwise(1 - a), F.when(rank == 0, x).otherwise(a * x)
+
+
+def wilder_steps(rank: Column, x: Column, n: int, seed: Column) -> tuple[Column, Column]:
+    """The mean of the first n values as seed at rank n - 1, then (avg * (n - 1) + x) / n."""
+    return F.when(rank < n, 0.0).otherwise((n - 1) / n), F.when(rank < n - 1, 0.0).when(rank == n - 1, seed).otherwise(x / n)
+
+
+def ema(x: np.ndarray, n: int) -> np.ndarray:
+    """Of one short series, seeded with the first sample."""
+    a, b = np.full(len(x), 1 - 2 / (n + 1)), x * (2 / (n + 1))
+    a[:1], b[:1] = 0, x[:1]
+    return composed(a, b)[1]
 
 
 def wilder(x: np.ndarray, n: int) -> np.ndarray:
-    """Mean of the first n values as seed, then (avg * (n - 1) + x) / n; NaN before."""
+    """Of one short series; NaN before the seed, the mean of the first n values."""
     out = np.full(len(x), np.nan)
     if len(x) >= n:
-        out[n - 1] = x[:n].mean()
-        for i in range(n, len(x)):
-            out[i] = (out[i - 1] * (n - 1) + x[i]) / n
+        a, b = np.full(len(x) - n + 1, (n - 1) / n), x[n - 1 :] / n
+        a[0], b[0] = 0, x[:n].mean()
+        out[n - 1 :] = composed(a, b)[1]
     return out
 
 
@@ -88,28 +103,37 @@ def rsi_wilder(close: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(([np.nan], np.where(np.isnan(up), np.nan, r)))
 
 
-def macd(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[np.ndarray, np.ndarray]:
-    line = ema(close, fast) - ema(close, slow)
-    return line, ema(line, signal)
-
-
-def atr(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> np.ndarray:
-    before = np.concatenate((close[:1], close[:-1]))
-    true = np.maximum(high, before) - np.minimum(low, before)
-    true[0] = high[0] - low[0]
-    return wilder(true, n)
-
-
-def folded(bars: DataFrame, n_ema: int = 5, n_rsi: int = 5, n_atr: int = 5) -> DataFrame:
-    """symbol, d, close with ema, rsi, macd, macd_signal and atr, rounded; null until ready."""
-
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by("d")
-        o = {c: t.column(c).to_numpy().astype(float) for c in ("high", "low", "close")}
-        line, signal = macd(o["close"])
-        made = {"ema": ema(o["close"], n_ema), "rsi": rsi_wilder(o["close"], n_rsi), "macd": line, "macd_signal": signal, "atr": atr(o["high"], o["low"], o["close"], n_atr)}
-        made["ema"][:n_ema] = np.nan  # the pair (yesterday, today) needs n + 1 samples
-        cols = [pa.array(np.where(np.isnan(x), 0, np.round(x, SCALE)), mask=np.isnan(x)) for x in made.values()]
-        return pa.table([t.column("symbol"), t.column("d"), t.column("close"), *cols], names=["symbol", "d", "close", *made])
-
-    return bars.groupBy("symbol").applyInArrow(fold, "symbol string, d date, close double, ema double, rsi double, macd double, macd_signal double, atr double")
+RECURSIVE = ("ema", "rsi", "macd", "macd_signal", "atr")
+
+
+def recursive(bars: DataFrame, wanted: tuple[str, ...] = RECURSIVE, n_ema: int = 5, n_rsi: int = 5, n_atr: int = 5, fast: int = 12, slow: int = 26, signal: int = 9, chunk: int = CHUNK) -> DataFrame:
+    """symbol, d, close and what is wanted of ema, rsi, macd, macd_signal and atr, rounded; null until ready. Bars are
+    ranked over the whole table, neighbours meet by rank, and averages of unbounded memory are scanned in chunks, so that
+    no task holds a symbol."""
+    rows = settle(ranked(bars.select("symbol", "d", "high", "low", "close"), ["d"], "rank", ("symbol",)), "ranked")
+    longest = rows.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
+    close, rank = F.col("close"), F.col("rank")
+    steps: dict[str, tuple[Column, Column]] = {}
+    if {"rsi", "atr"} & set(wanted):
+        before = rows.select("symbol", (rank + 1).alias("rank"), close.alias("prev"))
+        rows = rows.join(before, ["symbol", "rank"], "left")
+        change, prev = F.coalesce(close - F.col("prev"), F.lit(0.0)), F.col("prev")
+        rows = rows.withColumns({"up": F.greatest(change, F.lit(0.0)), "down": F.greatest(-change, F.lit(0.0)), "true": F.greatest("high", F.coalesce(prev, "high")) - F.least("low", F.coalesce(prev, "low"))})
+        spans = (("up", 1, n_rsi), ("down", 1, n_rsi), ("true", 0, n_atr))
+        first = rows.where(rank <= max(n_rsi, n_atr)).groupBy("symbol").agg(*(F.avg(F.when((rank >= lo) & (rank < lo + n), F.col(c))).alias(f"seed_{c}") for c, lo, n in spans))
+        rows = rows.join(first, "symbol")
+        steps |= {f"avg_{c}": wilder_steps(rank - lo, F.col(c), n, F.col(f"seed_{c}")) for c, lo, n in spans}
+    if "ema" in wanted:
+        steps["ema"] = ema_steps(rank, close, n_ema)
+    if {"macd", "macd_signal"} & set(wanted):
+        steps |= {"fast": ema_steps(rank, close, fast), "slow": ema_steps(rank, close, slow)}
+    rows = scanned(rows, ["symbol"], "rank", steps, longest, chunk)
+    if "macd_signal" in wanted:
+        rows = rows.withColumn("line", F.col("fast") - F.col("slow"))
+        rows = scanned(rows, ["symbol"], "rank", {"signal": ema_steps(rank, F.col("line"), signal)}, longest, chunk)
+    col = F.col
+    made = {
+        "ema": lambda: F.when(rank >= n_ema, col("ema")), "rsi": lambda: F.when(rank >= n_rsi, F.when(col("avg_down") == 0, 100.0).otherwise(100 - 100 / (1 + col("avg_up") / col("avg_down")))), "macd": lambda: col("fast") - col("slow"),
+        "macd_signal": lambda: col("signal"), "atr": lambda: F.when(rank >= n_atr - 1, col("avg_true")),
+    }
+    return rows.select("symbol", "d", "close", *(F.round(made[n](), SCALE).alias(n) for n in wanted))

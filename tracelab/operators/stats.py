@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 Z = 1.959964
 UNNAMED = ("DRIFT", "AMBIGUOUS-AT-TUPLE", "AMBIGUOUS-ACROSS-TUPLES", "other")
 
@@ -80,3 +82,40 @@ def best_attempt(df: DataFrame, key: str, turn: str, reward: str, success: Colum
 def ordered_hash(h: str, order: str) -> Column:
     """sha256 of the hex digests joined in order."""
     return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, h))), lambda x: x[h]), ""), 256)
+
+
+# ---------------------------------------------------------------- by rank, so that no group is gathered
+
+
+def upper_medians(df: DataFrame, group: list[str], x: str) -> DataFrame:
+    """upper_median of each group as `med`: the row of rank n // 2 of those with a value."""
+    rows = df.select(*group, F.col(x).cast("double").alias("_x"))
+    sizes = rows.groupBy(*group).agg(F.floor(F.count("_x") / 2).alias("_at"))
+    values = ranked(rows.where("_x is not null"), ["_x"], "_rank", tuple(group))
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    found = sizes.alias("a").join(values.alias("b"), [*same, F.col("a._at") == F.col("b._rank")], "left")
+    return found.select(*(F.col(f"a.{g}") for g in group), F.coalesce("b._x", F.lit(0.0)).alias("med"))
+
+
+def tree_hash(df: DataFrame, group: list[str], order: list[str], h: str, fan: int = 256) -> DataFrame:
+    """One digest of each group's ordered digests, `fan` of them hashed at a time, and those hashed again until one is
+    left: like a hash of all of them joined, it changes with any row or order, but no row holds more than `fan`."""
+    rows = ranked(df.select(*group, *order, F.col(h).alias("_h")), order, "_i", tuple(group)).select(*group, "_i", "_h")
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    most = sizes.agg(F.coalesce(F.max("_n"), F.lit(1))).first()[0]
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    rows = rows.alias("a").join(sizes.alias("b"), same).select("a.*", "_n", F.lit(True).alias("_more"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"]), "")
+    while most:
+        up = F.floor(F.col("_i") / fan)
+        rows = rows.groupBy(*group, up.alias("_up"), "_n", "_more").agg(F.when(F.col("_more"), F.sha2(joined, 256)).otherwise(F.max("_h")).alias("_h"))
+        rows = rows.select(*group, F.col("_up").alias("_i"), "_h", F.ceil(F.col("_n") / fan).alias("_n")).withColumn("_more", F.col("_n") > 1)
+        most = -(-most // fan) if most > fan else 0
+    return rows.select(*group, F.col("_h").alias("digest"))
+
+
+def prefix_hash(df: DataFrame, group: list[str], order: list[str], h: str, n: int) -> DataFrame:
+    """sha256 of the first n digests of each group, joined in order."""
+    rows = ranked(df.select(*group, *order, F.col(h).alias("_h")), order, "_i", tuple(group)).where(F.col("_i") < n)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"]), "")
+    return rows.groupBy(*group).agg(F.sha2(joined, 256).alias("digest"))

@@ -105,7 +105,7 @@ NUMBERED = f"{BARS}, nb AS (SELECT *, row_number() OVER {W} AS i, lag(close) OVE
 
 @query("ema_first_seed", f"WITH RECURSIVE {NUMBERED}, e AS (SELECT symbol, d, i, close AS ema FROM nb WHERE i = 1 UNION ALL SELECT nb.symbol, nb.d, nb.i, e.ema + 2.0 / 6 * (nb.close - e.ema) FROM e JOIN nb ON nb.symbol = e.symbol AND nb.i = e.i + 1) SELECT symbol, d, CASE WHEN i > 5 THEN round(ema, 6) END AS ema FROM e")
 def _(s, d):
-    return indicators.folded(_daily(s, d)).select("symbol", "d", "ema")
+    return indicators.recursive(_daily(s, d), ("ema",)).select("symbol", "d", "ema")
 
 
 @query("rsi_wilder", f"""WITH RECURSIVE {NUMBERED},
@@ -114,14 +114,14 @@ e AS (SELECT nb.symbol, nb.d, nb.i, up, down FROM nb JOIN seed USING (symbol) WH
   SELECT nb.symbol, nb.d, nb.i, (e.up * 4 + greatest(nb.close - nb.prev, 0)) / 5, (e.down * 4 + greatest(nb.prev - nb.close, 0)) / 5 FROM e JOIN nb ON nb.symbol = e.symbol AND nb.i = e.i + 1)
 SELECT nb.symbol, nb.d, round(CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 6) AS rsi FROM nb LEFT JOIN e ON nb.symbol = e.symbol AND nb.i = e.i""")
 def _(s, d):
-    return indicators.folded(_daily(s, d)).select("symbol", "d", "rsi")
+    return indicators.recursive(_daily(s, d), ("rsi",)).select("symbol", "d", "rsi")
 
 
 @query("macd", f"""WITH RECURSIVE {NUMBERED}, e AS (SELECT symbol, d, i, close AS f, close AS g, 0.0::DOUBLE AS sig FROM nb WHERE i = 1 UNION ALL
   SELECT nb.symbol, nb.d, nb.i, e.f + 2.0 / 13 * (nb.close - e.f), e.g + 2.0 / 27 * (nb.close - e.g), e.sig + 0.2 * ((e.f + 2.0 / 13 * (nb.close - e.f)) - (e.g + 2.0 / 27 * (nb.close - e.g)) - e.sig) FROM e JOIN nb ON nb.symbol = e.symbol AND nb.i = e.i + 1)
 SELECT symbol, d, round(f - g, 6) AS macd, round(sig, 6) AS macd_signal FROM e""")
 def _(s, d):
-    return indicators.folded(_daily(s, d)).select("symbol", "d", "macd", "macd_signal")
+    return indicators.recursive(_daily(s, d), ("macd", "macd_signal")).select("symbol", "d", "macd", "macd_signal")
 
 
 @query("atr_wilder", f"""WITH RECURSIVE {NUMBERED}, tr AS (SELECT *, greatest(high, coalesce(prev, high)) - least(low, coalesce(prev, low)) AS tr FROM nb),
@@ -129,7 +129,7 @@ seed AS (SELECT symbol, avg(tr) AS a FROM tr WHERE i <= 5 GROUP BY 1 HAVING coun
 e AS (SELECT tr.symbol, tr.i, a FROM tr JOIN seed USING (symbol) WHERE i = 5 UNION ALL SELECT tr.symbol, tr.i, (e.a * 4 + tr.tr) / 5 FROM e JOIN tr ON tr.symbol = e.symbol AND tr.i = e.i + 1)
 SELECT nb.symbol, nb.d, round(a, 6) AS atr FROM nb LEFT JOIN e ON nb.symbol = e.symbol AND nb.i = e.i""")
 def _(s, d):
-    return indicators.folded(_daily(s, d)).select("symbol", "d", "atr")
+    return indicators.recursive(_daily(s, d), ("atr",)).select("symbol", "d", "atr")
 
 
 CROSS = f"m AS (SELECT *, {_sma(5, 'ma')} FROM bars), x AS (SELECT *, lag(close) OVER {W} AS c0, lag(ma) OVER {W} AS m0 FROM m), sg AS (SELECT *, coalesce(c0 <= m0 AND close > ma, false) AS up, coalesce(c0 >= m0 AND close < ma, false) AS down FROM x)"
