@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from tracelab.plans import catalogue, lanes, records, trials  # noqa: F401
+from tracelab.plans import catalogue, cells, lanes, records, trials  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

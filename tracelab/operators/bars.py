@@ -36,7 +36,5 @@ def session(ticks: DataFrame, minutes: int = 5, opens: str = "09:30", closes: st
     end = F.timestamp_seconds(first + (F.floor((now - first) / (60 * minutes)) + 1) * 60 * minutes)
     rows = ticks.withColumn("local", local)
     bars = ohlcv(rows.where(inside), end, "bar_end")
-    if until is not None:
-        return bars.where(F.col("bar_end") <= F.from_utc_timestamp(until, zone))
-    seen = ticks.agg(F.from_utc_timestamp(F.max("ts"), zone).alias("seen"))
-    return bars.join(F.broadcast(seen), F.col("bar_end") <= F.col("seen")).drop("seen")  # one row
+    seen = ticks.agg(F.max("ts")).scalar() if until is None else until
+    return bars.where(F.col("bar_end") <= F.from_utc_timestamp(seen, zone))
