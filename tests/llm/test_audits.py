@@ -218,7 +218,7 @@ def test_scores_and_weights(spark, sf, monkeypatch, order):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     table = lm_score.blocks(docs, 5)
     asked = lm_score.counts(table, order, 5)
-    model = lm_score.fit(lm_score.answered(table, asked), asked, order)
+    model = lm_score.fit(lm_score.answered(table, asked, 5), asked, order)
     grams = counted(rows, order)
     total, distinct = sum(n for g, n in grams[0].items() if g != ("<",)), len(grams[0]) - 1
     assert (model.total, model.distinct) == (total, distinct)
@@ -270,7 +270,7 @@ def test_probabilities_sum_to_one(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     table = lm_score.blocks(docs, 3)
     asked = lm_score.counts(table, 2, 3)
-    model = lm_score.fit(lm_score.answered(table, asked), asked, 2)
+    model = lm_score.fit(lm_score.answered(table, asked, 3), asked, 2)
     grams = counted(rows, 2)
     for context in ("<", "a", "b", "c", "zz"):
         whole, mass = grams[0][context,], 0.0

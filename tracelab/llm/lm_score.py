@@ -6,7 +6,7 @@ count c(h), h' drops the oldest word, and P_0 is even over all training tokens a
 the text's beginning; each text ends in an end token. Weights come from expectation-maximisation on held-out counts: every
 training document is deleted in turn, so its words are predicted from the counts of all others.
 
-Texts are packed into blocks of some megabytes, written as a table bucketed by block. A block asks for the counts of its
+Texts are packed into blocks of about a megabyte, written as a table bucketed by block. A block asks for the counts of its
 distinct n-grams, sorted 64-bit keys in parts of the key space; a part adds up what all blocks hold of each key and
 answers each block. So a frequent n-gram is one entry a block, however often it stands, and no task holds more than a part
 of the keys. Answers meet the texts in a bucketed join without moving the texts again. Estimation needs, of all training
@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import IS_SPACE, mix64, planned_bytes, settle, shared_dir, slices, small_batches, text_column, word_bounds
 
-#: Text of a block, and of a part of the key space or a bucket as planned from the table's size.
-BLOCK_BYTES = 4 << 20
+#: Text of a block, of a row group of the table of blocks, and of a part of the key space or a bucket as planned from the table's size.
+BLOCK_BYTES = 1 << 20
+GROUP_BYTES = 4 << 20
 PART_BYTES = 8 << 20
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
@@ -65,12 +66,17 @@ def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Bytes by place, so that equal high bytes lie together for the codec of files and exchanges."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """As few bytes a value as the largest needs, by place, so that equal high bytes lie together for the codec of files
+    and exchanges."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    width = raw[0]
+    out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<u8").ravel()
 
 
 class Tokens:
@@ -152,7 +158,7 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
     name = f"blocks_{uuid.uuid4().hex}"
     made = rows.mapInArrow(pack, BLOCK)
-    made.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    made.write.bucketBy(buckets, "block").option("parquet.block.size", GROUP_BYTES).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -188,9 +194,9 @@ def counts(table: DataFrame, order: int, parts: int) -> DataFrame:
     return settle(asked.groupBy("level", "part").applyInArrow(answer, "block long, level int, part long, uses binary, distinct long, total long"), "counts")
 
 
-def answered(table: DataFrame, counted: DataFrame) -> DataFrame:
-    """Blocks with the answers to them; the texts stay where their bucket is."""
-    own = counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("level", "part", "uses")).alias("answers"))
+def answered(table: DataFrame, counted: DataFrame, buckets: int) -> DataFrame:
+    """Blocks with the answers to them; the texts stay where their bucket is, so answers are dealt once, like the buckets."""
+    own = counted.where("block is not null").repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("level", "part", "uses")).alias("answers"))
     return table.join(own.hint("shuffle_hash"), "block").select("block", "ids", "held", "ends", "text", "answers")
 
 
@@ -313,7 +319,7 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), planned_bytes(docs) // PART_BYTES)
     table = blocks(docs, parts)
     counted = counts(table, order, parts)
-    joined = answered(table, counted)
+    joined = answered(table, counted, parts)
     model = fit(joined, counted, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
