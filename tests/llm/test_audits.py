@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelab.llm import divergence, filter_audit, lm_score
+from tracelab.llm import common, divergence, filter_audit, lm_score
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, term string, n long, p long, print long, row long, block long, mask int"
@@ -306,6 +306,6 @@ def test_word_keys_tell_words_apart():
     raw = "".join(words).encode()
     end = np.cumsum([len(w) for w in words])
     data = np.frombuffer(raw, np.uint8)
-    keys = lm_score.word_keys(data, end - np.diff(end, prepend=0), end)
+    keys = common.word_keys(data, end - np.diff(end, prepend=0), end)
     assert len(set(keys.tolist())) == len(set(words))
-    assert (keys == np.concatenate([lm_score.word_keys(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)])) for w in words])).all()
+    assert (keys == np.concatenate([common.word_keys(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)])) for w in words])).all()

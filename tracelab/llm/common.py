@@ -69,23 +69,27 @@ def release_shuffles(spark: SparkSession) -> None:
 
 # ---------------------------------------------------------------- texts as flat byte arrays
 
-MASK = (1 << 64) - 1
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INV = pow(BASE, -1, 1 << 64)
-_rng = np.random.default_rng(20240229)
-BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Two primes under 2**31 and bases drawn for them: substrings are told apart by both residues.
+PRIMES = (np.uint64(2147483629), np.uint64(2147483587))
+BASES = (1358240379, 1879203311)
+HALF = np.uint64(32)
+LOW_HALF = np.uint64((1 << 32) - 1)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {"b": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        step = np.uint64(BASE if kind == "b" else BASE_INV)
-        full = np.full(max(n, 1 << 16), step, np.uint64)
-        full[0] = 1
-        _powers[kind] = np.cumprod(full, dtype=np.uint64)
-    return _powers[kind][:n]
+def _power(i: int, inverse: bool, n: int) -> np.ndarray:
+    """The first n powers of a base, or of its inverse, modulo its prime."""
+    known = _powers.get((i, inverse))
+    if known is None or len(known) < n:
+        prime = int(PRIMES[i])
+        step = pow(BASES[i], -1, prime) if inverse else BASES[i]
+        known = np.ones(1, np.uint64)
+        while len(known) < max(n, 1 << 16):
+            known = np.concatenate((known, known * np.uint64(pow(step, len(known), prime)) % PRIMES[i]))
+        _powers[i, inverse] = known
+    return known[:n]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -98,16 +102,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """h with h[e] - h[s] = sum of code(b_i) * BASE**i over s <= i < e, modulo 2**64."""
-    out = np.empty(len(data) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(BYTE_CODE[data] * _power("b", len(data)), out=out[1:])
+    """h whose halves have h[e] - h[s] = sum of (b_i + 1) * BASE**i over s <= i < e, modulo two primes."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    value = data.astype(np.uint64) + np.uint64(1)
+    for i, prime in enumerate(PRIMES):
+        term = value * _power(i, False, len(data))
+        term %= prime
+        np.cumsum(term, out=term)  # under 2**31 each: no overflow below 2**33 bytes
+        term %= prime
+        out[1:] |= term << (HALF * np.uint64(i))
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end], independent of its place."""
-    return mix64((prefix[end] - prefix[start]) * _power("i", len(prefix))[start] + (end - start).astype(np.uint64))
+    """Hash of data[start:end], independent of its place. Different spans of n bytes have equal residues with a chance of
+    about (n / 2**31) ** 2, whatever their structure."""
+    out = np.zeros(len(start), np.uint64)
+    for i, prime in enumerate(PRIMES):
+        s, e = ((prefix[x] >> (HALF * np.uint64(i))) & LOW_HALF for x in (start, end))
+        out |= (e + prime - s) % prime * _power(i, True, len(prefix))[start] % prime << (HALF * np.uint64(i))
+    return mix64(mix64(out) + (end - start).astype(np.uint64))
+
+
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit keys of data[start:end], eight bytes a step; equal bytes give equal keys, and no two words of one length up
+    to 8 bytes share one."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size, j = end - start, 0
+    key = mix64(size.astype(np.uint64))
+    rows = np.flatnonzero(size)
+    while len(rows):
+        chunk = eight[start[rows] + 8 * j] & _LOW[np.minimum(size[rows] - 8 * j, 8)]
+        key[rows] = mix64(key[rows] ^ chunk)
+        j += 1
+        rows = rows[size[rows] > 8 * j]
+    return key
 
 
 def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

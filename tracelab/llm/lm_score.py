@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, mix64, planned_bytes, settle, shared_dir, slices, small_batches, text_column, word_bounds
+from .common import IS_SPACE, mix64, planned_bytes, settle, shared_dir, slices, small_batches, text_column, word_bounds, word_keys
 
 #: Text of a block, of a row group of the table of blocks, and of a part of the key space or a bucket as planned from the table's size.
 BLOCK_BYTES = 1 << 20
@@ -44,27 +44,11 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 BEGIN, END = np.uint64(0x0B5E55ED), np.uint64(0x0E4D)
 BLOCK = "block long, ids array<long>, held array<boolean>, ends array<long>, text binary"
-_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 # ---------------------------------------------------------------- tokens and keys of a block
 
 
-def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit keys of data[start:end], eight bytes a step; equal bytes give equal keys."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    size, j = end - start, 0
-    key = mix64(size.astype(np.uint64))
-    rows = np.flatnonzero(size)
-    while len(rows):
-        chunk = eight[start[rows] + 8 * j] & _LOW[np.minimum(size[rows] - 8 * j, 8)]
-        key[rows] = mix64(key[rows] ^ chunk)
-        j += 1
-        rows = rows[size[rows] > 8 * j]
-    return key
-
-
 def packed(values: np.ndarray) -> bytes:
     """As few bytes a value as the largest needs, by place, so that equal high bytes lie together for the codec of files
     and exchanges."""

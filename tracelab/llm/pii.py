@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, slices, span_hash, text_column
+from .common import slices, text_column, word_keys
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -99,7 +99,7 @@ MARK_SHAPE[list(MARKS)] = 2 + N_LETTER + N_DIGIT + np.arange(len(MARKS))
 
 def _hash_of(word: str) -> int:
     data = np.frombuffer(word.encode(), np.uint8)
-    return int(span_hash(prefix_hash(data), np.array([0]), np.array([len(data)]))[0])
+    return int(word_keys(data, np.array([0]), np.array([len(data)]))[0])
 
 
 PLAIN = np.zeros(SHAPES, bool)
@@ -127,7 +127,7 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     shape = np.where(k == 1, 2 + letter, np.where(k == 2, 2 + N_LETTER + digit, shape))
     short = np.flatnonzero((k == 1) & (size <= 5))
     if len(short):
-        h = span_hash(prefix_hash(data), start[short], end[short])
+        h = word_keys(data, start[short], end[short])
         for value, cue in CUE_HASH.items():
             shape[short[h == np.uint64(value)]] = cue
     shape[lines] = 0

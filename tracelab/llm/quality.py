@@ -3,8 +3,7 @@
 Each rule has a measure over a block of texts and a verdict on it. Before the run, every rule is timed on a bounded
 sample (`sample_rows` texts of up to `sample_bytes`, from as few partitions as hold them) and its rejections counted;
 rules then run in falling order of rejections per second. Texts that a rule rejects are cut from the block before the
-next one, as soon as that is worth the copying: few are left, and no hashes of the block exist yet that the rules to
-come would have to make again. The order changes cost alone: a text is kept if no rule rejects it, so the verdict doesn't
+next one runs; measures of texts and words that have been made go with those that are left. The order changes cost alone: a text is kept if no rule rejects it, so the verdict doesn't
 depend on the order, ties between rules (declared order), the sample or the machine.
 
 All measures are exact counts over whole texts, taken on flat byte arrays for a block of texts at once.
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, per_text, prefix_hash, slices, span_hash, text_column, word_bounds
+from .common import mix64, per_text, slices, text_column, word_bounds, word_keys
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -41,8 +40,6 @@ LOWER[97:123] = True
 
 #: Measures with one number a text.
 MEASURES = frozenset({"n_words", "word_chars", "n_symbols", "n_marks", "n_upper", "n_lower", "n_lines", "n_dup_lines", "n_stutters", "n_repeat_words"})
-#: A block is cut before a rule when less than this share of it is left.
-WORTH = 0.85
 
 
 class Block:
@@ -55,12 +52,18 @@ class Block:
         return len(self.off) - 1
 
     def take(self, rows: np.ndarray) -> "Block":
-        """Some of the texts, with the measures a text that have been made."""
+        """Some of the texts, with the measures of texts and words that have been made."""
         size = np.diff(self.off)[rows]
         off = np.concatenate(([0], np.cumsum(size)))
-        at = np.repeat(self.off[rows] - off[:-1], size) + np.arange(off[-1])
-        cut = Block(self.data[at], off)
+        cut = Block(np.concatenate([self.data[self.off[i] : self.off[i + 1]] for i in rows]) if len(rows) else self.data[:0], off)
         cut.__dict__ |= {k: v[rows] for k, v in self.__dict__.items() if k in MEASURES}
+        if "words" in self.__dict__:
+            first, n = self.first_word, self.n_words[rows]
+            kept = np.repeat(first[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            by = np.repeat(off[:-1] - self.off[rows], n)
+            cut.__dict__["words"] = tuple(x[kept] + by for x in self.words)
+            if "word_hash" in self.__dict__:
+                cut.__dict__["word_hash"] = self.word_hash[kept]
         return cut
 
     @cached_property
@@ -72,10 +75,6 @@ class Block:
         """Index of the first word of each text, and the number of words at the end."""
         return np.searchsorted(self.words[0], self.off, "left")
 
-    @cached_property
-    def prefix(self) -> np.ndarray:
-        return prefix_hash(self.data)
-
     @cached_property
     def n_words(self) -> np.ndarray:
         return np.diff(self.first_word)
@@ -120,13 +119,13 @@ class Block:
     @cached_property
     def n_dup_lines(self) -> np.ndarray:
         text, start, end = self.lines
-        key = span_hash(self.prefix, start, end) ^ mix64(text.astype(np.uint64) + np.uint64(1))
+        key = word_keys(self.data, start, end) ^ mix64(text.astype(np.uint64) + np.uint64(1))
         _, first = np.unique(key, return_index=True)
         return self.n_lines - np.bincount(text[first], minlength=len(self))
 
     @cached_property
     def word_hash(self) -> np.ndarray:
-        return span_hash(self.prefix, *self.words)
+        return word_keys(self.data, *self.words)
 
     @cached_property
     def word_text(self) -> np.ndarray:
@@ -216,7 +215,7 @@ def cascade(block: Block, rules: list[Rule], left: np.ndarray | None = None) ->
     for rule in rules:
         if not alive.any():
             break
-        if alive.mean() < WORTH and "prefix" not in view.__dict__:
+        if not alive.all():
             keep = np.flatnonzero(alive)
             rows, view, alive = rows[keep], view.take(keep), np.ones(len(keep), bool)
         alive &= ~rule.rejects(view)

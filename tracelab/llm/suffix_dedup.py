@@ -42,7 +42,6 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import mix64, planned_bytes, prefix_hash, release_shuffles, settle, slices, span_hash, text_column
-from .common import _power as power
 
 GRAM = 24
 CHUNK = 1_000_000  # bytes of text taken at once
@@ -174,7 +173,8 @@ def runs(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.
     if n < least:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     prefix = prefix_hash(data)
-    gram = mix64((prefix[GRAM:] - prefix[:-GRAM]) * power("i", n + 1)[: n + 1 - GRAM])
+    at = np.arange(n + 1 - GRAM)
+    gram = span_hash(prefix, at, at + GRAM)
     low = np.uint64((1 << 24) - 1)
     span = 1
     small = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)

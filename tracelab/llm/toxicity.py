@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, settle, slices, span_hash, text_column, word_bounds
+from .common import settle, slices, text_column, word_bounds, word_keys
 
 LETTER = np.zeros(256, bool)
 LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -50,12 +50,11 @@ def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, off = text_column(pc.utf8_lower(column))
     starts, ends = word_bounds(data, off, LETTER)
     owner = np.searchsorted(off, starts, "right") - 1
-    prefix = prefix_hash(data)
-    who, h = [owner], [span_hash(prefix, starts, ends)]
+    who, h = [owner], [word_keys(data, starts, ends)]
     for n in PREFIXES:
         long = np.flatnonzero(ends - starts > n)
         who.append(owner[long])
-        h.append(span_hash(prefix, starts[long], starts[long] + n))
+        h.append(word_keys(data, starts[long], starts[long] + n))
     return np.concatenate(who), np.concatenate(h), np.bincount(owner, minlength=len(off) - 1)
 
 
@@ -231,7 +230,12 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 6000, example_bytes:
     # one text for each id: an id that many rows share must not outgrow the bound; settled, since it is read twice
     rows = settle(rows.groupBy("id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("id", "text", "toxic"), "examples")
     sizes = rows.select("id", "toxic", F.octet_length("text").alias("n")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").collect()
-    fits = np.cumsum([r["n"] for r in sizes]) <= example_bytes
+    fits, room = np.zeros(len(sizes), bool), example_bytes
+    for i, r in enumerate(sizes):  # a text that doesn't fit is left out, and the next one tried
+        fits[i] = r["n"] <= room
+        room -= r["n"] * int(fits[i])
+    if len(sizes) and not fits.any():
+        raise ValueError(f"no labelled text is under {example_bytes} bytes")
     if not any(r["toxic"] for r, ok in zip(sizes, fits, strict=True) if ok) or all(r["toxic"] for r, ok in zip(sizes, fits, strict=True) if ok):
         return None
     if not fits.all():
