@@ -24,6 +24,7 @@ any other; other columns aren't read, so they can't clash; repeated rows collaps
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -103,9 +104,8 @@ def violations(value: object, schema: dict, path: str = "$") -> list[str]:
     return out
 
 
-def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of messages (conv_id, turn, role, text) whose text is JSON: assistants' "tool_calls" (id,
-    name, arguments, after) and the tool role's "tool_call_id" with "content". Other messages give neither."""
+def _extracted(messages: DataFrame) -> DataFrame:
+    """Rows of kind call, result, and message, which names (by role and MD5 of its text) what the others came from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,29 +118,42 @@ def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
                     canonical(got)  # what can't be written again is no message
                 except ValueError:
                     continue
+                before = len(rows)
                 if role == "tool":
                     if isinstance(got.get("tool_call_id"), str):
                         content = got.get("content")
                         rows.append((conv, turn, 0, "result", printable(got["tool_call_id"]), None, None, printable(content) if isinstance(content, str) else canonical(content), None))
-                    continue
-                calls = got.get("tool_calls")
+                calls = got.get("tool_calls") if role == "assistant" else None
                 for i, call in enumerate(calls if isinstance(calls, list) else []):
                     if isinstance(call, dict) and isinstance(call.get("id"), str):
                         args = call.get("arguments")
                         after = call.get("after")
                         rows.append((conv, turn, i, "call", printable(call["id"]), printable(str(call.get("name"))), printable(args) if isinstance(args, str) else canonical(args), None, [printable(x) for x in after if isinstance(x, str)] if isinstance(after, list) else []))
+                if len(rows) > before:
+                    rows.append((conv, turn, 0, "message", role, hashlib.md5(text.encode()).hexdigest(), None, None, None))
             names = ["conv_id", "turn", "idx", "kind", "call_id", "name", "arguments", "content", "after"]
             types = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string())]
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     kind = "conv_id long, turn long, idx int, kind string, call_id string, name string, arguments string, content string, after array<string>"
-    both = settle(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(run, kind), "tool-rows")
+    return settle(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(run, kind), "tool-rows")
+
+
+def _sides(both: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("kind = 'call'").drop("kind", "content"), both.where("kind = 'result'").select("conv_id", "turn", "idx", "call_id", "content")
 
 
+def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of messages (conv_id, turn, role, text) whose text is JSON: assistants' "tool_calls" (id,
+    name, arguments, after) and the tool role's "tool_call_id" with "content". Other messages give neither."""
+    return _sides(_extracted(messages))
+
+
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain conversations in the same shape: each user turn calls "reply" with its text and, after the first, names
-    the call before it; each later message of an assistant, up to the next user turn, is a result of it."""
+    the call before it; each later message of an assistant, up to the next user turn, is a result of it. All other messages
+    (of the system, of an assistant before the first user turn, of other roles) are results without a call, named by their
+    role and turn, so that each of them reaches a record."""
     rows = settle(conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct(), "turns")
     name = F.when(F.col("role") == "user", F.concat(F.lit("turn-"), F.coalesce(F.col("turn").cast("string"), F.lit("none"))))
     rows = rows.withColumn("part", F.floor(F.col("turn") / TURNS))
@@ -154,7 +167,9 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", "turn", F.lit(0).alias("idx"), F.col("own").alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"))).alias("arguments"),
         F.when(F.col("last").isNotNull() & (F.col("last") != F.col("own")), F.array("last")).otherwise(F.array().cast("array<string>")).alias("after"),
     )
-    results = rows.where("role = 'assistant' and own is not null").select("conv_id", "turn", F.lit(0).alias("idx"), F.col("own").alias("call_id"), F.col("text").alias("content"))
+    answers = (F.col("role") == "assistant") & F.col("own").isNotNull()
+    alone = F.concat("role", F.lit("-"), F.coalesce(F.col("turn").cast("string"), F.lit("none")))
+    results = rows.where("role <> 'user'").select("conv_id", "turn", F.lit(0).alias("idx"), F.when(answers, F.col("own")).otherwise(alone).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
@@ -234,8 +249,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 REPLY = {"reply": {"type": "object", "required": ["prompt"], "properties": {"prompt": {"type": "string", "minLength": 1}}, "additionalProperties": False}}
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
-    return link(*turns_as_calls(conversations), REPLY)
+def format_conversations(conversations: DataFrame, schemas: dict[str, dict] = REPLY) -> DataFrame:
+    """One record per tool call, per user turn, and per message that answers neither. Messages that hold tool calls or
+    results of tools stand for these alone; tools without a schema are errors in their records."""
+    both = _extracted(conversations)
+    taken = both.where("kind = 'message'").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("call_id").alias("r"), F.col("name").alias("h"))
+    if taken.isEmpty():
+        return link(*turns_as_calls(conversations), schemas)
+    m = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    plain = m.join(taken, [m.conv_id.eqNullSafe(taken.c), m.turn.eqNullSafe(taken.t), m.role == taken.r, F.md5(m.text.cast("binary")) == taken.h], "left_anti")
+    return link(*(x.unionByName(y) for x, y in zip(_sides(both), turns_as_calls(plain), strict=True)), schemas)
 
 
 ORACLE = """
@@ -245,9 +268,14 @@ named AS (
          last_value(CASE WHEN role = 'user' THEN 'turn-' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
   FROM rows),
 calls AS (SELECT conv_id, turn, own AS call_id, text, prev, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM named WHERE role = 'user'),
-results AS (SELECT conv_id, own AS call_id, count(*) AS n, string_agg(CAST(to_json(text) AS VARCHAR), ',' ORDER BY turn, text) AS texts FROM named WHERE role = 'assistant' AND own IS NOT NULL GROUP BY ALL)
+results AS (SELECT conv_id, own AS call_id, count(*) AS n, string_agg(CAST(to_json(text) AS VARCHAR), ',' ORDER BY turn, text) AS texts FROM named WHERE role = 'assistant' AND own IS NOT NULL GROUP BY ALL),
+alone AS (SELECT conv_id, role || '-' || coalesce(CAST(turn AS VARCHAR), 'none') AS call_id, min(turn) AS turn, count(*) AS n, string_agg(CAST(to_json(text) AS VARCHAR), ',' ORDER BY turn, text) AS texts FROM named WHERE role <> 'user' AND NOT (role = 'assistant' AND own IS NOT NULL) GROUP BY ALL)
 SELECT c.conv_id, c.call_id, c.turn, CASE WHEN n IS NULL THEN 'unanswered' ELSE 'answered' END AS status, 0 AS level, CAST(position AS INTEGER) AS position,
   CAST(coalesce(n, 0) AS INTEGER) AS n_results, length(text) > 0 AS valid, CASE WHEN length(text) > 0 THEN '' ELSE '$.prompt: length 0' END AS errors,
   '{"after":[' || coalesce('"' || prev || '"', '') || '],"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || '},"id":"' || c.call_id || '","name":"reply","results":[' || coalesce(texts, '') || ']}' AS json
 FROM calls c LEFT JOIN results r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.call_id = r.call_id
+UNION ALL
+SELECT a.conv_id, a.call_id, a.turn, 'orphan', -1, CAST(coalesce((SELECT count(*) FROM calls c WHERE c.conv_id IS NOT DISTINCT FROM a.conv_id), 0) + row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn, a.call_id) - 1 AS INTEGER),
+  CAST(a.n AS INTEGER), false, 'no such call', '{"after":[],"arguments":null,"id":' || CAST(to_json(a.call_id) AS VARCHAR) || ',"name":null,"results":[' || a.texts || ']}'
+FROM alone a
 """
