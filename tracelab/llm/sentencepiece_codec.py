@@ -217,8 +217,17 @@ class Codec:
         return [b"".join([now[w] if type(w) is str else w for w in words]) for words in cut]
 
     def decode(self, packed: bytes) -> str:
-        surface = self.surface
-        return b"".join([surface[i] for i in np.frombuffer(packed, "<i4").tolist()]).decode("utf-8", "replace")[1:]
+        """The text of packed ids; one that the model doesn't have is U+FFFD."""
+        surface, ids = self.surface, np.frombuffer(packed, "<i4")
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(surface)):
+            surface = dict(enumerate(surface))
+            first = [surface.get(i, UNKNOWN) for i in ids.tolist()]
+            # the blank that encoding puts before a text is there unless the first id is unknown
+            return b"".join(first).decode("utf-8", "replace")[first[0] is not UNKNOWN :]
+        return b"".join([surface[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+
+
+UNKNOWN = "\ufffd".encode()
 
 
 def default_model() -> str:
@@ -258,7 +267,8 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", check:
 
 
 def decode(rows: DataFrame, model: str | None = None, ids: str = "ids") -> DataFrame:
-    """rows with decoded, the text of their ids; null ids decode to null."""
+    """rows with decoded, the text of their ids, which replaces a column of this name; a null list decodes to null, a null
+    id or one that the model doesn't have to U+FFFD."""
     kept = rows.drop("decoded")
     schema = kept.select("*", F.lit("").cast("string").alias("decoded")).schema
     schema["decoded"].nullable = True
@@ -266,7 +276,7 @@ def decode(rows: DataFrame, model: str | None = None, ids: str = "ids") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for b in batches:
-            out = [None if x is None else own.decode(np.array(x, "<i4").tobytes()) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
+            out = [None if x is None else own.decode(np.array([-1 if i is None else i for i in x], "<i4").tobytes()) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "decoded"])
 
     return kept.mapInArrow(run, schema)

@@ -1,10 +1,10 @@
 """Exact top-k search by inner product: columnar branch-and-bound over dimension blocks.
 
 Vectors are quantised to integers and laid out vertically, one row per dimension, dimensions in falling order of
-energy. For a block of queries the partial products grow dimension block by dimension block; the norm of what is left of
+energy. For a block of queries that lie near each other (dealt by the nearest of some rows) the partial products grow dimension block by dimension block; the norm of what is left of
 both vectors bounds the rest (Cauchy-Schwarz). A candidate survives while, for some query of the block, partial + bound
 reaches the k-th best exact score known so far; survivors are compacted after every dimension block. Sums of integers
-stay exact in doubles below 2**53.
+are exact in doubles below 2**53; vectors whose norms could pass that are an error.
 
 The stated query set meets all rows in blocks: queries and candidates are dealt into chunks, a task unit is a pair of
 chunks, and each unit returns at most k rows per query, which a window then merges.
@@ -38,9 +38,14 @@ def sound(column: Column) -> Column:
     return column.isNotNull() & (F.size(column) > 0) & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
 
 
-def branch_and_bound(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, width: int = 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def branch_and_bound(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, width: int = 16, pivots: int = 32, shares: list[float] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, scores, candidate places) of the k best rows of each query, ties to the smaller id. Rows must be in
-    rising order of id."""
+    rising order of id. shares gets the share of candidates that is left at each bound."""
+    if np.sqrt((queries**2).sum(axis=1)).max(initial=0) * np.sqrt((rows**2).sum(axis=1)).max(initial=0) >= 2**53:
+        raise ValueError("inner products of these vectors pass 2**53")
+    near = (queries @ rows[:: max(1, len(rows) // pivots)][:pivots].T).argmax(axis=1)
+    turn = np.argsort(near, kind="stable")
+    queries, ids = queries[turn], ids[turn]
     order = np.argsort(-(rows * rows).sum(axis=0), kind="stable")
     queries, tall = queries[:, order], np.ascontiguousarray(rows[:, order].T)  # tall: vertical layout
     cuts = [*range(0, tall.shape[0], width), tall.shape[0]]
@@ -54,11 +59,13 @@ def branch_and_bound(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row
             if len(live) > 4 * k:
                 if step == 1:  # exact scores of the most promising ones
                     lead = np.argpartition(-partial, 2 * k, axis=1)[:, : 2 * k]
-                    exact = np.einsum("qd,qcd->qc", q, rows[:, order][live[lead]])
+                    exact = np.einsum("qd,dqc->qc", q, tall[:, live[lead]])
                     exact[np.take_along_axis(partial, lead, 1) == -np.inf] = -np.inf
                     floor = np.partition(exact, -k, axis=1)[:, -k]
                 rest = np.sqrt((q[:, cuts[step] :] ** 2).sum(axis=1))[:, None] * left_rows[step][live] * (1 + 1e-9) + 1e-6
                 keep = (partial + rest >= floor[:, None]).any(axis=0)
+                if shares is not None:
+                    shares.append(float(keep.mean()) * len(live) / tall.shape[1])
                 if keep.mean() < 0.9:
                     live, partial = live[keep], partial[:, keep]
             partial += q[:, cuts[step] : cuts[step + 1]] @ tall[cuts[step] : cuts[step + 1], live]
@@ -68,7 +75,7 @@ def branch_and_bound(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row
             if len(mine) > k:
                 mine = mine[found[mine] >= np.partition(found[mine], -k)[-k]]
             top = mine[np.lexsort((row_ids[live[mine]], -found[mine]))[:k]]
-            yield at + i, found[top], live[top]
+            yield int(turn[at + i]), found[top], live[top]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, rows_a_chunk: int = 16_384, queries_a_chunk: int = 4_096) -> DataFrame:
