@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tracelab.functions import text as tx
 from tracelab.operators import cells
 
 
@@ -77,3 +78,10 @@ def test_unfinished_by_prompt_and_status(spark):
 def test_changed(spark):
     a, b = (spark.createDataFrame(r, "k int, v string") for r in ([(1, "a"), (2, "b"), (3, None), (4, "d")], [(1, "a"), (2, "B"), (3, None), (5, "e")]))
     assert {r["k"]: r["what"] for r in cells.changed(a, b, "k", "v").collect()} == {2: "changed", 4: "dropped", 5: "new"}
+
+
+def test_shuffle_as_a_fold(spark):
+    rows = [(seed, list(range(n))) for seed in (0, 7, 20260823, 2**32 - 1) for n in (0, 1, 2, 5, 40)]
+    df = spark.createDataFrame(rows, "seed long, ids array<int>")
+    for r in df.select("seed", "ids", tx.lcg_order(F.col("ids"), F.col("seed")).alias("out")).collect():
+        assert r["out"] == tx.lcg_shuffle(r["ids"], r["seed"])

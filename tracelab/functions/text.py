@@ -127,3 +127,17 @@ def lcg_shuffle(ids: list, seed: int) -> list:
         j = int(x / 2**32 * (i + 1))
         out[i], out[j] = out[j], out[i]
     return out
+
+
+def lcg_order(ids: Column, seed: Column) -> Column:
+    """lcg_shuffle of an array, as a fold; for arrays of bounded size, which each step rewrites."""
+
+    def step(s: Column, i: Column) -> Column:
+        x = F.pmod(s["x"] * 1664525 + 1013904223, F.lit(1 << 32))
+        j = F.floor(x * (i + 1) / (1 << 32)).cast("int")
+        out = F.transform(s["out"], lambda v, k: F.when(k == i, F.get(s["out"], j)).when(k == j, F.get(s["out"], i)).otherwise(v))
+        return F.struct(x.alias("x"), out.alias("out"))
+
+    start = F.struct(F.pmod(seed.cast("long"), F.lit(1 << 32)).alias("x"), ids.alias("out"))
+    downward = F.when(F.size(ids) > 1, F.sequence(F.size(ids) - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(downward, start, step, lambda s: s["out"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import cells, ranks, stats, tape
 from ..sources.tables import draws, fills, table, verdicts
 from .catalogue import DRAWS, FILLS, VERD, query
@@ -112,6 +113,15 @@ def _(s, d):
     return cells.changed(best(o.where("o_orderdate < date'1998-01-01'")), best(o.where("o_orderdate >= date'1996-06-01'")), "o_custkey", "v")
 
 
+@query("seeded_shuffle", """WITH RECURSIVE g AS (SELECT l_orderkey, list(DISTINCT l_linenumber ORDER BY l_linenumber) AS ids FROM lineitem GROUP BY 1),
+r AS (SELECT l_orderkey, ids, len(ids) - 1 AS i, CAST(l_orderkey % 4294967296 AS BIGINT) AS x FROM g UNION ALL
+  (SELECT l_orderkey, list_transform(range(len(ids)), lambda k: CASE WHEN k = i THEN ids[j + 1] WHEN k = j THEN ids[i + 1] ELSE ids[k + 1] END), i - 1, y FROM (SELECT *, y * (i + 1) // 4294967296 AS j FROM (SELECT *, (x * 1664525 + 1013904223) % 4294967296 AS y FROM r WHERE i > 0))))
+SELECT l_orderkey, array_to_string(ids[1:3], ',') AS first_lines FROM r WHERE i <= 0""")
+def _(s, d):
+    lines = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_linenumber")).alias("ids"))  # the lines of an order
+    return lines.select("l_orderkey", F.array_join(F.slice(tx.lcg_order(F.col("ids"), F.col("l_orderkey")), 1, 3), ",").alias("first_lines"))
+
+
 # ---------------------------------------------------------------- summaries with all their columns
 
 
