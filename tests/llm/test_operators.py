@@ -664,7 +664,7 @@ def test_stretches_change_nothing(spark, monkeypatch):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("conversations", "embeddings", "documents"):
+    for t in ("conversations", "embeddings", "documents", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = c.execute(queries.ORACLE_SQL[name])
     names = [x[0] for x in got.description]
