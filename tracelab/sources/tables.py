@@ -53,6 +53,7 @@ def last_file(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.text(found[-1]).select("value", F.col("_metadata.file_path").alias("file"))
 
 
+#: The efforts that a lane may end in.
 EFFORTS = ("low", "medium", "high", "xhigh", "max", "default")
 
 
