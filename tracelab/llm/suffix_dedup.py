@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .common import mix64, planned_bytes, prefix_hash, release_shuffles, settle, slices, span_hash, text_column
+from .common import mix64, prefix_hash, release_shuffles, settle, slices, span_hash, text_bytes, text_column
 
 GRAM = 24
 CHUNK = 1_000_000  # bytes of text taken at once
@@ -207,7 +207,7 @@ def repeated(docs: DataFrame, least: int = 50, hot: int = 20_000, key: str = "do
     if not GRAM < least <= 255:
         raise ValueError(f"least must be in {GRAM + 1}..255")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    about = planned_bytes(rows)
+    about = text_bytes(rows, "text")
     # w tells the texts of one id apart; all 0, and so free, where ids are unique
     h = F.xxhash64("text")
     several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high")
