@@ -13,7 +13,8 @@ so ids may be null or repeated. A list with
 more than `list_rows` entries is split into chunk pairs, one task unit for each pair of chunks, so no task holds a
 whole hot list and no pair is lost. Tasks emit a spanning forest of the links that they verified, not all pairs.
 Components follow from alternating large-star and small-star steps on those edges, settled in the shared folder after
-each round, until a round changes nothing.
+each round, until a round changes nothing. All joins are sort-merge joins, so the driver holds no side of any, round by
+round.
 
 Texts that are near by word shingles rather than by 64 bits are found by the same kind of index over larger
 fingerprints: see near_copies.
@@ -137,7 +138,7 @@ def links(classes: DataFrame, distance: int = 4, list_rows: int = 2048) -> DataF
         keys.append(F.lit(n << 24).bitwiseOR(F.shiftleft(parts[p], 16)).bitwiseOR(F.shiftleft(parts[q], 8)).bitwiseOR(parts[r]))
     posted = classes.select("rep", "fp", F.explode(F.array(*keys)).alias("list"))
     lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    posted = posted.join(lengths, "list")
+    posted = posted.join(lengths.hint("merge"), "list")
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / list_rows)).cast("int")
     own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     posted = posted.select("rep", "fp", "list", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
@@ -194,10 +195,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.where("m < u").select("m", "u")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.where("m < u").select("m", "u")).distinct()
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         small = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(small, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(small.select("m", "u")).distinct()
+        small = down.join(small.hint("merge"), "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(small.select("m", "u")).distinct()
         now = settle(small, "edges")
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == seen:
@@ -211,10 +212,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, key: s
     fps = settle(fingerprints(docs, shingle, key, text), "fingerprints")
     classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = components(links(classes.select(F.col("fp").alias("rep"), "fp"), distance))
-    named = settle(classes.join(found, classes.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("of")), "named")
+    named = settle(classes.join(found.hint("merge"), classes.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("of")), "named")
     least = named.groupBy("of").agg(F.min("first").alias("component_id"))
-    label = named.join(least, "of").select("fp", "component_id")
-    return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = named.join(least.hint("merge"), "of").select("fp", "component_id")
+    return fps.join(label.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
