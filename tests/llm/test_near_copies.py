@@ -60,3 +60,39 @@ def test_no_pair_is_lost(spark, how):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = groups([shingles(t) for t in texts])
     assert len(set(want)) > 8 and found(docs, texts, **how) == want
+
+
+def test_the_nearest_pairs_are_a_forest():
+    rng = np.random.default_rng(4)
+    p, q = np.triu_indices(40, 1)
+    of, far = rng.integers(0, 12, 40), rng.integers(0, 9, len(p))
+    apart = of[p] != of[q]
+    p, q, far = p[apart], q[apart], far[apart]
+    kept = near_copies.spanning(p, q, of, far)
+    assert len(kept) == len(set(of.tolist())) - 1
+    lone = near_copies.spanning(p[kept], q[kept], of, far[kept])
+    assert sorted(lone.tolist()) == list(range(len(kept)))
+
+
+def test_a_group_gives_pairs_in_proportion(spark, monkeypatch):
+    """Texts of one group that meet in the same lists: the nearest pairs connect them, and few are left for the rest."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for j in rng.choice(300, 5, replace=False):
+            own[j] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = []
+
+    def counted(entries, *more):
+        pairs = near_copies.settle(other(entries, *more), "pairs")
+        made.append((entries.count(), pairs.count()))
+        return pairs
+
+    other = near_copies.other_pairs
+    monkeypatch.setattr(near_copies, "other_pairs", counted)
+    near_copies.near_copies(docs).count()
+    assert made and all(pairs <= rows for rows, pairs in made)

@@ -13,8 +13,9 @@ pair is found (but for collisions of 64-bit hashes, which stand for shingles and
   cells is posted once more with its shingles dealt anew, until it has enough.
 - The number of cells depends on the size class of a text (a power of four); a text close under a border is posted in
   the next class too.
-- Lists of up to `small` texts give all their pairs. In longer ones each text meets the one of smallest id; then texts
-  of a list that those links haven't connected yet meet in chunks.
+- Lists of up to `small` texts give all their pairs. In longer ones each text meets the one of smallest id. Then texts
+  of a list that those links haven't connected yet meet in chunks: first the nearest, a spanning forest of the chunk's
+  components, and once those are verified all that are still apart.
 - Count filter: an element touches one of a set's parity bytes, so all but (n + m) / 9 positional bytes of a pair are
   equal. Shared bytes are tallied per pair, pairs under that minimum go, then those whose bytes differ in more than
   (n + m) / 9 bits; a map of 2 n bits or more does it for texts of any length. What is left is verified on whole sets.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, release_shuffles, settle, slices, text_column, word_bounds, word_keys
-from .simhash import components
+from .simhash import Forest, components
 
 WORDS = 5
 BUCKETS = 20
@@ -244,9 +245,23 @@ def maps_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(text_column(column)[0].tobytes(), np.uint64).reshape(-1, BITS // 64)
 
 
-def other_pairs(entries: DataFrame, linked: DataFrame, signs: DataFrame, list_rows: int) -> DataFrame:
+def spanning(p: np.ndarray, q: np.ndarray, of: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the pairs (p, q) of rows are a spanning forest of the components that they join, the nearest first."""
+    _, code = np.unique(np.concatenate((of[p], of[q])), return_inverse=True)
+    a, b = np.minimum(code[: len(p)], code[len(p) :]), np.maximum(code[: len(p)], code[len(p) :])
+    order = np.lexsort((q, p, far, b, a))
+    head = np.ones(len(order), bool)
+    head[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+    order = order[head]
+    order = order[np.lexsort((q[order], p[order], far[order]))]
+    forest = Forest(len(code))
+    return order[[forest.join(x, y) for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True)]]
+
+
+def other_pairs(entries: DataFrame, linked: DataFrame, signs: DataFrame, list_rows: int, nearest: bool = False, held: int = 1 << 16) -> DataFrame:
     """(a, b): possible pairs of one list whose sets are not connected yet. In each list the texts of its most common
-    component meet the rest, and the rest meets itself."""
+    component meet the rest, and the rest meets itself. With nearest only the nearest ones that would connect all
+    components of a unit whose sets may be linked, so fewer than it has rows; about `held` pairs are kept meanwhile."""
     labelled = entries.join(linked, entries.a == linked.node, "left").select("list", "a", F.coalesce("component", "a").alias("of"))
     kinds = labelled.groupBy("list", "of").agg(F.count(F.lit(1)).alias("n"))
     lists = kinds.groupBy("list").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("rows"), F.max(F.struct("n", "of")).alias("top")).where("kinds > 1")
@@ -272,14 +287,24 @@ def other_pairs(entries: DataFrame, linked: DataFrame, signs: DataFrame, list_ro
             maps, n = np.stack(maps, 1), n.astype(np.int64)
             for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 first_here = bool(first[s:e].any())
+                near = np.zeros((0, 3), np.int64)
                 for i in range(s, e, 16):
                     j = slice(i, min(e, i + 16))
                     x, y = np.nonzero((of[j, None] != of[None, i:e]) & ~(first_here & ~(first[j, None] | first[None, i:e])))
                     on = possible(n[x + i], n[y + i], maps[x + i], maps[y + i]) if len(x) else x
-                    if len(x) and on.any():
+                    if len(x) and on.any() and nearest:
+                        p, q = x[on] + i, y[on] + i
+                        near = np.concatenate((near, np.stack([p, q, np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1, dtype=np.int64)], 1)))
+                        if len(near) > held:
+                            near = near[spanning(near[:, 0], near[:, 1], of, near[:, 2])]
+                    elif len(x) and on.any():
                         p, q = ids[x[on] + i], ids[y[on] + i]
                         pair = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0)
                         yield pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+                if len(near):
+                    near = near[spanning(near[:, 0], near[:, 1], of, near[:, 2])]
+                    p, q = ids[near[:, 0]], ids[near[:, 1]]
+                    yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return spread.mapInArrow(run, "a long, b long")
 
@@ -366,10 +391,14 @@ def near_copies(docs: DataFrame, small: int = 3, list_rows: int = 2048) -> DataF
     linked = components(links)
     if entries.isEmpty():
         return linked
-    linked = settle(linked, "linked")
-    more = settle(verified(docs, other_pairs(entries, linked, signs, list_rows), signs), "links")
-    release_shuffles(docs.sparkSession)
-    return linked if more.isEmpty() else components(links.union(more))
+    for nearest in (True, False):  # near ones connect a group, so that few pairs are left for the whole search
+        linked = settle(linked, "linked")
+        more = settle(verified(docs, other_pairs(entries, linked, signs, list_rows, nearest), signs), "links")
+        release_shuffles(docs.sparkSession)
+        if not more.isEmpty():
+            links = links.union(more)
+            linked = components(links)
+    return linked
 
 
 def survivors(docs: DataFrame) -> DataFrame:
