@@ -105,3 +105,27 @@ def test_near_copy_sets_by_brute_force(spark):
         assert len(sets[i]) == len(plain[i])
         for j in range(len(texts)):
             assert len(sets[i] & sets[j]) == len(plain[i] & plain[j])
+
+
+def test_text_is_measured_not_estimated(spark, tmp_path):
+    """Repeated texts compress to nothing; groups are dealt by the bytes that tasks will hold."""
+    spark.range(400).selectExpr("id AS doc_id", "repeat('one long line of text ', 500) AS text").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert common.text_bytes(docs, "text") == 400 * (11_000 + 16)
+    assert common.planned_bytes(docs) < 400 * 1_100
+
+
+def test_components_broadcast_nothing(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "f g h i j")], "doc_id long, text string")
+    assert {(r["node"], r["component"]) for r in simhash.components(edges).collect()} == {(2, 1), (3, 1), (8, 7)}
+    assert "BroadcastHashJoin" not in simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_model_goes_in_parts():
+    cut, term = np.array([0, 2, 4, 5]), np.array([0, 1, 1, 2, 0])
+    m = toxicity.Model(np.array([3, 5, 9], np.uint64), cut, term, np.ones(5), np.array([2, 2, 1]), np.array([1, 0, 1]), np.array([4, 5, 6]))
+    parts = list(m.parts(most=8))
+    again = toxicity.Model.of_parts(iter(parts[::-1]))
+    assert vars(again).keys() == vars(m).keys()
+    assert all(np.array_equal(x, getattr(again, c)) and np.asarray(x).dtype == np.asarray(getattr(again, c)).dtype for c, x in vars(m).items())

@@ -124,6 +124,27 @@ class Model:
         self.where = np.full((len(common), self.blocks), -1, np.int32)  # where the list of a common term has a block
         self.where[row, self.block[seg]] = seg
 
+    def parts(self, most: int = 1 << 20) -> Iterator[tuple[str, list[int], str, int, bytes]]:
+        """(name, shape, type, first byte, bytes) of all that the model holds, in parts of up to `most` bytes."""
+        for name, value in vars(self).items():
+            value = np.asarray(value)
+            flat = np.ascontiguousarray(value).reshape(-1).view(np.uint8)
+            for at in range(0, max(len(flat), 1), most):
+                yield name, list(value.shape), value.dtype.str, at, flat[at : at + most].tobytes()
+
+    @classmethod
+    def of_parts(cls, rows: Iterator[tuple[str, list[int], str, int, bytes]]) -> Model:
+        """The model that parts() has taken apart, in any order of the parts."""
+        model = cls.__new__(cls)
+        for name, shape, kind, at, data in rows:
+            if name not in vars(model):
+                setattr(model, name, np.empty(shape, kind))
+            vars(model)[name].reshape(-1).view(np.uint8)[at : at + len(data)] = np.frombuffer(data, np.uint8)
+        for name, value in vars(model).items():
+            if not value.shape:
+                setattr(model, name, value.item())
+        return model
+
     def unit(self, cut: np.ndarray, term: np.ndarray, tf: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(term places, weights, bounds) of unit vectors; the length term is the last one of each text."""
         term = np.insert(term, cut[1:], len(self.vocabulary))
@@ -254,14 +275,21 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 6000, example_bytes:
             parts = list(zip(cut[:-1], cut[1:], strict=True))
             yield pa.record_batch([b.column(0), b.column(2), pa.array(words.astype(np.int64)), pa.array([h[s:e].tobytes() for s, e in parts], pa.binary()), pa.array([tf[s:e].tobytes() for s, e in parts], pa.binary())], names=["id", "toxic", "words", "terms", "tf"])
 
-    got = rows.mapInArrow(count, "id long, toxic long, words long, terms binary, tf binary").orderBy("id").collect()  # bounded by example_bytes
-    words, toxic, ids = (np.array([r[c] for r in got], np.int64) for c in ("words", "toxic", "id"))
-    cut = np.append(0, np.cumsum([len(r["terms"]) // 8 for r in got]))
-    term, tf = (np.frombuffer(b"".join(r[c] for r in got), kind) for c, kind in (("terms", np.uint64), ("tf", "<f4")))
-    del got
-    vocabulary = np.unique(term)
-    term = np.searchsorted(vocabulary, term).astype(np.int32)
-    return Model(vocabulary, cut, term, 1 + np.log(tf), words, toxic, ids)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        words, toxic, ids = (t.column(c).to_numpy() for c in ("words", "toxic", "id"))
+        term, tf = (np.frombuffer(b"".join(x.as_py() for x in t.column(c)), kind) for c, kind in (("terms", np.uint64), ("tf", "<f4")))
+        cut = np.append(0, np.cumsum(np.array([len(x.as_py()) // 8 for x in t.column("terms")], np.int64)))
+        del t
+        vocabulary = np.unique(term)
+        term = np.searchsorted(vocabulary, term).astype(np.int32)
+        for name, shape, kind, at, data in Model(vocabulary, cut, term, 1 + np.log(tf), words, toxic, ids).parts():
+            yield pa.record_batch([pa.array([name]), pa.array([shape], pa.list_(pa.int64())), pa.array([kind]), pa.array([at]), pa.array([data], pa.binary())], names=["name", "shape", "kind", "at", "data"])
+
+    # bounded by examples and example_bytes; one task fits, so that the driver holds the finished arrays alone
+    counted = rows.mapInArrow(count, "id long, toxic long, words long, terms binary, tf binary")
+    made = counted.repartition(1).sortWithinPartitions("id").mapInArrow(build, "name string, shape array<long>, kind string, at long, data binary")
+    return Model.of_parts(settle(made, "model").toLocalIterator())
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
