@@ -186,3 +186,19 @@ def on_data(self, data):
     assert of("rsi[1] <= 60 and rsi[0] > 60")["rsi_exit"] == "cross" and of("x = 'RSI('")["rsi_exit"] == "unresolved"
     assert of("self.SetWarmUp(timedelta(days=30))")["warmup_bars"] == "timedelta(days=30)"
     assert of("(" * 5000)["status"] in ("unlexable", "unparsable") and of(None)["status"] == "unlexable"
+
+
+def test_a_small_index_is_broadcast(spark):
+    """Draws of few projections must not meet in as few tasks."""
+    bank = spark.createDataFrame([("X", "p", "x=1", "c1"), ("X", "q", "x=0", "c2")], "bank string, proj string, tuple string, core string")
+    found = classify.lookup(bank.select("bank", "proj"), bank)
+    assert "rightHint=(strategy=broadcast)" in found._jdf.queryExecution().analyzed().toString() or "ResolvedHint (strategy=broadcast)" in found._jdf.queryExecution().analyzed().toString()
+    assert {(r["proj"], tuple(r["cores"])) for r in found.collect()} == {("p", ("c1",)), ("q", ("c2",))}
+
+
+def test_a_program_is_parsed_once():
+    text = "class S:\n  def Initialize(self):\n    self.SetWarmUp(31)\n"
+    before = features._known_settings.cache_info()
+    assert features._known_settings(text) == features._known_settings(text) == features.read_settings(text)
+    after = features._known_settings.cache_info()
+    assert (after.misses - before.misses, after.hits - before.hits) == (1, 1)

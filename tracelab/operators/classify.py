@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of an index, its pairs and each 64 letters of its projections, all counted, up to which it is broadcast.
+SMALL = 10_000
+
+
 def index(bank: DataFrame) -> DataFrame:
     """bank, proj -> cores, (tuple, core) pairs, and mixed: whether one tuple has several cores. bank: bank, proj,
     tuple, core."""
@@ -16,8 +20,10 @@ def index(bank: DataFrame) -> DataFrame:
 
 def lookup(draws: DataFrame, bank: DataFrame) -> DataFrame:
     """draws with cores, hits and mixed of their projection, null without match. Long projections meet by hash, then
-    text."""
+    text. An index of up to SMALL rows and pairs is broadcast: few projections would be few partitions of draws."""
     i = index(bank).withColumn("h", F.sha2("proj", 256)).withColumnRenamed("proj", "_proj").withColumnRenamed("bank", "_bank")
+    if i.select(F.coalesce(F.sum(F.size("hits") + F.length("_proj") / 64 + 1), F.lit(0))).first()[0] <= SMALL:
+        i = F.broadcast(i)
     d = draws.withColumn("h", F.sha2("proj", 256))
     return d.join(i, (d.bank == i._bank) & (d.h == i.h) & (d.proj == i._proj), "left").select(*[d[c] for c in draws.columns], "cores", "hits", "mixed")
 
