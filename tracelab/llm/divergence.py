@@ -28,7 +28,7 @@ from .common import settle, slices
 #: Letters A-Z and a-z and everything beyond ASCII, in UTF-8 bytes; texts are lower-cased before.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: Terms that a task holds before it passes their counts on.
-HELD_TERMS = 300_000
+HELD_TERMS = 1_000_000
 SCALE = 1_000_000_000
 
 
@@ -43,7 +43,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             for (lang, source), n in uses.items():
                 terms = list(n)
                 d = having[lang, source]
-                yield pa.record_batch([pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in terms], pa.int64())], names=["lang", "source", "term", "n", "d"])
+                yield pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.repeat(pa.scalar(source, pa.string()), len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in terms], pa.int64())], names=["lang", "source", "term", "n", "d"])
 
         for b in slices(batches):
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
