@@ -1,6 +1,9 @@
 """Results that don't hang on hash luck, nor on one long row."""
 
 from __future__ import annotations
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -129,3 +132,24 @@ def test_a_model_goes_in_parts():
     again = toxicity.Model.of_parts(iter(parts[::-1]))
     assert vars(again).keys() == vars(m).keys()
     assert all(np.array_equal(x, getattr(again, c)) and np.asarray(x).dtype == np.asarray(getattr(again, c)).dtype for c, x in vars(m).items())
+
+
+def test_freed_memory_leaves_the_worker():
+    """Arrays of a few megabytes, freed among others that stay, go back to the system."""
+    code = """
+import re, numpy as np
+from tracelab.llm import common
+own = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+before, kept = own(), []
+for size in (4_000_000, 2_000_000, 400_000):
+    x = []
+    for _ in range(40):
+        x.append(np.ones(size // 8))
+        kept.append(np.ones(100))
+    x.append(np.ones(size // 8))
+    del x
+common.release_memory()
+print(own() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], check=True)
+    assert float(out.stdout.split()[-1]) < 40

@@ -96,3 +96,34 @@ def test_a_group_gives_pairs_in_proportion(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "other_pairs", counted)
     near_copies.near_copies(docs).count()
     assert made and all(pairs <= rows for rows, pairs in made)
+
+
+def sets_of(sizes_and_changes, rng):
+    """Pairs of sets: n elements of which the second has `gone` less and `new` others."""
+    pairs = []
+    for n, gone, new in sizes_and_changes:
+        one = rng.integers(0, 1 << 63, n + new).astype(np.uint64)
+        pairs += [np.sort(one[:n]), np.sort(one[gone:])]
+    return np.concatenate(pairs), np.append(0, np.cumsum([len(x) for x in pairs]))
+
+
+def test_linked_sets_share_their_simhash_bytes():
+    """Pairs of similarity 4/5, sizes around those where the number of cells doubles: none is under the minimum."""
+    rng = np.random.default_rng(2)
+    linked = [(n, n // 9, n // 9) for n in (1, 9, 100, 400, 511, 512, 513, 560, 1024, 1030, 5000)]
+    linked += [(512, 0, 128), (511, 0, 127), (420, 0, 100), (410, 0, 102), (1025, 205, 0), (514, 102, 0), (2040, 0, 510)]
+    h, off = sets_of(linked, rng)
+    cells, n = near_copies.cell_bytes(h, off), np.diff(off)
+    assert near_copies.shares_enough(n[::2], n[1::2], cells[::2], cells[1::2]).all()
+    assert near_copies.shares_enough(n[1::2], n[::2], cells[1::2], cells[::2]).all()
+    h, off = sets_of([(n, n // 2, n // 2) for n in (100, 400, 511, 513, 1024, 5000)], rng)
+    cells, n = near_copies.cell_bytes(h, off), np.diff(off)
+    assert not near_copies.shares_enough(n[::2], n[1::2], cells[::2], cells[1::2]).any()
+
+
+def test_pairs_under_the_minimum_of_simhash_bytes_go(spark):
+    """Equal parity maps don't keep a pair whose tally of shared SimHash bytes is under the minimum of 256 - 200 // 9."""
+    rows = [(i, 100, bytes([1] * (256 - i) + [2] * i), bytes(128), None) for i in (0, 22, 23, 255)]
+    signs = spark.createDataFrame(rows, "id long, n int, cells binary, map binary, wide binary")
+    pairs = spark.createDataFrame([(0, 22), (0, 23), (0, 255)], "a long, b long")
+    assert near_copies.plausible(pairs, signs).collect() == [(0, 22)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,6 +66,15 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16), F.lit(0))).first()[0]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers are reused by later stages, and the allocators would hold
+    what the largest one took, such as a model that is broadcast no more."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim:
+        trim(0)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of phases whose result has been settled."""
     import gc
@@ -163,7 +173,9 @@ def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that each holds about `most` bytes of text (one row at least): bounds memory."""
+    """The batches again, cut so that each holds about `most` bytes of text (one row at least): bounds memory. What
+    earlier tasks of the worker have freed is released before, and what this one has after its last batch."""
+    release_memory()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -173,6 +185,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        del batch
+    release_memory()
 
 
 def word_bounds(data: np.ndarray, off: np.ndarray, letters: np.ndarray = ~IS_SPACE) -> tuple[np.ndarray, np.ndarray]:

@@ -16,9 +16,12 @@ pair is found (but for collisions of 64-bit hashes, which stand for shingles and
 - Lists of up to `small` texts give all their pairs. In longer ones each text meets the one of smallest id. Then texts
   of a list that those links haven't connected yet meet in chunks: first the nearest, a spanning forest of the chunk's
   components, and once those are verified all that are still apart.
-- Count filter: an element touches one of a set's parity bytes, so all but (n + m) / 9 positional bytes of a pair are
-  equal. Shared bytes are tallied per pair, pairs under that minimum go, then those whose bytes differ in more than
-  (n + m) / 9 bits; a map of 2 n bits or more does it for texts of any length. What is left is verified on whole sets.
+- Count filter: dealt into cells of one SimHash byte each, eight to sixteen cells for 16 shingles, an element touches one
+  positional byte, so a pair shares all but (n + m) / 9 of them. Shared bytes are tallied per pair and pairs under that
+  minimum go. The number of cells is a power of two; a text close under the next one has bytes of that number too, so
+  that any two sets that may be linked can be tallied.
+- Parity maps of 2 n bits or more spare the rest: an element touches one bit, so at most (n + m) / 9 bits differ. What
+  is left is verified on whole sets.
 
 Equal sets collapse to one class before all that. No row needs an id here. An empty table gives an empty result.
 """
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, release_shuffles, settle, slices, text_column, word_bounds, word_keys
+from .common import mix64, release_memory, release_shuffles, settle, slices, text_column, word_bounds, word_keys
 from .simhash import Forest, components
 
 WORDS = 5
@@ -93,6 +96,19 @@ def cells_of(kind: np.ndarray) -> np.ndarray:
     return (28 * 4 ** (kind + 1) + 99) // 100 + 2
 
 
+def simhash_cells(place: np.ndarray, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, elements, SimHash bytes) of the filled cells, ascending, of elements at place by the lowest bytes of x; a
+    bit that half of a cell's elements set is that of its largest."""
+    order = np.argsort(place)
+    place, x = place[order], x[order] & np.uint64((1 << 8 * width) - 1)
+    first = np.flatnonzero(np.diff(place, prepend=~place[:1]))
+    filled = np.diff(np.append(first, len(x)))
+    bits = lambda v: np.unpackbits(v.astype(f">u{width}").view(np.uint8).reshape(-1, width), axis=1)
+    ones = np.add.reduceat(bits(x), first, axis=0, dtype=np.int32)
+    lead = bits(np.maximum.reduceat(x, first)).astype(np.int32)
+    return place[first], filled, np.packbits(4 * ones + 2 * lead - 1 > 2 * filled[:, None], axis=1)
+
+
 def tokens(h: np.ndarray, off: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, list): the filled cells of each text with their SimHash bytes, folded into one hash a cell. With rank only
     those that have to be posted, cells of low rank first."""
@@ -109,14 +125,8 @@ def tokens(h: np.ndarray, off: np.ndarray, rank: np.ndarray | None = None) -> tu
         x = mix64(h[np.repeat(off[text] - (to - size), size) + np.arange(to[-1])] + np.uint64(seed * 0x632BE59BD9B4E019 & (1 << 64) - 1))
         cell = ((x >> np.uint64(32)) * cells_of(kind)[row].astype(np.uint64)) >> np.uint64(32)
         place = (row.astype(np.uint64) << np.uint64(32)) | cell
-        order = np.argsort(place)
-        place, x = place[order], x[order] & np.uint64(0xFFFFFFFF)
-        first = np.flatnonzero(np.diff(place, prepend=~place[:1]))
-        place, filled = place[first], np.diff(np.append(first, len(x)))
-        bits = np.unpackbits(x.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        lead = np.unpackbits(np.maximum.reduceat(x, first).astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
-        value = np.packbits(4 * ones + 2 * lead.astype(np.int32) - 1 > 2 * filled[:, None], axis=1).view(">u4").ravel().astype(np.uint64)
+        place, _, value = simhash_cells(place, x, 4)
+        value = value.view(">u4").ravel().astype(np.uint64)
         row = (place >> np.uint64(32)).astype(np.int64)
         label = (kind[row].astype(np.uint64) << np.uint64(40)) | (np.uint64(seed & 255) << np.uint64(32)) | (place & np.uint64(0xFFFFFFFF))
         token = mix64(mix64(label) + value)
@@ -172,6 +182,7 @@ def whole_units(batches: Iterator[pa.RecordBatch], most: int = 1 << 62) -> Itera
     """Columns of rows in the order of the first, cut where it changes: (columns, bounds). No unit of up to `most` rows
     is divided; longer ones come in parts, each starting a new yield."""
     held: list[np.ndarray] | None = None
+    release_memory()
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
@@ -266,7 +277,7 @@ def other_pairs(entries: DataFrame, linked: DataFrame, signs: DataFrame, list_ro
     kinds = labelled.groupBy("list", "of").agg(F.count(F.lit(1)).alias("n"))
     lists = kinds.groupBy("list").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("rows"), F.max(F.struct("n", "of")).alias("top")).where("kinds > 1")
     lists = lists.select("list", F.col("top.of").alias("main"), F.ceil(F.col("top.n") / list_rows).cast("int").alias("mains"), F.ceil((F.col("rows") - F.col("top.n")) / list_rows).cast("int").alias("rests"))
-    rows = settle(labelled.join(lists, "list").join(signs.withColumnRenamed("id", "a"), "a"), "open")
+    rows = settle(labelled.join(lists, "list").join(signs.select(F.col("id").alias("a"), "n", "map"), "a"), "open")
     is_main = F.col("of") == F.col("main")
     mine = F.pmod(F.xxhash64("a"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
     rest = lambda i: F.concat(F.lit("r"), i.cast("string"))
@@ -309,9 +320,49 @@ def other_pairs(entries: DataFrame, linked: DataFrame, signs: DataFrame, list_ro
     return spread.mapInArrow(run, "a long, b long")
 
 
+def map_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the parity map, and four times the cells, of sets of n elements: a power of two of 2 * n or more."""
+    return np.maximum(BITS, 1 << np.frexp(2 * n - 1)[1].astype(np.int64))
+
+
+def cell_bytes(h: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """SimHash bytes of each set's cells, 0 for empty ones; where a set of similarity 4/5 may have twice as many cells,
+    followed by the bytes of that many."""
+    n = np.diff(off)
+    own = map_bits(n) // 4
+    close = 5 * n > 2 * 4 * own
+    parts = []
+    for rows, size in ((np.arange(len(n)), own), (np.flatnonzero(close), 2 * own[close])):
+        begin = np.append(0, np.cumsum(size))
+        out = np.zeros(begin[-1], np.uint8)
+        if len(rows):
+            to = np.cumsum(n[rows])
+            row = np.repeat(np.arange(len(rows)), n[rows])
+            x = mix64(h[np.repeat(off[rows] - (to - n[rows]), n[rows]) + np.arange(to[-1])] ^ np.uint64(0x2545F4914F6CDD1D))
+            cells, _, value = simhash_cells(begin[row] + ((x >> np.uint64(32)).astype(np.int64) & (size - 1)[row]), x, 1)
+            out[cells] = value.ravel()
+        parts.append([out[s:e].tobytes() for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)])
+    for i, more in zip(np.flatnonzero(close).tolist(), parts[1], strict=True):
+        parts[0][i] += more
+    return parts[0]
+
+
+def shares_enough(n: np.ndarray, m: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Which pairs of sets, by sizes n, m and the bytes that cell_bytes gives, share all but (n + m) / 9 of their
+    positional SimHash bytes, as similarity >= 4/5 implies."""
+    a, b = map_bits(n) // 4, map_bits(m) // 4
+    ok = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+    for x, y in np.unique(np.stack([a[ok], b[ok]], 1), axis=0).tolist():
+        size = max(x, y)
+        at = np.flatnonzero(ok & (a == x) & (b == y))
+        cells = [np.frombuffer(b"".join(side[i][0 if own == size else own :][:size] for i in at.tolist()), np.uint8).reshape(len(at), size) for side, own in ((left, x), (right, y))]
+        ok[at] = (cells[0] == cells[1]).sum(axis=1) >= size - (n[at] + m[at]) // 9
+    return ok
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, n, map, wide): size and parity bytes of each set: map of BITS bits; wide, of the power of two of bits that
-    holds 2 * n, null where map does."""
+    """(id, n, cells, map, wide): size and SimHash bytes (see cell_bytes) of each set and its parity bytes: map of BITS
+    bits; wide, of the power of two of bits that holds 2 * n, null where map does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -320,24 +371,28 @@ def signatures(docs: DataFrame) -> DataFrame:
             ids = set_ids(h, off)
             n = np.diff(off)
             fresh = np.flatnonzero([not (i in seen or seen.add(i)) for i in ids.tolist()])
-            maps, wides = [], []
+            maps, wides, cells, sizes = [], [], cell_bytes(h, off), map_bits(n).tolist()
             for i in fresh.tolist():
-                size = max(BITS, 1 << int(2 * n[i] - 1).bit_length())
+                size = sizes[i]
                 odd = np.bincount((h[off[i] : off[i + 1]] & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
                 wide = np.packbits(odd.astype(bool))
                 maps.append(folded(wide.view(np.uint64)[None], BITS // 64).tobytes())
                 wides.append(wide.tobytes() if size > BITS else None)
-            yield pa.record_batch([pa.array(ids[fresh]), pa.array(n[fresh].astype(np.int32)), pa.array(maps, pa.binary()), pa.array(wides, pa.binary())], names=["id", "n", "map", "wide"])
+            yield pa.record_batch([pa.array(ids[fresh]), pa.array(n[fresh].astype(np.int32)), pa.array([cells[i] for i in fresh.tolist()], pa.binary()), pa.array(maps, pa.binary()), pa.array(wides, pa.binary())], names=["id", "n", "cells", "map", "wide"])
 
-    return docs.select("text").mapInArrow(run, "id long, n int, map binary, wide binary").dropDuplicates(["id"])
+    return docs.select("text").mapInArrow(run, "id long, n int, cells binary, map binary, wide binary").dropDuplicates(["id"])
 
 
 def plausible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """The pairs without those that the parity bytes exclude."""
+    """The pairs without those that the tally of shared SimHash bytes excludes, then the parity maps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ma", SLICE):
             n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            enough = shares_enough(n, m, *(batch.column(c).to_pylist() for c in ("ca", "cb")))
+            batch, n, m = batch.filter(pa.array(enough)), n[enough], m[enough]
+            if not batch.num_rows:
+                continue
             left, right = (batch.column(i).to_pylist() for i in (4, 5))
             sizes = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)])
             on = np.zeros(batch.num_rows, bool)
@@ -348,9 +403,9 @@ def plausible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
                 on[at] = possible(n[at], m[at], a, b)
             yield batch.select(["a", "b"]).filter(pa.array(on))
 
-    left, right = (signs.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("wide", "map").alias(f"m{c}")) for c in "ab")
+    left, right = (signs.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("wide", "map").alias(f"m{c}"), F.col("cells").alias(f"c{c}")) for c in "ab")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ma", "mb", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, signs: DataFrame) -> DataFrame:

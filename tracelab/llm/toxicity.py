@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices, text_column, word_bounds, word_keys
+from .common import release_memory, settle, slices, text_column, word_bounds, word_keys
 
 LETTER = np.zeros(256, bool)
 LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -276,6 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 6000, example_bytes:
             yield pa.record_batch([b.column(0), b.column(2), pa.array(words.astype(np.int64)), pa.array([h[s:e].tobytes() for s, e in parts], pa.binary()), pa.array([tf[s:e].tobytes() for s, e in parts], pa.binary())], names=["id", "toxic", "words", "terms", "tf"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         t = pa.Table.from_batches(list(batches))
         words, toxic, ids = (t.column(c).to_numpy() for c in ("words", "toxic", "id"))
         term, tf = (np.frombuffer(b"".join(x.as_py() for x in t.column(c)), kind) for c, kind in (("terms", np.uint64), ("tf", "<f4")))
@@ -285,6 +286,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 6000, example_bytes:
         term = np.searchsorted(vocabulary, term).astype(np.int32)
         for name, shape, kind, at, data in Model(vocabulary, cut, term, 1 + np.log(tf), words, toxic, ids).parts():
             yield pa.record_batch([pa.array([name]), pa.array([shape], pa.list_(pa.int64())), pa.array([kind]), pa.array([at]), pa.array([data], pa.binary())], names=["name", "shape", "kind", "at", "data"])
+        del term, tf, vocabulary
+        release_memory()
 
     # bounded by examples and example_bytes; one task fits, so that the driver holds the finished arrays alone
     counted = rows.mapInArrow(count, "id long, toxic long, words long, terms binary, tf binary")
