@@ -81,3 +81,13 @@ def test_late_rows_are_dropped_and_state_is_freed(spark, tmp_path):
     """A row behind the watermark neither reopens nor lengthens a session."""
     where = files(spark, tmp_path, [[(1, 1, 1, "signup", 1.0), (2, 2, 1, "view", 2.0)], [(3, 40, 2, "signup", 1.0)], [(4, 41, 2, "view", 1.0)], [(5, 3, 1, "purchase", 99.0), (6, 3, 1, "signup", 1.0), (7, 60, 3, "view", 1.0)], [(8, 100, 3, "view", 1.0)]])
     assert closed(spark, where) == [(1, 1, 2, 1, 2.0, "expired"), (2, 40, 41, 1, 1.0, "expired")]
+
+
+def test_sessions_of_one_bucket_keep_apart(spark, tmp_path, monkeypatch):
+    """Many keys in one bucket give what each gives alone; rewards that are missing don't hide later ones."""
+    rows = [(1000 * k + i, h, k, kind, v) for k in range(40) for i, h, kind, v in ((0, 1 + k % 3, "signup", 1.0), (1, 4, "view", float("nan")), (2, 5, "view", 2.0 + k), (3, 6 + 30 * (k % 2), "purchase", 1.0))]
+    rows += [(99000, 50, 99, "view", 1.0), (99001, 52, 99, "view", 1.0)]
+    want = [(k, 1 + k % 3, 5, 2, 2.0 + k, "expired") if k % 2 else (k, 1 + k % 3, 6, 3, 2.0 + k, "complete") for k in range(40)]
+    whole = sessions.closed_sessions
+    monkeypatch.setattr(sessions, "closed_sessions", lambda stream: whole(stream, buckets=1))
+    assert closed(spark, files(spark, tmp_path, [rows[:80], rows[80:160], rows[160:]])) == want
