@@ -1,6 +1,7 @@
 """Results that don't hang on hash luck, nor on one long row."""
 
 from __future__ import annotations
+
 import subprocess
 import sys
 from pathlib import Path
