@@ -127,3 +127,48 @@ def test_pairs_under_the_minimum_of_simhash_bytes_go(spark):
     signs = spark.createDataFrame(rows, "id long, n int, cells binary, map binary, wide binary")
     pairs = spark.createDataFrame([(0, 22), (0, 23), (0, 255)], "a long, b long")
     assert near_copies.plausible(pairs, signs).collect() == [(0, 22)]
+
+
+def test_linked_sets_pass_their_thin_maps():
+    """Pairs of similarity 4/5, sizes around those where the thin map doubles: none is excluded, and apart ones are."""
+    rng = np.random.default_rng(6)
+
+    def likely(changes):
+        h, off = sets_of(changes, rng)
+        n = np.diff(off)
+        thin = []
+        for s, e, bits in zip(off[:-1], off[1:], near_copies.thin_bits(n).tolist(), strict=True):
+            odd = np.bincount((h[s:e] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+            thin.append(np.packbits(odd.astype(bool)).tobytes())
+        return near_copies.all_possible(n[::2], n[1::2], thin[::2], thin[1::2])
+
+    sizes = (1, 2, 9, 63, 64, 65, 100, 511, 512, 513, 1024, 1030, 5000)
+    assert likely([(n, n // 9, n // 9) for n in sizes] + [(n, n // 5, 0) for n in sizes] + [(n, 0, n // 4) for n in sizes]).all()
+    assert not likely([(n, n // 2, n // 2) for n in (100, 511, 513, 1024, 5000)] + [(100, 21, 0), (512, 0, 129)]).any()
+
+
+def test_pairs_of_a_shared_passage_end_at_their_thin_maps(spark, monkeypatch):
+    """Texts that share a passage and no more pair up in its lists: none gets to the join with the large signatures, and texts
+    of unfit sizes don't pair at all. A near copy does both."""
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([f"t{t}w{i}" for i in range(200 if t < 20 else 330)] + passage) for t in range(40)]
+    texts.append(texts[3] + " end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    firsts, whole = [], []
+    first, plausible = near_copies.first_pairs, near_copies.plausible
+
+    def first_kept(*how):
+        firsts.append(near_copies.settle(first(*how), "kept"))
+        return firsts[-1]
+
+    def plausible_kept(pairs, signs):
+        whole.append((pairs.count(), signs.count()))
+        return plausible(pairs, signs)
+
+    monkeypatch.setattr(near_copies, "first_pairs", first_kept)
+    monkeypatch.setattr(near_copies, "plausible", plausible_kept)
+    assert found(docs, texts) == [*range(40), 3]
+    size = {r["id"]: r["n"] for r in near_copies.signatures(docs).select("id", "n").collect()}
+    pairs = {(r["a"], r["b"]) for r in firsts[0].where("list is null").collect()}
+    assert len(pairs) > 10 and all(5 * min(size[a], size[b]) >= 4 * max(size[a], size[b]) for a, b in pairs)
+    assert sum(p for p, _ in whole) <= 2 and sum(s for _, s in whole) <= 4, whole

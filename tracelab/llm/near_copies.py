@@ -22,6 +22,9 @@ pair is found (but for collisions of 64-bit hashes, which stand for shingles and
   that any two sets that may be linked can be tallied.
 - Parity maps of 2 n bits or more spare the rest: an element touches one bit, so at most (n + m) / 9 bits differ. What
   is left is verified on whole sets.
+- Texts that share a passage make far more pairs than near copies do, and the more, the larger the table. So pairs are
+  made of texts of fitting sizes alone, and first compared by parity maps of n bits, an eighth of the rest: only what
+  they leave is joined with the tally's bytes and the larger maps, and only the texts named there are shuffled for it.
 
 Equal sets collapse to one class before all that. No row needs an id here. An empty table gives an empty result.
 """
@@ -164,7 +167,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(list, id): the posted cells of each set, once a set and task."""
+    """(list, id, n): the posted cells of each set with its size, once a set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -173,9 +176,10 @@ def postings(docs: DataFrame, rank: np.ndarray) -> DataFrame:
             ids = set_ids(h, off)
             text, token = tokens(h, off, rank)
             fresh = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()])[text]
-            yield pa.record_batch([pa.array(token[fresh].view(np.int64)), pa.array(ids[text[fresh]])], names=["list", "id"])
+            own = text[fresh]
+            yield pa.record_batch([pa.array(token[fresh].view(np.int64)), pa.array(ids[own]), pa.array(np.diff(off)[own].astype(np.int32))], names=["list", "id", "n"])
 
-    return docs.select("text").mapInArrow(run, "list long, id long")
+    return docs.select("text").mapInArrow(run, "list long, id long, n int")
 
 
 def whole_units(batches: Iterator[pa.RecordBatch], most: int = 1 << 62) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -198,17 +202,17 @@ def whole_units(batches: Iterator[pa.RecordBatch], most: int = 1 << 62) -> Itera
 
 
 def first_pairs(posted: DataFrame, small: int, most: int = 1 << 18) -> DataFrame:
-    """(a, b, list): pairs to verify (list is null), and the texts a of lists over `small` (b is null). A task holds
-    `most` texts of a list at a time."""
+    """(a, b, list): pairs to verify (list is null), whose sizes fit, and the texts a of lists over `small` (b is null). A
+    task holds `most` texts of a list at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_list, last_id, hub, long = None, None, None, False
-        for (key, ids), cut in whole_units(batches, most):
+        last_list, last_id, hub, hub_n = None, None, None, None
+        for (key, ids, n), cut in whole_units(batches, most):
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
             goes_on = last_list == key[0]
             new[0] = not (goes_on and last_id == ids[0])
-            key, ids = key[new], ids[new]
+            key, ids, n = key[new], ids[new], n[new].astype(np.int64)
             if not len(key):
                 continue
             cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
@@ -216,13 +220,15 @@ def first_pairs(posted: DataFrame, small: int, most: int = 1 << 18) -> DataFrame
             many = length > small
             if goes_on:
                 many[0] = True
-            heads = ids[cut[:-1]]
+            heads, head_n = ids[cut[:-1]], n[cut[:-1]]
             if goes_on:
-                heads[0] = hub
-            a, b = [np.repeat(heads, length)], [ids]
+                heads[0], head_n[0] = hub, hub_n
+            fits = sizes_fit(np.repeat(head_n, length), n)
+            a, b = [np.repeat(heads, length)[fits]], [ids[fits]]
             few = np.repeat(~many, length)
             for step in range(1, small):
                 x = np.flatnonzero(few & (np.arange(len(key)) + step < np.repeat(cut[1:], length)))
+                x = x[sizes_fit(n[x], n[x + step])]
                 a.append(ids[x])
                 b.append(ids[x + step])
             pair = np.stack([np.concatenate(a), np.concatenate(b)], 1)
@@ -231,18 +237,23 @@ def first_pairs(posted: DataFrame, small: int, most: int = 1 << 18) -> DataFrame
             if many.any():
                 at = np.repeat(many, length)
                 yield pa.record_batch([pa.array(ids[at]), pa.nulls(int(at.sum()), pa.int64()), pa.array(key[at])], names=["a", "b", "list"])
-            last_list, last_id, hub = key[-1], ids[-1], heads[-1]
+            last_list, last_id, hub, hub_n = key[-1], ids[-1], heads[-1], head_n[-1]
 
     dealt = posted.repartition("list").sortWithinPartitions("list", "id")
     return dealt.mapInArrow(run, "a long, b long, list long")
 
 
+def sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which pairs of sizes sets of similarity >= 4/5 may have."""
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+
+
 def possible(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs of sets, by sizes n, m and parity bytes a, b of equal length (last axis), may have similarity >= 4/5:
     all but (n + m) / 9 of the bytes are shared, and at most (n + m) / 9 bits differ."""
     x = a ^ b
     size = x.shape[-1] * 8
-    ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & ((x.view(np.uint8).reshape(*x.shape[:-1], size) == 0).sum(axis=-1) >= size - (n + m) // 9)
+    ok = sizes_fit(n, m) & ((x.view(np.uint8).reshape(*x.shape[:-1], size) == 0).sum(axis=-1) >= size - (n + m) // 9)
     ok[ok] = 9 * np.bitwise_count(x[ok]).sum(axis=-1, dtype=np.int64) <= np.broadcast_to(n + m, ok.shape)[ok]
     return ok
 
@@ -252,6 +263,18 @@ def folded(maps: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
 
 
+def all_possible(n: np.ndarray, m: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """The same for parity maps of various lengths, powers of two: the longer map of a pair is folded."""
+    sizes = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)]).reshape(-1, 2)
+    on = np.zeros(len(sizes), bool)
+    for x, y in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (x, y)).all(axis=1))
+        least = min(x, y) // 8
+        a, b = (folded(np.frombuffer(b"".join(side[i] for i in at.tolist()), np.uint64).reshape(len(at), -1), least) for side in (left, right))
+        on[at] = possible(n[at], m[at], a, b)
+    return on
+
+
 def maps_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(text_column(column)[0].tobytes(), np.uint64).reshape(-1, BITS // 64)
 
@@ -325,6 +348,11 @@ def map_bits(n: np.ndarray) -> np.ndarray:
     return np.maximum(BITS, 1 << np.frexp(2 * n - 1)[1].astype(np.int64))
 
 
+def thin_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the thin parity map: a power of two of n or more, and a word at least."""
+    return np.maximum(64, 1 << np.frexp(n - 1)[1].astype(np.int64))
+
+
 def cell_bytes(h: np.ndarray, off: np.ndarray) -> list[bytes]:
     """SimHash bytes of each set's cells, 0 for empty ones; where a set of similarity 4/5 may have twice as many cells,
     followed by the bytes of that many."""
@@ -351,7 +379,7 @@ def shares_enough(n: np.ndarray, m: np.ndarray, left: list[bytes], right: list[b
     """Which pairs of sets, by sizes n, m and the bytes that cell_bytes gives, share all but (n + m) / 9 of their
     positional SimHash bytes, as similarity >= 4/5 implies."""
     a, b = map_bits(n) // 4, map_bits(m) // 4
-    ok = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+    ok = sizes_fit(n, m)
     for x, y in np.unique(np.stack([a[ok], b[ok]], 1), axis=0).tolist():
         size = max(x, y)
         at = np.flatnonzero(ok & (a == x) & (b == y))
@@ -361,8 +389,8 @@ def shares_enough(n: np.ndarray, m: np.ndarray, left: list[bytes], right: list[b
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, n, cells, map, wide): size and SimHash bytes (see cell_bytes) of each set and its parity bytes: map of BITS
-    bits; wide, of the power of two of bits that holds 2 * n, null where map does."""
+    """(id, n, cells, map, wide, thin): size and SimHash bytes (see cell_bytes) of each set and its parity bytes: map of
+    BITS bits; wide, of the power of two of bits that holds 2 * n, null where map does; thin, see thin_bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -371,16 +399,30 @@ def signatures(docs: DataFrame) -> DataFrame:
             ids = set_ids(h, off)
             n = np.diff(off)
             fresh = np.flatnonzero([not (i in seen or seen.add(i)) for i in ids.tolist()])
-            maps, wides, cells, sizes = [], [], cell_bytes(h, off), map_bits(n).tolist()
+            maps, wides, thins, cells, sizes, least = [], [], [], cell_bytes(h, off), map_bits(n).tolist(), thin_bits(n).tolist()
             for i in fresh.tolist():
                 size = sizes[i]
                 odd = np.bincount((h[off[i] : off[i + 1]] & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
                 wide = np.packbits(odd.astype(bool))
                 maps.append(folded(wide.view(np.uint64)[None], BITS // 64).tobytes())
                 wides.append(wide.tobytes() if size > BITS else None)
-            yield pa.record_batch([pa.array(ids[fresh]), pa.array(n[fresh].astype(np.int32)), pa.array([cells[i] for i in fresh.tolist()], pa.binary()), pa.array(maps, pa.binary()), pa.array(wides, pa.binary())], names=["id", "n", "cells", "map", "wide"])
+                thins.append(folded(wide.view(np.uint64)[None], least[i] // 64).tobytes())
+            yield pa.record_batch([pa.array(ids[fresh]), pa.array(n[fresh].astype(np.int32)), pa.array([cells[i] for i in fresh.tolist()], pa.binary()), pa.array(maps, pa.binary()), pa.array(wides, pa.binary()), pa.array(thins, pa.binary())], names=["id", "n", "cells", "map", "wide", "thin"])
+
+    return docs.select("text").mapInArrow(run, "id long, n int, cells binary, map binary, wide binary, thin binary").dropDuplicates(["id"])
+
+
+def likely(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs without those that the thin parity maps exclude."""
 
-    return docs.select("text").mapInArrow(run, "id long, n int, cells binary, map binary, wide binary").dropDuplicates(["id"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ta", SLICE):
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(all_possible(n, m, batch.column(4).to_pylist(), batch.column(5).to_pylist())))
+
+    left, right = (signs.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("thin").alias(f"t{c}")) for c in "ab")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def plausible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -393,14 +435,7 @@ def plausible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
             batch, n, m = batch.filter(pa.array(enough)), n[enough], m[enough]
             if not batch.num_rows:
                 continue
-            left, right = (batch.column(i).to_pylist() for i in (4, 5))
-            sizes = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)])
-            on = np.zeros(batch.num_rows, bool)
-            for x, y in np.unique(sizes, axis=0).tolist():
-                at = np.flatnonzero((sizes == (x, y)).all(axis=1))
-                least = min(x, y) // 8
-                a, b = (folded(np.frombuffer(b"".join(side[i] for i in at.tolist()), np.uint64).reshape(len(at), -1), least) for side in (left, right))
-                on[at] = possible(n[at], m[at], a, b)
+            on = all_possible(n, m, batch.column(4).to_pylist(), batch.column(5).to_pylist())
             yield batch.select(["a", "b"]).filter(pa.array(on))
 
     left, right = (signs.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("wide", "map").alias(f"m{c}"), F.col("cells").alias(f"c{c}")) for c in "ab")
@@ -408,6 +443,13 @@ def plausible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ma", "mb", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
+def named_in(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose id is in some pair. Few ids are broadcast, so that no other row is shuffled; many are joined by a
+    shuffle of all rows."""
+    named = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named")
+    return rows.join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, "id", "left_semi")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, signs: DataFrame) -> DataFrame:
     """The pairs whose whole sets have a Jaccard similarity of 4/5 or more."""
 
@@ -420,13 +462,11 @@ def verified(docs: DataFrame, pairs: DataFrame, signs: DataFrame) -> DataFrame:
             fresh = pa.array([not (i in seen or seen.add(i)) for i in ids.tolist()])
             yield pa.record_batch([pa.array(ids), items], names=["id", "items"]).filter(fresh)
 
-    pairs = settle(plausible(settle(pairs.distinct(), "pairs"), signs), "plausible")
+    pairs = settle(likely(settle(pairs.distinct(), "pairs"), signs), "likely")
     release_shuffles(docs.sparkSession)
-    named = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named")
-    # few ids are broadcast, so that no other text's set is shuffled; many are joined by a shuffle of all sets
-    if named.count() <= BROADCAST_IDS:
-        named = F.broadcast(named)
-    sets = docs.select("text").mapInArrow(run, "id long, items array<long>").join(named, "id", "left_semi")
+    pairs = settle(plausible(pairs, named_in(signs, pairs)), "plausible")
+    release_shuffles(docs.sparkSession)
+    sets = named_in(docs.select("text").mapInArrow(run, "id long, items array<long>"), pairs)
     sets = settle(sets.dropDuplicates(["id"]), "sets")
     release_shuffles(docs.sparkSession)
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
