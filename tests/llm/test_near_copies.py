@@ -172,3 +172,45 @@ def test_pairs_of_a_shared_passage_end_at_their_thin_maps(spark, monkeypatch):
     pairs = {(r["a"], r["b"]) for r in firsts[0].where("list is null").collect()}
     assert len(pairs) > 10 and all(5 * min(size[a], size[b]) >= 4 * max(size[a], size[b]) for a, b in pairs)
     assert sum(p for p, _ in whole) <= 2 and sum(s for _, s in whole) <= 4, whole
+
+
+def test_linked_sets_meet_by_maps_of_their_sizes():
+    """Pairs of similarity 4/5, sizes around those where the map doubles and beyond its largest: each pair meets, once; sets of
+    half the similarity don't."""
+    rng = np.random.default_rng(8)
+
+    def met(changes):
+        h, off = sets_of(changes, rng)
+        rise = np.argsort(np.diff(off), kind="stable")
+        n, bits = np.diff(off)[rise], near_copies.unit_bits(np.diff(off))
+        maps = []
+        for i in rise.tolist():
+            odd = np.bincount((h[off[i] : off[i + 1]] & np.uint64(bits[i] - 1)).astype(np.int64), minlength=bits[i]) & 1
+            maps.append(np.packbits(odd.astype(bool)).tobytes())
+        two = rise // 2
+        pairs = [two[x].tolist() for x, y, _ in near_copies.meetings(n, maps, lambda i, j: two[i, None] == two[None, j])]
+        return sorted(sum(pairs, []))
+
+    sizes = (1, 2, 9, 100, 1023, 1024, 1025, 2047, 2048, 2050, 4097, 16385, 40000)
+    linked = [(n, n // 9, n // 9) for n in sizes] + [(n, n // 5, 0) for n in sizes] + [(n, 0, n // 4) for n in sizes]
+    assert met(linked) == list(range(len(linked)))
+    assert met([(n, n // 2, n // 2) for n in (100, 1000, 1025, 3000, 5000, 9000, 16000)]) == []
+
+
+def test_long_texts_of_a_shared_passage_make_no_pairs(spark, monkeypatch):
+    """Long texts that have a third in common meet in long lists, yet only the near copies among them become pairs there."""
+    passage = [f"p{i}" for i in range(1500)]
+    texts = [" ".join(passage + [f"t{t}w{i}" for i in range(3000)]) for t in range(12)]
+    texts += [texts[3] + " end", texts[3] + " last"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = []
+
+    def counted(*how):
+        pairs = near_copies.settle(other(*how), "pairs")
+        made.append((how[0].count(), pairs.distinct().count()))
+        return pairs
+
+    other = near_copies.other_pairs
+    monkeypatch.setattr(near_copies, "other_pairs", counted)
+    assert found(docs, texts) == [*range(12), 3, 3]
+    assert made and all(rows > 100 and pairs <= 3 for rows, pairs in made), made

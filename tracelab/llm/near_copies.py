@@ -25,13 +25,15 @@ pair is found (but for collisions of 64-bit hashes, which stand for shingles and
 - Texts that share a passage make far more pairs than near copies do, and the more, the larger the table. So pairs are
   made of texts of fitting sizes alone, and first compared by parity maps of n bits, an eighth of the rest: only what
   they leave is joined with the tally's bytes and the larger maps, and only the texts named there are shuffled for it.
+- In long lists pairs are made of texts by maps that grow with them: one of fixed size is full for long texts and lets
+  through all that share a passage, the square of a list.
 
 Equal sets collapse to one class before all that. No row needs an id here. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -275,8 +277,25 @@ def all_possible(n: np.ndarray, m: np.ndarray, left: list[bytes], right: list[by
     return on
 
 
-def maps_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(text_column(column)[0].tobytes(), np.uint64).reshape(-1, BITS // 64)
+def meetings(n: np.ndarray, maps: list[bytes], apart: Callable[[slice, slice], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, differing bits): pairs of rows x < y, sizes n ascending, whose sets may be linked by their maps (see unit_bits),
+    of which the longer is folded. apart: which pairs of two ranges of rows are asked for."""
+    size = np.array([len(m) for m in maps])
+    cut = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(n)]
+    for start, end in zip(cut[:-1], cut[1:], strict=True):
+        to = int(np.searchsorted(n, 5 * n[end - 1] // 4, "right"))
+        width = int(size[start]) // 8
+        runs = [(s, min(e, to)) for s, e in zip(cut[:-1], cut[1:], strict=True) if start <= s < to]
+        words = np.concatenate([folded(np.frombuffer(b"".join(maps[s:e]), np.uint64).reshape(e - s, -1), width) for s, e in runs])
+        step = max(1, min(16, (1 << 20) // (width * (to - start))))
+        for i in range(start, end, step):
+            j = min(end, i + step)
+            x, y = np.nonzero(apart(slice(i, j), slice(i, int(np.searchsorted(n, 5 * n[j - 1] // 4, "right")))))
+            x, y = x[x < y] + i, y[x < y] + i
+            on = possible(n[x], n[y], words[x - start], words[y - start])
+            x, y = x[on], y[on]
+            if len(x):
+                yield x, y, np.bitwise_count(words[x - start] ^ words[y - start]).sum(axis=1, dtype=np.int64)
 
 
 def spanning(p: np.ndarray, q: np.ndarray, of: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -312,28 +331,22 @@ def other_pairs(entries: DataFrame, linked: DataFrame, signs: DataFrame, list_ro
     spread = units.select(F.xxhash64("list", "unit").alias("unit"), "a", "n", "of", is_main.alias("main"), "map").repartition("unit").sortWithinPartitions("unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                names = [f"m{i}" for i in range(BITS // 64)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(np.ascontiguousarray(x)) for x in maps_of(b.column(5)).T)], [*b.schema.names[:5], *names])
-
-        for (_, ids, n, of, first, *maps), cut in whole_units(parts()):
-            maps, n = np.stack(maps, 1), n.astype(np.int64)
+        for (_, ids, n, of, first, maps), cut in whole_units(batches):
+            n = n.astype(np.int64)
             for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                first_here = bool(first[s:e].any())
+                row = s + np.argsort(n[s:e], kind="stable")
+                own, main = of[row], first[row].astype(bool)
+                with_main = bool(main.any())
+                apart = lambda i, j: (own[i, None] != own[None, j]) & ~(with_main & ~(main[i, None] | main[None, j]))  # noqa: E731, B023
                 near = np.zeros((0, 3), np.int64)
-                for i in range(s, e, 16):
-                    j = slice(i, min(e, i + 16))
-                    x, y = np.nonzero((of[j, None] != of[None, i:e]) & ~(first_here & ~(first[j, None] | first[None, i:e])))
-                    on = possible(n[x + i], n[y + i], maps[x + i], maps[y + i]) if len(x) else x
-                    if len(x) and on.any() and nearest:
-                        p, q = x[on] + i, y[on] + i
-                        near = np.concatenate((near, np.stack([p, q, np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1, dtype=np.int64)], 1)))
+                for x, y, far in meetings(n[row], maps[row].tolist(), apart):
+                    p, q = row[x], row[y]
+                    if nearest:
+                        near = np.concatenate((near, np.stack([p, q, far], 1)))
                         if len(near) > held:
                             near = near[spanning(near[:, 0], near[:, 1], of, near[:, 2])]
-                    elif len(x) and on.any():
-                        p, q = ids[x[on] + i], ids[y[on] + i]
-                        pair = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0)
+                    else:
+                        pair = np.unique(np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])], 1), axis=0)
                         yield pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
                 if len(near):
                     near = near[spanning(near[:, 0], near[:, 1], of, near[:, 2])]
@@ -348,6 +361,11 @@ def map_bits(n: np.ndarray) -> np.ndarray:
     return np.maximum(BITS, 1 << np.frexp(2 * n - 1)[1].astype(np.int64))
 
 
+def unit_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the parity map that goes to the units of other_pairs: a power of two of n or more, from BITS to 16 times that."""
+    return np.clip(1 << np.frexp(n - 1)[1].astype(np.int64), BITS, 16 * BITS)
+
+
 def thin_bits(n: np.ndarray) -> np.ndarray:
     """Bits of the thin parity map: a power of two of n or more, and a word at least."""
     return np.maximum(64, 1 << np.frexp(n - 1)[1].astype(np.int64))
@@ -389,8 +407,8 @@ def shares_enough(n: np.ndarray, m: np.ndarray, left: list[bytes], right: list[b
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, n, cells, map, wide, thin): size and SimHash bytes (see cell_bytes) of each set and its parity bytes: map of
-    BITS bits; wide, of the power of two of bits that holds 2 * n, null where map does; thin, see thin_bits."""
+    """(id, n, cells, map, wide, thin): size and SimHash bytes (see cell_bytes) of each set and its parity bytes: map,
+    see unit_bits; wide, of the power of two of bits that holds 2 * n, null where that is BITS, as map is; thin, see thin_bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -399,12 +417,13 @@ def signatures(docs: DataFrame) -> DataFrame:
             ids = set_ids(h, off)
             n = np.diff(off)
             fresh = np.flatnonzero([not (i in seen or seen.add(i)) for i in ids.tolist()])
-            maps, wides, thins, cells, sizes, least = [], [], [], cell_bytes(h, off), map_bits(n).tolist(), thin_bits(n).tolist()
+            maps, wides, thins, cells = [], [], [], cell_bytes(h, off)
+            sizes, units, least = map_bits(n).tolist(), unit_bits(n).tolist(), thin_bits(n).tolist()
             for i in fresh.tolist():
                 size = sizes[i]
                 odd = np.bincount((h[off[i] : off[i + 1]] & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
                 wide = np.packbits(odd.astype(bool))
-                maps.append(folded(wide.view(np.uint64)[None], BITS // 64).tobytes())
+                maps.append(folded(wide.view(np.uint64)[None], units[i] // 64).tobytes())
                 wides.append(wide.tobytes() if size > BITS else None)
                 thins.append(folded(wide.view(np.uint64)[None], least[i] // 64).tobytes())
             yield pa.record_batch([pa.array(ids[fresh]), pa.array(n[fresh].astype(np.int32)), pa.array([cells[i] for i in fresh.tolist()], pa.binary()), pa.array(maps, pa.binary()), pa.array(wides, pa.binary()), pa.array(thins, pa.binary())], names=["id", "n", "cells", "map", "wide", "thin"])
