@@ -311,6 +311,20 @@ def test_fit_is_bounded_by_ids(spark):
     assert len(toxicity.fit(df, labels, examples=9).ids) <= 9
 
 
+def test_toxicity_model_reaches_the_driver_in_parts(spark, sf, monkeypatch):
+    """No single result that the driver fetches holds most of the model."""
+    settled, settle = {}, toxicity.settle
+
+    def kept(df, name):
+        settled[name] = settle(df, name)
+        return settled[name]
+
+    monkeypatch.setattr(toxicity, "settle", kept)
+    toxicity.fit(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
+    rows = settled["model"].groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("data")).alias("n")).collect()
+    assert len(rows) > 2 and max(r["n"] for r in rows) < 0.8 * sum(r["n"] for r in rows)
+
+
 def plain_vectors(examples, texts):
     """Unit TF-IDF vectors of examples {id: (text, toxic)} and of texts, by dictionaries."""
 

@@ -76,10 +76,12 @@ def release_memory() -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of phases whose result has been settled."""
+    """Let Spark's cleaner delete the shuffle files and broadcasts of phases whose result has been settled; the driver's
+    heap shrinks to what is left, as does its Python."""
     import gc
 
     gc.collect()
+    release_memory()
     spark.sparkContext._jvm.System.gc()
 
 

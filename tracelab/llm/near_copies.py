@@ -518,6 +518,7 @@ def near_copies(docs: DataFrame, small: int = 3, list_rows: int = 2048) -> DataF
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of near copies: that of the smallest doc_id (null last), then of the smallest row
     hash. Rows are told apart by two 64-bit hashes of all their columns, not by id; equal rows count once."""
+    release_shuffles(docs.sparkSession)  # and what an earlier stage has left, such as a model
     names = [F.col(f"`{c}`") for c in docs.columns]
     h1, h2 = F.xxhash64(*names).alias("_h1"), F.xxhash64(F.lit(1), *names).alias("_h2")
     rows = settle(with_class(docs.select("doc_id", h1, h2, "text")).drop("text"), "sets")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices
+from .common import release_shuffles, settle, slices
 
 GROUPS = [0, 0, 0, 1, 1, 1, 2, 2]
 
@@ -200,6 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(small.hint("merge"), "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(small.select("m", "u")).distinct()
         now = settle(small, "edges")
+        release_shuffles(edges.sparkSession)
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == seen:
             break

@@ -43,6 +43,7 @@ BLOCK = 16
 SLICE = 500_000  # bytes of text taken at once
 PRIOR, FLOOR = 20.0, 0.005
 FIRST = 12  # blocks scored at first, then all that may still count
+MODEL_FILES = 32  # into which the parts of a fitted model are dealt
 
 
 def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -292,7 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 6000, example_bytes:
     # bounded by examples and example_bytes; one task fits, so that the driver holds the finished arrays alone
     counted = rows.mapInArrow(count, "id long, toxic long, words long, terms binary, tf binary")
     made = counted.repartition(1).sortWithinPartitions("id").mapInArrow(build, "name string, shape array<long>, kind string, at long, data binary")
-    return Model.of_parts(settle(made, "model").toLocalIterator())
+    # read in many small results: one of the whole model takes the driver several times its size
+    return Model.of_parts(settle(made.repartition(MODEL_FILES), "model").toLocalIterator())
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
