@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 KINDS = ("full", "dates_all", "lead_entries_exits", "lead_full", "second_entries", "second_exits", "second_full")
 
 
-def normalise(fills: DataFrame) -> DataFrame:
+def normalise(fills: DataFrame, *more: str) -> DataFrame:
     """Filled and partly filled rows with ticker (first word of the symbol), quantity filled, side and trade date.
 
     The trade date is UTC minus five hours; a quantity of zero is a sale."""
     q = F.coalesce("fill_qty", "qty")
     return fills.where(F.col("status").isin("filled", "partiallyFilled")).select(
-        "run", "time", F.substring_index("symbol", " ", 1).alias("sym"), q.alias("q"), F.when(q > 0, "B").otherwise("S").alias("side"), F.date_format(F.to_date(F.timestamp_seconds(F.col("time") - 18000)), "yyyy-MM-dd").alias("day"), "order_id", "price"
+        "run", "time", F.substring_index("symbol", " ", 1).alias("sym"), q.alias("q"), F.when(q > 0, "B").otherwise("S").alias("side"), F.date_format(F.to_date(F.timestamp_seconds(F.col("time") - 18000)), "yyyy-MM-dd").alias("day"), "order_id", "price", *more
     )
 
 

@@ -427,8 +427,11 @@ def _(s, d):
 
 @query("convergence", f"WITH {FILLS}, t AS (SELECT run, string_agg(sym || side, ';' ORDER BY time, order_id) AS tape FROM n GROUP BY 1), o AS (SELECT o_custkey AS task, tape FROM orders LEFT JOIN t ON run = o_orderkey) SELECT task, count(tape) AS n_ok, count(DISTINCT tape) AS n_tapes, CASE WHEN count(tape) < 2 THEN 'INSUFFICIENT' WHEN count(DISTINCT tape) = 1 THEN CASE WHEN max(length(tape)) = 0 THEN 'CONVERGED-EMPTY' ELSE 'CONVERGED' END ELSE 'DIVERGED' END AS proposal FROM o GROUP BY 1")
 def _(s, d):
-    n = tape.normalise(fills(s, d)).withColumn("t", F.concat("sym", "side"))
-    t = n.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("time", "order_id", "t"))), lambda x: x["t"]), ";").alias("tape"))
+    """Fills of equal time and order id stand as in the table, by file and row, as SQL on one thread has them."""
+    rows = fills(s, d, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    n = tape.normalise(rows, "file", "row").withColumn("t", F.concat("sym", "side")).where("t is not null")
+    item = F.struct(F.isnull("time"), "time", F.isnull("order_id"), "order_id", "file", "row", "t")
+    t = n.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), ";").alias("tape"))
     o = table(s, d, "orders").join(t, F.col("o_orderkey") == F.col("run"), "left").select(F.col("o_custkey").alias("task"), "tape")
     return stats.convergence(o, "task", "tape")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,13 +147,13 @@ def event_ticks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), "value", "user_id", "props")
 
 
-def fills(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as signed fills of a run (the order)."""
+def fills(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
+    """Line items as signed fills of a run (the order), with further columns of theirs as asked."""
     li = table(spark, sf, "lineitem")
     sign = F.when(F.col("l_linestatus") == "O", 1).otherwise(-1)
     return li.select(
-        F.col("l_orderkey").alias("run"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("double").alias("time"), F.concat("l_returnflag", F.lit(" EQ")).alias("symbol"), (sign * F.col("l_quantity")).cast("long").alias("qty"),
-        F.lit(None).cast("long").alias("fill_qty"), F.format_string("%.2f", "l_extendedprice").alias("price"), F.col("l_linenumber").cast("long").alias("order_id"), F.when(F.col("l_discount") < 0.01, "canceled").when(F.col("l_discount") < 0.03, "partiallyFilled").otherwise("filled").alias("status"),
+        F.col("l_orderkey").alias("run"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1e6).alias("time"), F.concat("l_returnflag", F.lit(" EQ")).alias("symbol"), F.rint(sign * F.col("l_quantity")).cast("long").alias("qty"),
+        F.lit(None).cast("long").alias("fill_qty"), F.format_string("%.2f", "l_extendedprice").alias("price"), F.col("l_linenumber").cast("long").alias("order_id"), F.when(F.col("l_discount") < 0.01, "canceled").when(F.col("l_discount") < 0.03, "partiallyFilled").when(F.col("l_discount") >= 0.03, "filled").alias("status"), *more,
     )
 
 
