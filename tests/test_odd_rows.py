@@ -55,3 +55,16 @@ def test_odd_fills_count_as_in_sql(spark, tmp_path):
     orders(spark, tmp_path, sorted({r[0] for r in rows}))
     ours, theirs = both(spark, tmp_path, "convergence", ["orders", "lineitem"])
     assert ours == theirs and [(r[1], r[2]) for r in ours] == [(1, 1), (1, 1), *[(2, 1)] * 5]
+
+
+def test_reviews_of_odd_texts_read_as_in_sql(spark, tmp_path):
+    plain = "lorem  ipsum\n dolor"
+    texts = [
+        None, "", " \n\t", plain, f"{plain}\n## Notes\nmore\n## Summary\nagain", "## Summary\nfirst", "a\n##", "a\n## ", "\n## b", "a\n\n## \n## c\r\n## d", "# Review\n**Verdict:** OK\n**Classes:** x",
+        "\xa0 a\xa0b\u3000\xa0\n", "\xa0 a \u2028 ", "\u3000", "a\x0b\x0cb\x85", "x" * 200_000,
+    ]
+    names = [(None, "src0"), ("en", None), (None, None), ("", ""), ("", "src0"), ("en", ""), ("e,n", "s,"), ("`en`", " src0 "), ("en\n", "\n## Summary\n"), ("e+n", "%2C*"), ("\xe9\u2028", "\U0001f600")]
+    rows = [("en", "src0", t) for t in texts] + [(*n, plain) for n in names] + [(None, None, None), ("a,b", None, None), (None, "src0", "**Verdict:** OK\n**Classes:** x")]
+    spark.createDataFrame([(i, t, lang, source) for i, (lang, source, t) in enumerate(rows)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    ours, theirs = both(spark, tmp_path, "markdown_fields", ["documents"])
+    assert ours == theirs and len(ours) == len(rows)

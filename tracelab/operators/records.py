@@ -150,10 +150,12 @@ def resolve_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def markdown_fields(t: Column) -> list[Column]:
-    """verdict, classes (comma list without ticks) and summary (white space folded) of a review."""
-    at = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+    """verdict, classes (comma list without ticks) and summary (white space folded, no spaces of any script at its ends) of
+    a review; null where a field is missing, but an empty summary is empty."""
+    at = lambda pattern: F.get(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), F.lit(0))
     classes = F.transform(F.split(at(r"(?m)^\**Classes?:?\**:?[ \t]*(.+)$"), ","), lambda c: F.btrim(c, F.lit(" `")))
-    return [at(r"(?m)^\**Verdict:?\**:?[ \t]*`?([A-Z-]+)").alias("verdict"), classes.alias("classes"), F.regexp_replace(tx.strip(at(r"(?s)## Summary\n(.*?)(?:\n## |\z)")), r"\s+", " ").alias("summary")]
+    summary = F.regexp_replace(F.regexp_replace(at(r"(?s)## Summary\n(.*?)(?:\n## |\z)"), r"\s+", " "), r"\A\p{Zs}+|\p{Zs}+\z", "")
+    return [at(r"(?m)^\**Verdict:?\**:?[ \t]*`?([A-Z-]+)").alias("verdict"), classes.alias("classes"), summary.alias("summary")]
 
 
 def aligned(df: DataFrame, widths: dict[str, int]) -> DataFrame:
